@@ -1,0 +1,266 @@
+"""What the two exact repeat removers share: anchored runs of windows and their first occurrences.
+
+A *unit* is a byte or a word; a *window* is a fixed number of consecutive units of one document.  Every
+window has an *anchor*, a position inside it that depends on nothing but the window's own units, so that
+equal windows have equal anchors at equal places.  Neighbouring windows with one anchor form a *run*, and
+a run is described by
+
+* ``head`` and ``tail``: what stands at its anchor (leading units and a fingerprint),
+* ``run``: a fingerprint of all units that its windows cover, its width and the anchor's place in it.
+
+Equal runs hold equal windows.  Windows of unequal runs can be equal only if the anchors are, so just
+those runs (``contested``) are spelt out window by window.  A task reduces what it has read before
+anything is shuffled: of equal keys only the first occurrence travels on, what is already known to be a
+repeat is merged to a few spans.  A key therefore has at most one row from each task, however often it
+occurs.  Fingerprints are 64 bits beside the 8 leading bytes (or a second fingerprint).
+
+Null texts are empty, a null doc_id counts as the largest id, rows that share a doc_id are documents of
+their own in the order of their texts.  Extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from dossier.llm.common import Scratch, flat_bytes, join_checked
+
+ENTRY = "head bigint, tail int, run bigint, doc_id bigint, twin int, pos bigint, n bigint, kind int"
+COLUMNS = [c.split()[0] for c in ENTRY.split(", ")]
+#: kind: a candidate for the first occurrence, a span known to repeat, a row of a level, one only looked up
+FRESH, SPAN, LEVEL, LOOKED_UP = range(4)
+NO_ID = 2**63 - 1
+#: Bytes of text handled at once inside a task.
+SLICE = 4 << 20
+
+U = np.uint64
+_A = 0x9E3779B97F4A7C15 | 1
+_rng = np.random.default_rng(20240229)
+BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+_powers: dict[str, np.ndarray] = {}
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse modulo 2**64."""
+    if "up" not in _powers or len(_powers["up"]) < n:
+        size = 1 << max(16, n - 1).bit_length()
+        for name, base in (("up", _A), ("down", pow(_A, -1, 2**64))):
+            row = np.full(size, base, np.uint64)
+            row[0] = 1
+            _powers[name] = np.cumprod(row)
+    return _powers["up"][:n], _powers["down"][:n]
+
+
+class Prefix:
+    """Fingerprints of any stretch of units from prefix sums."""
+
+    def __init__(self, units: np.ndarray):
+        up, self.down = powers(len(units) + 1)
+        self.sums = np.zeros(len(units) + 1, np.uint64)
+        np.cumsum(units * up[: len(units)], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * self.down[start]
+
+    def all(self, width: int) -> np.ndarray:
+        """Of every stretch of that width."""
+        m = len(self.sums) - width
+        return (self.sums[width:] - self.sums[:m]) * self.down[:m]
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    size, n = 1, len(x) - width + 1
+    while size * 2 <= width:
+        x = np.minimum(x[: len(x) - size], x[size:])
+        size *= 2
+    return np.minimum(x[:n], x[width - size : width - size + n])
+
+
+def runs(valid: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window and width of each run of consecutive valid windows with one anchor."""
+    at = np.flatnonzero(valid)
+    if not len(at):
+        return at, at
+    cut = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (anchor[at[1:]] != anchor[at[:-1]])])
+    return at[cut], np.diff(np.r_[cut, len(at)])
+
+
+def slices(table: pa.Table, limit: int = SLICE) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows in groups of about ``limit`` bytes, at least one row each, with bytes and offsets of their texts."""
+    data, offsets = flat_bytes(table.column("text"))
+    first = 0
+    while first < table.num_rows:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
+        yield table.slice(first, last - first), data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+        first = last
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, twin, text, row: twin tells rows with one doc_id apart; it is 0 everywhere if ids are unique.
+
+    row holds all columns but the text, so that their names cannot clash with ours.
+    """
+    row = F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row")
+    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), row)
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id", F.lit(True).alias("shared"))
+    if not (rows := shared.count()):
+        return docs.select("doc_id", F.lit(0).alias("twin"), "text", "row")
+    marked = join_checked(docs, shared, ["doc_id"], rows, "left")
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
+    return (
+        marked.filter("shared is null").select("doc_id", F.lit(0).alias("twin"), "text", "row")
+        .unionAll(marked.filter("shared").select("doc_id", order.alias("twin"), "text", "row"))
+    )
+
+
+def spans_merged(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, length: np.ndarray):
+    """Overlapping and touching spans of a document as one."""
+    if not len(doc):
+        return doc, twin, start, length
+    order = np.lexsort((start, twin, doc))
+    doc, twin, start, end = doc[order], twin[order], start[order], (start + length)[order]
+    fresh = np.r_[True, (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1])]
+    # the furthest end so far inside the document: ends are raised by a document's number times a bound
+    group = np.cumsum(fresh) - 1
+    bound = int(end.max()) + 1
+    far = np.maximum.accumulate(end + group * bound) - group * bound
+    cut = np.flatnonzero(np.r_[True, fresh[1:] | (start[1:] > far[:-1])])
+    return doc[cut], twin[cut], start[cut], far[np.r_[cut[1:], len(doc)] - 1] - start[cut]
+
+
+def reduced(parts: list[list[np.ndarray]], window: int, across: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of one task, sorted by what stands at the anchors: first occurrences and merged repeats.
+
+    across: an occurrence repeats only what stands in an earlier document.
+    """
+    if not parts:
+        return
+    head, tail, run, doc, twin, pos, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((pos, twin, doc, run, tail, head))
+    head, tail, run, doc, twin, pos, n = (x[order] for x in (head, tail, run, doc, twin, pos, n))
+    new = np.r_[True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1]) | (run[1:] != run[:-1])]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    repeat = (doc != doc[first]) | (twin != twin[first])
+    if not across:
+        repeat |= pos != pos[first]
+    keep = ~repeat
+    yield batch(head[keep], tail[keep], run[keep], doc[keep], twin[keep], pos[keep], n[keep], FRESH)
+    sdoc, stwin, spos, slen = spans_merged(doc[repeat], twin[repeat], pos[repeat], n[repeat] + window - 1)
+    yield batch(mix(sdoc.view(np.uint64)).view(np.int64), np.full(len(sdoc), -1, np.int32), spos, sdoc, stwin, spos, slen, SPAN)
+
+
+def batch(head, tail, run, doc, twin, pos, n, kind: int) -> pa.RecordBatch:
+    columns = (head, tail.astype(np.int32), run, doc, twin.astype(np.int32), pos.astype(np.int64), n.astype(np.int64), np.full(len(head), kind, np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], COLUMNS)
+
+
+def entries(docs: DataFrame, anchored: Callable, window: int, across: bool) -> DataFrame:
+    """Runs of the documents, reduced within each task.  anchored(data, offsets) gives arrays head, tail, run, row, pos, n."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for b in batches:
+            for rows, data, offsets in slices(pa.Table.from_batches([b])):
+                doc, twin = rows.column("doc_id").to_numpy(), rows.column("twin").to_numpy()
+                head, tail, run, row, pos, n = anchored(data, offsets)
+                parts.append([head, tail, run, doc[row], twin[row], pos, n])
+        yield from reduced(parts, window, across)
+
+    return docs.select("doc_id", "twin", "text").mapInArrow(task, ENTRY)
+
+
+def judged(rows: DataFrame, across: bool) -> DataFrame:
+    """Adds ``repeat``: the same key occurs earlier.  A key has at most a row (a document) per task."""
+    key = Window.partitionBy("head", "tail", "run")
+    first = rows.withColumn("first", F.min(F.struct("doc_id", "twin", "pos")).over(key))
+    later = (F.col("doc_id") > F.col("first.doc_id")) | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("twin") > F.col("first.twin")))
+    if not across:
+        same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("twin") == F.col("first.twin"))
+        later = later | (same & (F.col("pos") > F.col("first.pos")))
+    return first.select(*COLUMNS, later.alias("repeat"))
+
+
+def kept_level(table: DataFrame) -> DataFrame:
+    return table.filter(F.col("kind").isin(FRESH, LEVEL) & ~F.col("repeat")).select(*COLUMNS).withColumn("kind", F.lit(LEVEL))
+
+
+def repeats_of(table: DataFrame, window: int) -> DataFrame:
+    """doc_id, twin, start, length of what a judged table found repeated."""
+    return table.filter((F.col("kind") == SPAN) | ((F.col("kind") == FRESH) & F.col("repeat"))).select(
+        "doc_id", "twin", F.col("pos").alias("start"),
+        F.when(F.col("kind") == SPAN, F.col("n")).otherwise(F.col("n") + window - 1).alias("length"),
+    )
+
+
+def contested(level: DataFrame) -> DataFrame:
+    """Runs at whose anchor another, different run stands as well."""
+    several = level.groupBy("head", "tail").agg(F.min("run").alias("low"), F.max("run").alias("high")).filter("low <> high").select("head", "tail")
+    return level.join(several, ["head", "tail"], "left_semi").select("doc_id", "twin", "pos", "n")
+
+
+def spelt_out(docs: DataFrame, runs_: DataFrame, units: Callable, window: int, across: bool) -> DataFrame:
+    """One row for each window of the given runs, reduced within each task.  units(data, offsets): values and offsets of units."""
+    gathered = runs_.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))  # bounded by a document
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for b in batches:
+            for rows, data, offsets in slices(pa.Table.from_batches([b])):
+                doc, twin = rows.column("doc_id").to_numpy(), rows.column("twin").to_numpy()
+                values, bounds = units(data, offsets)
+                lists = rows.column("runs").combine_chunks()
+                each = np.asarray(lists.value_lengths())
+                flat = lists.flatten()
+                row = np.repeat(np.arange(len(doc)), each)
+                pos, n = np.asarray(flat.field("pos")), np.asarray(flat.field("n"))
+                which = np.repeat(np.arange(len(pos)), n)
+                at = pos[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                start = bounds[row[which]] + at
+                prefix = Prefix(values)
+                half = window // 2
+                head = mix(prefix.of(start, start + window)).view(np.int64)
+                tail = (mix(prefix.of(start, start + half) ^ U(0xA5A5A5A5)) >> U(32)).astype(np.uint32).view(np.int32)
+                parts.append([head, tail, np.zeros(len(at), np.int64), doc[row[which]], twin[row[which]], at, np.ones(len(at), np.int64)])
+        yield from reduced(parts, window, across)
+
+    return docs.join(gathered, ["doc_id", "twin"]).select("doc_id", "twin", "text", "runs").mapInArrow(task, ENTRY)
+
+
+def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """The numbered documents with spans (start, length in units), sorted; null where nothing repeats."""
+    gathered = spans.groupBy("doc_id", "twin").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"))
+    return docs.join(gathered, ["doc_id", "twin"], "left")
+
+
+def union_of(spans: list[dict] | None) -> list[tuple[int, int]]:
+    """Maximal removed stretches (start, end) of a sorted list of spans."""
+    out: list[list[int]] = []
+    for s in spans or ():
+        start, end = s["start"], s["start"] + s["length"]
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return [tuple(x) for x in out]
+
+
+def find_repeats(docs: DataFrame, levels: list[DataFrame], spans: list[DataFrame], units: Callable, window: int, across: bool, scratch: Scratch) -> DataFrame:
+    """Spans of everything repeated, given the runs that stay (levels) and the spans found with them."""
+    level = levels[0]
+    for more in levels[1:]:
+        level = level.unionAll(more)
+    disputed = scratch.write(judged(spelt_out(docs, contested(level), units, window, across), across).filter((F.col("kind") == SPAN) | F.col("repeat")), "disputed")
+    found = repeats_of(disputed, window)
+    for more in spans:
+        found = found.unionAll(more)
+    return found
