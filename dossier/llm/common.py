@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,12 +42,16 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
         self.names: set[str] = set()
 
-    def write(self, frame: DataFrame, name: str) -> DataFrame:
-        """Writes the frame as parquet and returns it reread."""
+    def write(self, frame: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Writes the frame as parquet (a folder for each value of ``by``) and returns it reread."""
         path = f"{self.root}/{name}"
-        frame.write.parquet(path)
+        schema = frame.schema
+        (frame.write.partitionBy(by) if by else frame.write).parquet(path)
         self.names.add(name)
-        return self.spark.read.schema(frame.schema).parquet(path)
+        del frame
+        gc.collect()
+        self.spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of what is written now
+        return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more."""
@@ -79,7 +84,8 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, nulls as empty, and the n+1 offsets of its values."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = column.cast(pa.large_binary() if binary else pa.large_string()).fill_null(b"" if binary else "")
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()

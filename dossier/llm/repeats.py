@@ -5,14 +5,15 @@ window has an *anchor*, a position inside it that depends on nothing but the win
 equal windows have equal anchors at equal places.  Neighbouring windows with one anchor form a *run*, and
 a run is described by
 
-* ``head`` and ``tail``: what stands at its anchor (leading units and a fingerprint),
-* ``run``: a fingerprint of all units that its windows cover, its width and the anchor's place in it.
+* ``anchor``: what stands at its anchor (of bytes the four leading ones, so that rows sort as suffixes do,
+  then a fingerprint),
+* ``mark``: a fingerprint of all units that its windows cover, its width and the anchor's place in it.
 
 Equal runs hold equal windows.  Windows of unequal runs can be equal only if the anchors are, so just
-those runs (``contested``) are spelt out window by window.  A task reduces what it has read before
+those runs (``contested``) are spelt out, first in narrower runs, then window by window.  A task reduces what it has read before
 anything is shuffled: of equal keys only the first occurrence travels on, what is already known to be a
 repeat is merged to a few spans.  A key therefore has at most one row from each task, however often it
-occurs.  Fingerprints are 64 bits beside the 8 leading bytes (or a second fingerprint).
+occurs.  Equality means equal ``anchor`` and ``mark``, 128 bits.
 
 Null texts are empty, a null doc_id counts as the largest id, rows that share a doc_id are documents of
 their own in the order of their texts.  Extra columns are ignored.
@@ -20,19 +21,26 @@ their own in the order of their texts.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.common import Scratch, flat_bytes, join_checked
 
-ENTRY = "head bigint, tail int, run bigint, doc_id bigint, twin int, pos bigint, n bigint, kind int"
+ENTRY = "anchor bigint, mark bigint, doc_id bigint, place bigint, flag int"
 COLUMNS = [c.split()[0] for c in ENTRY.split(", ")]
-#: kind: a candidate for the first occurrence, a span known to repeat, a row of a level, one only looked up
+#: Kinds of rows: a candidate for the first occurrence, a span known to repeat, a row of a level, one only looked up.
+#: place is pos << 31 | n of a span and pos << 31 | d << 12 | n of others (a text has under 2**31 units, a window
+#: under 4096); flag is twin << 2 | kind.  d is how far behind pos the anchor stands.
 FRESH, SPAN, LEVEL, LOOKED_UP = range(4)
+KIND, TWIN, POS, N, D, LENGTH = "flag & 3", "flag >> 2", "place >> 31", "place & 4095", "place >> 12 & 524287", "place & 2147483647"
+#: Rows of one bigint up to which the anchors that are contested go to every executor.
+CONTESTED_ROWS = 1_000_000
 NO_ID = 2**63 - 1
 #: Bytes of text handled at once inside a task.
 SLICE = 4 << 20
@@ -138,42 +146,44 @@ def spans_merged(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, length: n
     return doc[cut], twin[cut], start[cut], far[np.r_[cut[1:], len(doc)] - 1] - start[cut]
 
 
-def reduced(parts: list[list[np.ndarray]], window: int, across: bool) -> Iterator[pa.RecordBatch]:
+def reduced(parts: list[tuple], window: int, across: bool) -> Iterator[pa.RecordBatch]:
     """The rows of one task, sorted by what stands at the anchors: first occurrences and merged repeats.
 
     across: an occurrence repeats only what stands in an earlier document.
     """
     if not parts:
         return
-    head, tail, run, doc, twin, pos, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((pos, twin, doc, run, tail, head))
-    head, tail, run, doc, twin, pos, n = (x[order] for x in (head, tail, run, doc, twin, pos, n))
-    new = np.r_[True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1]) | (run[1:] != run[:-1])]
+    anchor, mark, doc, twin, pos, d, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(anchor):
+        return
+    order = np.lexsort((pos, twin, doc, mark, anchor))
+    anchor, mark, doc, twin, pos, d, n = (x[order] for x in (anchor, mark, doc, twin, pos, d, n))
+    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (mark[1:] != mark[:-1])]
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     repeat = (doc != doc[first]) | (twin != twin[first])
     if not across:
         repeat |= pos != pos[first]
     keep = ~repeat
-    yield batch(head[keep], tail[keep], run[keep], doc[keep], twin[keep], pos[keep], n[keep], FRESH)
-    sdoc, stwin, spos, slen = spans_merged(doc[repeat], twin[repeat], pos[repeat], n[repeat] + window - 1)
-    yield batch(mix(sdoc.view(np.uint64)).view(np.int64), np.full(len(sdoc), -1, np.int32), spos, sdoc, stwin, spos, slen, SPAN)
+    yield batch(anchor[keep], mark[keep], doc[keep], twin[keep], pos[keep], d[keep].astype(np.int64) << 12 | n[keep], FRESH)
+    doc, twin, pos, n = spans_merged(doc[repeat], twin[repeat], pos[repeat].astype(np.int64), n[repeat] + window - 1)
+    yield batch(mix(doc.view(np.uint64)).view(np.int64), pos, doc, twin, pos, n, SPAN)
 
 
-def batch(head, tail, run, doc, twin, pos, n, kind: int) -> pa.RecordBatch:
-    columns = (head, tail.astype(np.int32), run, doc, twin.astype(np.int32), pos.astype(np.int64), n.astype(np.int64), np.full(len(head), kind, np.int32))
+def batch(anchor, mark, doc, twin, pos, low, kind: int) -> pa.RecordBatch:
+    columns = (anchor, mark, doc, pos.astype(np.int64) << 31 | low.astype(np.int64), (twin << 2 | kind).astype(np.int32))
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], COLUMNS)
 
 
 def entries(docs: DataFrame, anchored: Callable, window: int, across: bool) -> DataFrame:
-    """Runs of the documents, reduced within each task.  anchored(data, offsets) gives arrays head, tail, run, row, pos, n."""
+    """Runs of the documents, reduced within each task.  anchored(data, offsets) gives arrays anchor, mark, row, pos, d, n."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for b in batches:
             for rows, data, offsets in slices(pa.Table.from_batches([b])):
                 doc, twin = rows.column("doc_id").to_numpy(), rows.column("twin").to_numpy()
-                head, tail, run, row, pos, n = anchored(data, offsets)
-                parts.append([head, tail, run, doc[row], twin[row], pos, n])
+                anchor, mark, row, pos, d, n = anchored(data, offsets)
+                parts.append((anchor, mark, doc[row], twin[row], *(x.astype(np.int32) for x in (pos, d, n))))
         yield from reduced(parts, window, across)
 
     return docs.select("doc_id", "twin", "text").mapInArrow(task, ENTRY)
@@ -181,59 +191,92 @@ def entries(docs: DataFrame, anchored: Callable, window: int, across: bool) -> D
 
 def judged(rows: DataFrame, across: bool) -> DataFrame:
     """Adds ``repeat``: the same key occurs earlier.  A key has at most a row (a document) per task."""
-    key = Window.partitionBy("head", "tail", "run")
-    first = rows.withColumn("first", F.min(F.struct("doc_id", "twin", "pos")).over(key))
-    later = (F.col("doc_id") > F.col("first.doc_id")) | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("twin") > F.col("first.twin")))
+    key = Window.partitionBy("anchor", "mark")
+    first = rows.withColumn("first", F.min(F.struct("doc_id", F.expr(TWIN).alias("twin"), "place")).over(key))
+    later = (F.col("doc_id") > F.col("first.doc_id")) | ((F.col("doc_id") == F.col("first.doc_id")) & (F.expr(TWIN) > F.col("first.twin")))
     if not across:
-        same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("twin") == F.col("first.twin"))
-        later = later | (same & (F.col("pos") > F.col("first.pos")))
+        same = (F.col("doc_id") == F.col("first.doc_id")) & (F.expr(TWIN) == F.col("first.twin"))
+        later = later | (same & (F.col("place") > F.col("first.place")))
     return first.select(*COLUMNS, later.alias("repeat"))
 
 
-def kept_level(table: DataFrame) -> DataFrame:
-    return table.filter(F.col("kind").isin(FRESH, LEVEL) & ~F.col("repeat")).select(*COLUMNS).withColumn("kind", F.lit(LEVEL))
+def settle(rows: DataFrame, window: int, across: bool, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """Judges the rows and writes what stays first (a level) and the spans doc_id, twin, start, length that repeat."""
+    part = F.expr(f"CASE WHEN {KIND} = {SPAN} OR ({KIND} = {FRESH} AND repeat) THEN 'spans' WHEN {KIND} IN ({FRESH}, {LEVEL}) AND NOT repeat THEN 'level' END")
+    table = scratch.write(judged(rows, across).withColumn("part", part).filter("part is not null").drop("repeat"), name, by="part")
+    level = table.filter("part = 'level'").select("anchor", "mark", "doc_id", "place", F.expr(f"flag & -4 | {LEVEL}").alias("flag"))
+    length = F.expr(f"CASE WHEN {KIND} = {SPAN} THEN {LENGTH} ELSE ({N}) + {window - 1} END")
+    return level, table.filter("part = 'spans'").select("doc_id", F.expr(TWIN).alias("twin"), F.expr(POS).alias("start"), length.alias("length"))
 
 
-def repeats_of(table: DataFrame, window: int) -> DataFrame:
-    """doc_id, twin, start, length of what a judged table found repeated."""
-    return table.filter((F.col("kind") == SPAN) | ((F.col("kind") == FRESH) & F.col("repeat"))).select(
-        "doc_id", "twin", F.col("pos").alias("start"),
-        F.when(F.col("kind") == SPAN, F.col("n")).otherwise(F.col("n") + window - 1).alias("length"),
-    )
+def contested(level: DataFrame) -> DataFrame:
+    """Runs (doc_id, twin, pos, d, n) at whose anchor another, different run stands as well.
 
+    Compared are 32 bits of each, so a few more runs than that may come out, which does no harm.
+    """
+    level = level.withColumn("a", F.expr("cast(anchor % 2147483647 as int)")).withColumn("m", F.expr("cast(mark % 2147483647 as int)"))
+    several = level.groupBy("a").agg(F.min("m").alias("low"), F.max("m").alias("high")).filter("low <> high").select("a")
+    several = several.persist(StorageLevel.DISK_ONLY)
+    found = level.join(F.broadcast(several) if several.count() <= CONTESTED_ROWS else several, "a", "left_semi")
+    return found.select("doc_id", *(F.expr(f"{e}").alias(n) for n, e in (("twin", TWIN), ("pos", POS), ("d", D), ("n", N))))
 
-def contested(level: DataFrame) -> DataFrame:
-    """Runs at whose anchor another, different run stands as well."""
-    several = level.groupBy("head", "tail").agg(F.min("run").alias("low"), F.max("run").alias("high")).filter("low <> high").select("head", "tail")
-    return level.join(several, ["head", "tail"], "left_semi").select("doc_id", "twin", "pos", "n")
 
+PIECE = "doc_id bigint, twin int, pos bigint, d bigint, n bigint, data binary"
 
-def spelt_out(docs: DataFrame, runs_: DataFrame, units: Callable, window: int, across: bool) -> DataFrame:
-    """One row for each window of the given runs, reduced within each task.  units(data, offsets): values and offsets of units."""
-    gathered = runs_.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))  # bounded by a document
+
+def pieces_of(docs: DataFrame, runs_: DataFrame, units: Callable, window: int) -> DataFrame:
+    """doc_id, twin, pos, d, n and the units that the runs' windows cover, as bytes."""
+    gathered = runs_.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("pos", "d", "n")).alias("runs"))  # bounded by a document
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
         for b in batches:
             for rows, data, offsets in slices(pa.Table.from_batches([b])):
-                doc, twin = rows.column("doc_id").to_numpy(), rows.column("twin").to_numpy()
                 values, bounds = units(data, offsets)
                 lists = rows.column("runs").combine_chunks()
-                each = np.asarray(lists.value_lengths())
-                flat = lists.flatten()
-                row = np.repeat(np.arange(len(doc)), each)
-                pos, n = np.asarray(flat.field("pos")), np.asarray(flat.field("n"))
-                which = np.repeat(np.arange(len(pos)), n)
-                at = pos[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                start = bounds[row[which]] + at
-                prefix = Prefix(values)
-                half = window // 2
-                head = mix(prefix.of(start, start + window)).view(np.int64)
-                tail = (mix(prefix.of(start, start + half) ^ U(0xA5A5A5A5)) >> U(32)).astype(np.uint32).view(np.int32)
-                parts.append([head, tail, np.zeros(len(at), np.int64), doc[row[which]], twin[row[which]], at, np.ones(len(at), np.int64)])
+                row = np.repeat(np.arange(rows.num_rows), np.asarray(lists.value_lengths()))
+                pos, d, n = (np.asarray(lists.flatten().field(c)) for c in ("pos", "d", "n"))
+                start = bounds[row] + pos
+                found = [values[s:e].tobytes() for s, e in zip(start.tolist(), (start + n + window - 1).tolist(), strict=True)]
+                columns = (rows.column("doc_id").to_numpy()[row], rows.column("twin").to_numpy()[row], pos, d, n)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(found, pa.binary())], ["doc_id", "twin", "pos", "d", "n", "data"])
+
+    return docs.select("doc_id", "twin", "text").join(gathered, ["doc_id", "twin"]).mapInArrow(task, PIECE)
+
+
+def narrower(pieces: DataFrame, kind: str, values: Callable, window: int, width: int, across: bool) -> DataFrame:
+    """The windows of the pieces in runs of at most ``width`` whose distances to the anchor have one quotient by it.
+
+    They are anchored by that quotient and the units that all such windows share, so equal windows stay
+    in runs with equal anchors; width 1 spells out the windows themselves.  d is the offset in the piece.
+    """
+    kind = np.dtype(kind)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for b in batches:
+            for at in range(0, b.num_rows, 20_000):
+                some = b.slice(at, 20_000)
+                doc, twin, pos, d, n = (some.column(c).to_numpy() for c in ("doc_id", "twin", "pos", "d", "n"))
+                data, offsets = flat_bytes(some.column("data"))
+                offsets = offsets // kind.itemsize
+                prefix = Prefix(values(np.frombuffer(data.tobytes(), kind)))
+                row = np.repeat(np.arange(len(doc)), n)
+                offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                block = (d[row] - offset) // width
+                cut = np.flatnonzero(np.r_[True, (offset[1:] == 0) | (block[1:] != block[:-1])])
+                span = np.diff(np.r_[cut, len(row)])
+                row, offset, block = row[cut], offset[cut], block[cut]
+                start = offsets[row] + offset
+                latest = offsets[row] + d[row] - block * width  # the last window of a full run begins here
+                if width == 1:
+                    anchor, mark = mix(prefix.of(start, start + window)), mix(prefix.of(start, start + window // 2) ^ U(0xA5A5A5A5))
+                else:
+                    anchor = mix(prefix.of(latest, latest + window - width + 1) ^ mix(block.astype(np.uint64)))
+                    mark = mix(prefix.of(start, start + span - 1 + window) ^ mix((span * 4096 + latest - start).astype(np.uint64)))
+                parts.append((anchor.view(np.int64), mark.view(np.int64), doc[row], twin[row], *(x.astype(np.int32) for x in (pos[row] + offset, offset, span))))
         yield from reduced(parts, window, across)
 
-    return docs.join(gathered, ["doc_id", "twin"]).select("doc_id", "twin", "text", "runs").mapInArrow(task, ENTRY)
+    return pieces.mapInArrow(task, ENTRY)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -254,13 +297,21 @@ def union_of(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def find_repeats(docs: DataFrame, levels: list[DataFrame], spans: list[DataFrame], units: Callable, window: int, across: bool, scratch: Scratch) -> DataFrame:
-    """Spans of everything repeated, given the runs that stay (levels) and the spans found with them."""
-    level = levels[0]
-    for more in levels[1:]:
-        level = level.unionAll(more)
-    disputed = scratch.write(judged(spelt_out(docs, contested(level), units, window, across), across).filter((F.col("kind") == SPAN) | F.col("repeat")), "disputed")
-    found = repeats_of(disputed, window)
-    for more in spans:
-        found = found.unionAll(more)
-    return found
+def find_repeats(
+    docs: DataFrame, levels: list[DataFrame], spans: list[DataFrame], units: Callable, values: Callable, kind: str, window: int, across: bool, scratch: Scratch, width: int
+) -> DataFrame:
+    """Spans of everything repeated, given the runs that stay (levels) and the spans found with them.
+
+    Contested runs are settled in narrower ones of ``width`` windows first (unless that is 1), then window by window.
+    """
+    union = lambda frames: functools.reduce(DataFrame.unionAll, frames)
+    pieces = scratch.write(pieces_of(docs, contested(union(levels)), units, window), "pieces")
+    if width > 1:
+        level, more = settle(narrower(pieces, kind, values, window, width, across), window, across, scratch, "narrower")
+        spans, size = [*spans, more], np.dtype(kind).itemsize
+        some = contested(level).withColumn("at", F.expr("pos - d"))
+        whole = pieces.select("doc_id", "twin", F.col("pos").alias("at"), "data")
+        stretch = F.expr(f"substring(data, cast(d * {size} + 1 as int), cast((n + {window - 1}) * {size} as int))")
+        pieces = some.join(whole, ["doc_id", "twin", "at"]).select("doc_id", "twin", "pos", "d", "n", stretch.alias("data"))
+    _, more = settle(narrower(pieces, kind, values, window, 1, across), window, across, scratch, "windows")
+    return union([*spans, more])

@@ -31,12 +31,17 @@ from dossier.llm.common import Scratch, read
 
 WINDOW = 100
 GRAM = 24
-BATCHES = 4
+BATCHES = 2
+NARROW = 8
 U = np.uint64
 
 
-def byte_units(data: np.ndarray, offsets: np.ndarray):
-    return R.BYTE_VALUES[data], offsets[:-1]
+def bytes_at(data: np.ndarray, offsets: np.ndarray):
+    return data, offsets[:-1]
+
+
+def byte_values(data: np.ndarray) -> np.ndarray:
+    return R.BYTE_VALUES[data]
 
 
 def anchored_bytes(window: int, gram: int, step: int = 1 << 20):
@@ -58,16 +63,16 @@ def anchored_bytes(window: int, gram: int, step: int = 1 << 20):
             if not len(start):
                 continue
             a, row = anchor[start], row[start]
-            head = np.zeros(len(a), np.uint64)
-            for k in range(8):
-                head = (head << U(8)) | x[a + k].astype(np.uint64)
-            tail = (grams[a] >> U(32)).astype(np.uint32).view(np.int32)
+            key = np.zeros(len(a), np.uint64)
+            for k in range(4):
+                key = (key << U(8)) | x[a + k].astype(np.uint64)
+            key = (key << U(32)) | (grams[a] >> U(32))
             whole = prefix.of(start, start + n - 1 + window)
             mark = R.mix(whole ^ R.mix((n * 4096 + (a - start)).astype(np.uint64)))
-            found.append((head.view(np.int64), tail, mark.view(np.int64), row, at + start - offsets[row], n))
+            found.append((key.view(np.int64), mark.view(np.int64), row, at + start - offsets[row], a - start, n))
         if not found:
             none = np.zeros(0, np.int64)
-            return none, none.astype(np.int32), none, none, none, none
+            return (none,) * 6
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     return run
@@ -92,10 +97,11 @@ def build(docs: DataFrame, window: int, gram: int, batches: int, scratch: Scratc
         for _, _, level in merging:
             rows = rows.unionAll(level)
         for _, _, level in family:
-            rows = rows.unionAll(level.withColumn("kind", F.lit(R.LOOKED_UP)))
-        table = scratch.write(R.judged(rows, False).filter(F.col("kind") != R.LOOKED_UP), f"level-{k}")
-        family.append((size, f"level-{k}", R.kept_level(table)))
-        spans.append(R.repeats_of(table, window))
+            rows = rows.unionAll(level.withColumn("flag", F.expr(f"flag | {R.LOOKED_UP}")))
+        level, found = R.settle(rows, window, False, scratch, f"level-{k}")
+        scratch.drop(*(f"{name}/part=level" for _, name, _ in merging))
+        family.append((size, f"level-{k}", level))
+        spans.append(found)
     return [level for _, _, level in family], spans
 
 
@@ -104,7 +110,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     scratch = Scratch(docs.sparkSession)
     docs = R.numbered(docs)
     levels, spans = build(docs, window, gram, batches, scratch)
-    return R.with_spans(docs, R.find_repeats(docs, levels, spans, byte_units, window, False, scratch)).select("text", "row", "spans")
+    return R.with_spans(docs, R.find_repeats(docs, levels, spans, bytes_at, byte_values, "u1", window, False, scratch, NARROW)).select("text", "row", "spans")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
