@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dossier.llm.recompression import op10_recompression
 from dossier.llm.suffix_dedup import op4_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_suffix_dedup": op4_suffix_dedup}
+    return {"op4_suffix_dedup": op4_suffix_dedup, "op10_recompression": op10_recompression}
 
 
 def oracle_sql() -> dict[str, str]:
