@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Separators of words: space, tab, newline, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Setting by which Spark deletes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Upper bound on the rows of a side that may be broadcast.
 BROADCAST_ROWS = 50_000
 
@@ -43,14 +44,19 @@ class Scratch:
         self.names: set[str] = set()
 
     def write(self, frame: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        """Writes the frame as parquet (a folder for each value of ``by``) and returns it reread."""
+        """Writes the frame as parquet (a folder for each value of ``by``) and returns it reread.
+
+        Spark deletes the shuffle files of the write as soon as it ends: what follows reads the table.
+        """
         path = f"{self.root}/{name}"
-        schema = frame.schema
-        (frame.write.partitionBy(by) if by else frame.write).parquet(path)
+        conf, schema = self.spark.conf, frame.schema
+        before = conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")
+        try:
+            (frame.write.partitionBy(by) if by else frame.write).parquet(path)
+        finally:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
         self.names.add(name)
-        del frame
-        gc.collect()
-        self.spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of what is written now
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:

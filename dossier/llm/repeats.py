@@ -12,8 +12,8 @@ a run is described by
 Equal runs hold equal windows.  Windows of unequal runs can be equal only if the anchors are, so just
 those runs (``contested``) are spelt out, first in narrower runs, then window by window.  A task reduces what it has read before
 anything is shuffled: of equal keys only the first occurrence travels on, what is already known to be a
-repeat is merged to a few spans.  A key therefore has at most one row from each task, however often it
-occurs.  Equality means equal ``anchor`` and ``mark``, 128 bits.
+repeat is merged to a few spans.  A key therefore has at most one row from each block of a task, however
+often it occurs.  Equality means equal ``anchor`` and ``mark``, 128 bits.
 
 Null texts are empty, a null doc_id counts as the largest id, rows that share a doc_id are documents of
 their own in the order of their texts.  Extra columns are ignored.
@@ -26,7 +26,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +41,9 @@ KIND, TWIN, POS, N, D, LENGTH = "flag & 3", "flag >> 2", "place >> 31", "place &
 #: Rows of one bigint up to which the anchors that are contested go to every executor.
 CONTESTED_ROWS = 1_000_000
 NO_ID = 2**63 - 1
-#: Bytes of text handled at once inside a task.
+#: Bytes of text handled at once inside a task, and rows reduced at once.
 SLICE = 4 << 20
+BLOCK = 400_000
 
 U = np.uint64
 _A = 0x9E3779B97F4A7C15 | 1
@@ -174,17 +174,30 @@ def batch(anchor, mark, doc, twin, pos, low, kind: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], COLUMNS)
 
 
+def in_blocks(found: Iterator[tuple], window: int, across: bool) -> Iterator[pa.RecordBatch]:
+    """Rows reduced whenever BLOCK of them have come together."""
+    parts, rows = [], 0
+    for part in found:
+        parts.append(part)
+        rows += len(part[0])
+        if rows >= BLOCK:
+            yield from reduced(parts, window, across)
+            parts, rows = [], 0
+    yield from reduced(parts, window, across)
+
+
 def entries(docs: DataFrame, anchored: Callable, window: int, across: bool) -> DataFrame:
     """Runs of the documents, reduced within each task.  anchored(data, offsets) gives arrays anchor, mark, row, pos, d, n."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for rows, data, offsets in slices(pa.Table.from_batches([b])):
                 doc, twin = rows.column("doc_id").to_numpy(), rows.column("twin").to_numpy()
                 anchor, mark, row, pos, d, n = anchored(data, offsets)
-                parts.append((anchor, mark, doc[row], twin[row], *(x.astype(np.int32) for x in (pos, d, n))))
-        yield from reduced(parts, window, across)
+                yield anchor, mark, doc[row], twin[row], *(x.astype(np.int32) for x in (pos, d, n))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from in_blocks(found(batches), window, across)
 
     return docs.select("doc_id", "twin", "text").mapInArrow(task, ENTRY)
 
@@ -200,25 +213,30 @@ def judged(rows: DataFrame, across: bool) -> DataFrame:
     return first.select(*COLUMNS, later.alias("repeat"))
 
 
-def settle(rows: DataFrame, window: int, across: bool, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """Judges the rows and writes what stays first (a level) and the spans doc_id, twin, start, length that repeat."""
+def settle(rows: DataFrame, window: int, across: bool, scratch: Scratch, name: str, last: bool) -> tuple[DataFrame, DataFrame]:
+    """Judges the rows and writes what stays first (a level) and the spans doc_id, twin, start, length that repeat.
+
+    Of the last level only ``contested`` is asked: its anchors are narrowed to 31 bits, its marks dropped.
+    """
     part = F.expr(f"CASE WHEN {KIND} = {SPAN} OR ({KIND} = {FRESH} AND repeat) THEN 'spans' WHEN {KIND} IN ({FRESH}, {LEVEL}) AND NOT repeat THEN 'level' END")
-    table = scratch.write(judged(rows, across).withColumn("part", part).filter("part is not null").drop("repeat"), name, by="part")
-    level = table.filter("part = 'level'").select("anchor", "mark", "doc_id", "place", F.expr(f"flag & -4 | {LEVEL}").alias("flag"))
+    table = judged(rows, across).withColumn("part", part).filter("part is not null").drop("repeat")
+    if last:
+        table = table.withColumn("anchor", F.expr("cast(anchor % 2147483647 as int)")).drop("mark")
+    table = scratch.write(table, name, by="part")
+    level = table.filter("part = 'level'").select(*(c for c in COLUMNS[:4] if c in table.columns), F.expr(f"flag & -4 | {LEVEL}").alias("flag"))
     length = F.expr(f"CASE WHEN {KIND} = {SPAN} THEN {LENGTH} ELSE ({N}) + {window - 1} END")
     return level, table.filter("part = 'spans'").select("doc_id", F.expr(TWIN).alias("twin"), F.expr(POS).alias("start"), length.alias("length"))
 
 
-def contested(level: DataFrame) -> DataFrame:
-    """Runs (doc_id, twin, pos, d, n) at whose anchor another, different run stands as well.
+def contested(level: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Runs (doc_id, twin, pos, d, n) of a last level at whose anchor another, different run stands as well.
 
-    Compared are 32 bits of each, so a few more runs than that may come out, which does no harm.
+    Rows of a level with one anchor have different marks (or stand in one document), so they are just
+    counted.  Compared are 31 bits, so a few more runs than that may come out, which does no harm.
     """
-    level = level.withColumn("a", F.expr("cast(anchor % 2147483647 as int)")).withColumn("m", F.expr("cast(mark % 2147483647 as int)"))
-    several = level.groupBy("a").agg(F.min("m").alias("low"), F.max("m").alias("high")).filter("low <> high").select("a")
-    several = several.persist(StorageLevel.DISK_ONLY)
-    found = level.join(F.broadcast(several) if several.count() <= CONTESTED_ROWS else several, "a", "left_semi")
-    return found.select("doc_id", *(F.expr(f"{e}").alias(n) for n, e in (("twin", TWIN), ("pos", POS), ("d", D), ("n", N))))
+    several = scratch.write(level.groupBy("anchor").agg(F.count("*").alias("rows")).filter("rows > 1").select("anchor"), name)
+    found = level.join(F.broadcast(several) if several.count() <= CONTESTED_ROWS else several, "anchor", "left_semi")
+    return found.select("doc_id", *(F.expr(e).alias(n) for n, e in (("twin", TWIN), ("pos", POS), ("d", D), ("n", N))))
 
 
 PIECE = "doc_id bigint, twin int, pos bigint, d bigint, n bigint, data binary"
@@ -251,8 +269,7 @@ def narrower(pieces: DataFrame, kind: str, values: Callable, window: int, width:
     """
     kind = np.dtype(kind)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for at in range(0, b.num_rows, 20_000):
                 some = b.slice(at, 20_000)
@@ -273,8 +290,10 @@ def narrower(pieces: DataFrame, kind: str, values: Callable, window: int, width:
                 else:
                     anchor = mix(prefix.of(latest, latest + window - width + 1) ^ mix(block.astype(np.uint64)))
                     mark = mix(prefix.of(start, start + span - 1 + window) ^ mix((span * 4096 + latest - start).astype(np.uint64)))
-                parts.append((anchor.view(np.int64), mark.view(np.int64), doc[row], twin[row], *(x.astype(np.int32) for x in (pos[row] + offset, offset, span))))
-        yield from reduced(parts, window, across)
+                yield anchor.view(np.int64), mark.view(np.int64), doc[row], twin[row], *(x.astype(np.int32) for x in (pos[row] + offset, offset, span))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from in_blocks(found(batches), window, across)
 
     return pieces.mapInArrow(task, ENTRY)
 
@@ -305,13 +324,13 @@ def find_repeats(
     Contested runs are settled in narrower ones of ``width`` windows first (unless that is 1), then window by window.
     """
     union = lambda frames: functools.reduce(DataFrame.unionAll, frames)
-    pieces = scratch.write(pieces_of(docs, contested(union(levels)), units, window), "pieces")
+    pieces = scratch.write(pieces_of(docs, contested(union(levels), scratch, "anchors"), units, window), "pieces")
     if width > 1:
-        level, more = settle(narrower(pieces, kind, values, window, width, across), window, across, scratch, "narrower")
+        level, more = settle(narrower(pieces, kind, values, window, width, across), window, across, scratch, "narrower", True)
         spans, size = [*spans, more], np.dtype(kind).itemsize
-        some = contested(level).withColumn("at", F.expr("pos - d"))
+        some = contested(level, scratch, "anchors-narrower").withColumn("at", F.expr("pos - d"))
         whole = pieces.select("doc_id", "twin", F.col("pos").alias("at"), "data")
         stretch = F.expr(f"substring(data, cast(d * {size} + 1 as int), cast((n + {window - 1}) * {size} as int))")
         pieces = some.join(whole, ["doc_id", "twin", "at"]).select("doc_id", "twin", "pos", "d", "n", stretch.alias("data"))
-    _, more = settle(narrower(pieces, kind, values, window, 1, across), window, across, scratch, "windows")
+    _, more = settle(narrower(pieces, kind, values, window, 1, across), window, across, scratch, "windows", True)
     return union([*spans, more])

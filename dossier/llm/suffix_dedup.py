@@ -30,7 +30,7 @@ from dossier.llm import repeats as R
 from dossier.llm.common import Scratch, read
 
 WINDOW = 100
-GRAM = 24
+GRAM = 16
 BATCHES = 2
 NARROW = 8
 U = np.uint64
@@ -98,11 +98,14 @@ def build(docs: DataFrame, window: int, gram: int, batches: int, scratch: Scratc
             rows = rows.unionAll(level)
         for _, _, level in family:
             rows = rows.unionAll(level.withColumn("flag", F.expr(f"flag | {R.LOOKED_UP}")))
-        level, found = R.settle(rows, window, False, scratch, f"level-{k}")
+        level, found = R.settle(rows, window, False, scratch, f"level-{k}", k == len(cuts) and not family)
         scratch.drop(*(f"{name}/part=level" for _, name, _ in merging))
         family.append((size, f"level-{k}", level))
         spans.append(found)
-    return [level for _, _, level in family], spans
+    levels = [level for _, _, level in family]
+    if len(levels) > 1 or "mark" in levels[0].columns:
+        levels = [level.select(F.expr("cast(anchor % 2147483647 as int)").alias("anchor"), "doc_id", "place", "flag") for level in levels]
+    return levels, spans
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
