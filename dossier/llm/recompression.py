@@ -147,7 +147,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, roun
         raise ValueError("gram must lie in 1..window and rounds in 0..3")
     scratch = Scratch(docs.sparkSession)
     docs = R.numbered(docs)
-    level, spans = R.settle(R.entries(docs, anchored_words(window, gram, rounds), window, True), window, True, scratch, "symbols")
+    level, spans = R.settle(R.entries(docs, anchored_words(window, gram, rounds), window, True), window, True, scratch, "symbols", True)
     found = R.find_repeats(docs, [level], [spans], word_units, lambda v: v, "u8", window, True, scratch, 1)
     return R.with_spans(docs, found).select("text", "row", "spans")
 
