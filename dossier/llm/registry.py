@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm.recompression import op10_recompression
+from dossier.llm.simhash import op7_simhash
 from dossier.llm.suffix_dedup import op4_suffix_dedup
+from dossier.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_suffix_dedup": op4_suffix_dedup, "op10_recompression": op10_recompression}
+    found = (op4_suffix_dedup, op7_simhash, op8_toxicity, op10_recompression)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
