@@ -8,13 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Separators of words: space, tab, newline, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Setting by which Spark deletes a query's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Stands for a null doc_id, which so counts as the largest.
+NO_ID = 2**63 - 1
 #: Upper bound on the rows of a side that may be broadcast.
 BROADCAST_ROWS = 50_000
 
@@ -86,6 +88,24 @@ def words(text: Column) -> Column:
     )
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, twin, text, row: twin tells rows with one doc_id apart; it is 0 everywhere if ids are unique.
+
+    row holds all columns but the text, so that their names cannot clash with ours.
+    """
+    row = F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row")
+    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), row)
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id", F.lit(True).alias("shared"))
+    if not (rows := shared.count()):
+        return docs.select("doc_id", F.lit(0).alias("twin"), "text", "row")
+    marked = join_checked(docs, shared, ["doc_id"], rows, "left")
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
+    return (
+        marked.filter("shared is null").select("doc_id", F.lit(0).alias("twin"), "text", "row")
+        .unionAll(marked.filter("shared").select("doc_id", order.alias("twin"), "text", "row"))
+    )
+
+
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, nulls as empty, and the n+1 offsets of its values."""
     if isinstance(column, pa.ChunkedArray):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm import repeats as R
-from dossier.llm.common import Scratch, read
+from dossier.llm.common import Scratch, numbered, read
 
 WINDOW = 13
 #: Words that an anchor must have from its start on.
@@ -146,7 +146,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, roun
     if not 0 < gram <= window or not 0 <= rounds <= 3:
         raise ValueError("gram must lie in 1..window and rounds in 0..3")
     scratch = Scratch(docs.sparkSession)
-    docs = R.numbered(docs)
+    docs = numbered(docs)
     level, spans = R.settle(R.entries(docs, anchored_words(window, gram, rounds), window, True), window, True, scratch, "symbols", True)
     found = R.find_repeats(docs, [level], [spans], word_units, lambda v: v, "u8", window, True, scratch, 1)
     return R.with_spans(docs, found).select("text", "row", "spans")

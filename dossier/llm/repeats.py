@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import Scratch, flat_bytes, join_checked
+from dossier.llm.common import NO_ID, Scratch, flat_bytes, numbered  # noqa: F401
 
 ENTRY = "anchor bigint, mark bigint, doc_id bigint, place bigint, flag int"
 COLUMNS = [c.split()[0] for c in ENTRY.split(", ")]
@@ -40,10 +40,9 @@ FRESH, SPAN, LEVEL, LOOKED_UP = range(4)
 KIND, TWIN, POS, N, D, LENGTH = "flag & 3", "flag >> 2", "place >> 31", "place & 4095", "place >> 12 & 524287", "place & 2147483647"
 #: Rows of one bigint up to which the anchors that are contested go to every executor.
 CONTESTED_ROWS = 1_000_000
-NO_ID = 2**63 - 1
 #: Bytes of text handled at once inside a task, and rows reduced at once.
-SLICE = 4 << 20
-BLOCK = 400_000
+SLICE = 1 << 20
+BLOCK = 250_000
 
 U = np.uint64
 _A = 0x9E3779B97F4A7C15 | 1
@@ -113,24 +112,6 @@ def slices(table: pa.Table, limit: int = SLICE) -> Iterator[tuple[pa.Table, np.n
         first = last
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, twin, text, row: twin tells rows with one doc_id apart; it is 0 everywhere if ids are unique.
-
-    row holds all columns but the text, so that their names cannot clash with ours.
-    """
-    row = F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row")
-    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), row)
-    shared = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id", F.lit(True).alias("shared"))
-    if not (rows := shared.count()):
-        return docs.select("doc_id", F.lit(0).alias("twin"), "text", "row")
-    marked = join_checked(docs, shared, ["doc_id"], rows, "left")
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
-    return (
-        marked.filter("shared is null").select("doc_id", F.lit(0).alias("twin"), "text", "row")
-        .unionAll(marked.filter("shared").select("doc_id", order.alias("twin"), "text", "row"))
-    )
-
-
 def spans_merged(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, length: np.ndarray):
     """Overlapping and touching spans of a document as one."""
     if not len(doc):

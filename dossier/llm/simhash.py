@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import BROADCAST_ROWS, Scratch, connected_components, join_checked, read
+from dossier.llm.common import BROADCAST_ROWS, NO_ID, Scratch, connected_components, join_checked, read
 
 SHINGLE = 3
 RADIUS = 2
@@ -33,7 +33,6 @@ RADIUS = 2
 SAMPLE = 16_384
 AIM = 8_192
 SHARD = 50_000
-NO_ID = 2**63 - 1
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:

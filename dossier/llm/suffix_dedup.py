@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm import repeats as R
-from dossier.llm.common import Scratch, read
+from dossier.llm.common import Scratch, numbered, read
 
 WINDOW = 100
 GRAM = 16
@@ -111,7 +111,7 @@ def build(docs: DataFrame, window: int, gram: int, batches: int, scratch: Scratc
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """text, row (the other columns), spans: the byte spans (start, length) to be removed, null where there are none."""
     scratch = Scratch(docs.sparkSession)
-    docs = R.numbered(docs)
+    docs = numbered(docs)
     levels, spans = build(docs, window, gram, batches, scratch)
     return R.with_spans(docs, R.find_repeats(docs, levels, spans, bytes_at, byte_values, "u1", window, False, scratch, NARROW)).select("text", "row", "spans")
 
