@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dossier.llm import chat, mixing
+from dossier.llm.chat import op9_chat
+from dossier.llm.mixing import op1_mixing
+from dossier.llm.packing import op2_packing
 from dossier.llm.recompression import op10_recompression
 from dossier.llm.simhash import op7_simhash
 from dossier.llm.suffix_dedup import op4_suffix_dedup
@@ -13,9 +17,9 @@ from dossier.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_suffix_dedup, op7_simhash, op8_toxicity, op10_recompression)
+    found = (op1_mixing, op2_packing, op4_suffix_dedup, op7_simhash, op8_toxicity, op9_chat, op10_recompression)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": mixing.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL}
