@@ -10,6 +10,7 @@ from dossier.llm import chat, mixing
 from dossier.llm.chat import op9_chat
 from dossier.llm.mixing import op1_mixing
 from dossier.llm.packing import op2_packing
+from dossier.llm.quality import op5_quality
 from dossier.llm.recompression import op10_recompression
 from dossier.llm.simhash import op7_simhash
 from dossier.llm.suffix_dedup import op4_suffix_dedup
@@ -17,7 +18,7 @@ from dossier.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op2_packing, op4_suffix_dedup, op7_simhash, op8_toxicity, op9_chat, op10_recompression)
+    found = (op1_mixing, op2_packing, op4_suffix_dedup, op5_quality, op7_simhash, op8_toxicity, op9_chat, op10_recompression)
     return {f.__name__: f for f in found}
 
 
