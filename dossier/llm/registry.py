@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm import chat, mixing
 from dossier.llm.chat import op9_chat
+from dossier.llm.embedding_dedup import op6_embeddings
 from dossier.llm.langid import op3_langid
 from dossier.llm.mixing import op1_mixing
 from dossier.llm.packing import op2_packing
@@ -19,7 +20,7 @@ from dossier.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op2_packing, op3_langid, op4_suffix_dedup, op5_quality, op7_simhash, op8_toxicity, op9_chat, op10_recompression)
+    found = (op1_mixing, op2_packing, op3_langid, op4_suffix_dedup, op5_quality, op6_embeddings, op7_simhash, op8_toxicity, op9_chat, op10_recompression)
     return {f.__name__: f for f in found}
 
 
