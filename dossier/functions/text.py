@@ -1,11 +1,134 @@
-"""Text normalisers as Column -> Column functions."""
+"""Text normalisers as Column -> Column functions.
+
+Java's ``\\d``, ``\\w``, ``\\b`` and ``(?i)`` are ASCII here; add ``(?U)`` where Unicode classes matter.
+"""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def text(value: Column) -> Column:
+    return F.coalesce(value, F.lit(""))
+
+
+@F.pandas_udf("string")
+def _nfc(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: v if v is None else unicodedata.normalize("NFC", v))
+
+
+def nfc(value: Column) -> Column:
+    """NFC form; Spark has no built-in, so only non-ASCII values go through Python."""
+    return F.when(value.rlike(r"^[\x00-\x7F]*$"), value).otherwise(_nfc(value))
+
+
+def clean(value: Column) -> Column:
+    """Null is empty, white space is single spaces, trailing punctuation goes (the caller has applied nfc)."""
+    spaced = F.trim(F.regexp_replace(text(value), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(spaced, r"[,;:.\-–—]+$", ""))
+
+
 def squash(value: Column) -> Column:
     """Lower-case, runs of anything but a-z and 0-9 become one space, trimmed; null becomes empty."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(text(value)), "[^a-z0-9]+", " "))
+
+
+def blank_to_null(value: Column) -> Column:
+    return F.when(value != "", value)
+
+
+def person(value: Column) -> Column:
+    """A person's name without qualifications, registration and closing bracket; null if nothing is left."""
+    name = clean(value)
+    for pattern in (
+        r"(?i),\s*(m\.?s|m\.?d|m\.?b\.?b\.?s|d\.?n\.?b|d\.?a|f\.?r\.?c\.?s|dip|ph\.?d)\b.*$",
+        r"\s*·.*$",
+        r"(?i)\s*\breg(istration)?\.?\s*(no\.?)?\s*[:.]?\s*\S+.*$",
+        r"\s*\([^()]*\)\s*$",
+    ):
+        name = F.regexp_replace(name, pattern, "")
+    return blank_to_null(clean(F.regexp_replace(name, r"^[ ,;·-]+|[ ,;·-]+$", "")))
+
+
+def person_key(value: Column) -> Column:
+    """Comparison form of a person: no honorific, squashed."""
+    return squash(F.regexp_replace(text(person(value)), r"(?i)^(dr|prof|mr|mrs|ms|miss|smt|shri)\.?\s+", ""))
+
+
+def gender(value: Column) -> Column:
+    token = F.regexp_extract(F.lower(clean(value)), r"\b(male|female|other|m|f)\b", 1)
+    return F.when(token.isin("m", "male"), "male").when(token.isin("f", "female"), "female").when(token == "other", "other")
+
+
+def icd10(value: Column) -> Column:
+    """The first diagnosis code: a letter other than U, two digits, an optional suffix."""
+    return blank_to_null(F.regexp_extract(F.upper(clean(value)), r"\b([A-TV-Z][0-9]{2}(\.[0-9A-Z]{1,4})?)\b", 1))
+
+
+def without_icd10(value: Column) -> Column:
+    code = r"[A-TV-Z][0-9]{2}(\.[0-9A-Z]{1,4})?"
+    short = F.regexp_replace(clean(value), rf"(?i)\(?\s*icd-?10\s*[:.]?\s*{code}\s*\)?", "")
+    return blank_to_null(clean(F.regexp_replace(short, rf"\(\s*{code}\s*\)", "")))
+
+
+def first_patterns(value: Column, patterns: dict[str, str], implied: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """Keys of the patterns a text matches, in order, without those that a more specific match implies."""
+    lowered = F.lower(clean(value))
+    found = F.array_compact(F.array(*(F.when(lowered.rlike(p), k) for k, p in patterns.items())))
+    for key, general in (implied or {}).items():
+        found = F.when(F.array_contains(found, key), F.array_except(found, F.array(*map(F.lit, general)))).otherwise(found)
+    return found
+
+
+def plural(n: Column, singular: str, several: str | None = None) -> Column:
+    """3 documents, 1 document, 2 entries."""
+    return F.concat(n.cast("string"), F.when(n == 1, f" {singular}").otherwise(f" {several or singular + 's'}"))
+
+
+def names(values: Column, last: str = "and") -> Column:
+    """Distinct sorted values as "a, b and c"."""
+    v = F.array_sort(F.array_distinct(F.array_compact(values)))
+    head = F.array_join(F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))), ", ")
+    return F.when(F.size(v) == 0, "").when(F.size(v) == 1, F.get(v, F.lit(0))).otherwise(F.concat(head, F.lit(f" {last} "), F.element_at(v, -1)))
+
+
+def snippet(line: Column, start: Column, end: Column, around: int = 28, width: int = 90) -> Column:
+    """The text around a match (start and end count from 0), wide gaps as dots."""
+    left = F.greatest(F.lit(0), start - around)
+    cut = F.trim(F.substring(line, left + 1, end + around - left))
+    return F.substring(F.regexp_replace(cut, r"\s{2,}", " · "), 1, width)
+
+
+def file_name(value: Column, most: int = 255) -> Column:
+    """Base name without control and direction characters, cut before its extension."""
+    base = F.regexp_replace(F.regexp_extract(text(value), r"([^/\\]*)$", 1), r"[\x00-\x1F\x7F‎‏‪-‮⁦-⁩]", "")
+    dot = F.regexp_extract(base, r"(\.[^.]{1,16})$", 1)
+    cut = F.concat(F.substring(base, F.lit(1), most - F.length(dot)), dot)
+    return F.when(F.length(base) > most, cut).otherwise(base)
+
+
+def email(value: Column) -> Column:
+    """Lower-case address of a permissive shape, else null."""
+    v = F.lower(F.trim(text(value)))
+    return F.when((F.length(v) <= 254) & v.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), v)
+
+
+def scrub(value: Column, banned: list[str]) -> Column:
+    """The sentences of a text that hold none of the banned words."""
+    sentences = F.split(text(value), r"(?<=[.!?])\s+")
+    return F.array_join(F.filter(sentences, lambda s: ~F.lower(s).rlike(r"\b(" + "|".join(banned) + r")\b")), " ")
+
+
+def intent(value: Column, groups: dict[str, tuple[str, ...]], other: str = "unknown") -> Column:
+    """The first group one of whose keywords the text contains."""
+    lowered, found = F.lower(text(value)), F.lit(other)
+    for name, keys in reversed(groups.items()):
+        hit = F.lit(False)
+        for key in keys:
+            hit = hit | F.contains(lowered, F.lit(key))
+        found = F.when(hit, name).otherwise(found)
+    return found

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    from dossier.plans import documents
+    from dossier.plans import checks, claims, documents
 
     found: dict[str, tuple] = {}
-    for module in (documents,):
+    for module in (documents, claims, checks):
         for name, item in module.CATALOGUE.items():
             if name in found:
                 raise ValueError(f"query {name} is registered twice")
