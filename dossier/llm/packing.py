@@ -14,6 +14,7 @@ an empty table gives no rows.  Sequence ids run from 0 without gaps.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,32 +36,54 @@ CACHE = 400_000
 #: Rows ranked together.
 RANKED = 200_000
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-_odd = re.compile("[\x1c-\x1f]")
+#: Texts with these go to the tokenizer whole: separators that are white space to Python but not to it, its special
+#: tokens, and the two letters that it lowers otherwise.
+_odd = re.compile("[\x1c-\x1fΣİ]|<\\|")
+#: Words of these characters, lowered, are split as the tokenizer's pattern does and mapped to its byte letters here.
+_plain = re.compile("[!-~¡-ɏ]+")
+_part = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ɏ0-9²³¹¼-¾]+")
 
 
-class Ids:
-    """Ids of whole texts as packed 32-bit integers.
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for letters from 256 on."""
+    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    moved = [b for b in range(256) if b not in kept]
+    return {b: chr(b) if b in kept else chr(256 + moved.index(b)) for b in range(256)}
 
-    This tokenizer drops white space and never looks across it, so ids are remembered word by word.  The
-    separators U+001C to U+001F are white space to Python but not to the tokenizer: such texts go there whole.
+
+class Ids(dict):
+    """Ids of words, then of whole texts, as packed 32-bit integers.
+
+    This tokenizer drops white space and never looks across it, so ids are remembered word by word, and a
+    plain word's parts go straight to its model.  What is not plain goes through the whole tokenizer;
+    tests/llm holds both ways against each other.
     """
 
     def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.split = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def __missing__(self, word: str) -> bytes:
+        if _plain.fullmatch(word):
+            parts = (p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in _part.findall(word))
+            found = b"".join(t.id.to_bytes(4, "little") for p in parts for t in self.split(p))
+        else:
+            found = self.whole(word)
+        self[word] = found
+        return found
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 256):
-            if len(self.known) > CACHE:
-                self.known.clear()
-            split = [None if _odd.search(t) else t.split() for t in (t or "" for t in texts[at : at + 256])]
-            if new := list({w for words in split if words for w in words}.difference(self.known)):
-                self.known.update(zip(new, self._encode(new), strict=True))
-            for text, words in zip(texts[at : at + 256], split, strict=True):
-                yield self._encode([text])[0] if words is None else b"".join(map(self.known.__getitem__, words))
+        for k, text in enumerate(texts):
+            if not k % 64 and len(self) > CACHE:
+                self.clear()
+            text = text or ""
+            yield self.whole(text) if _odd.search(text) else b"".join(map(self.__getitem__, text.lower().split()))
 
 
 def tokenized(docs: DataFrame, capacity: int, path: str, end: int = END) -> DataFrame:
