@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from dossier.functions.text import squash
 from dossier.operators.ranking import duplicate_groups
@@ -48,7 +49,7 @@ SELECT doc_id, CASE WHEN n = 1 THEN 'unique' WHEN doc_id = o THEN 'has_duplicate
 """
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
