@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -158,7 +157,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     return spark.createDataFrame([], "node bigint, component bigint") if before[0] == 0 else found
 
 
-def chunks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
-    """Arrow batches as tables of the named columns."""
-    for batch in batches:
-        yield pa.Table.from_batches([batch]).select(names)
+def named_by_least(points: DataFrame, components: DataFrame) -> DataFrame:
+    """node and component_id: the least ``low`` of any point (node, low) in the node's component."""
+    placed = points.select("node", "low").join(components, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
+    least = placed.groupBy("component").agg(F.min("low").alias("component_id"))
+    return placed.join(least, "component").select("node", "component_id")

@@ -13,8 +13,8 @@ per point and a spanning forest of its links, never the pairs.  Components come
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those with
 a null label, link with nothing and are their own component; vectors of different lengths never link;
-rows sharing a vec_id are one node; a null vec_id is never a component's name unless alone; an empty
-table gives no rows.
+rows sharing a vec_id are vectors of their own; a null vec_id counts as the largest; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import NO_ID, Scratch, connected_components, read
+from dossier.llm.common import NO_ID, Scratch, connected_components, named_by_least, read
 from dossier.llm.simhash import hook
 
 THRESHOLD = 0.98
@@ -41,22 +41,27 @@ GROUPS = 512
 
 
 def points_of(vectors: DataFrame) -> DataFrame:
-    """One row per label and vector that can link: point (smallest vec_id), label, unit (a double array), copies."""
+    """One row per label and vector that can link: point (a number), label, v (as doubles), copies, low (smallest vec_id)."""
     valid = vectors.filter("label is not null and embedding is not null and size(embedding) > 0").filter(
         ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     )
-    # -0.0 is 0.0; scaled by the largest component first, so that squares neither overflow nor vanish
+    # -0.0 is 0.0
     double = valid.select(F.coalesce("vec_id", F.lit(NO_ID)).cast("bigint").alias("vec_id"), "label", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
-    return double.groupBy("label", "v").agg(F.min("vec_id").alias("point"), F.count("*").alias("copies"))
+    points = double.groupBy("label", "v").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    # numbered inside hash buckets, so no task sees them all
+    bucket = points.withColumn("bucket", F.expr("pmod(xxhash64(label, v), 4096)"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("label", "v"))
+    return bucket.withColumn("point", F.col("bucket") * 2**40 + place).drop("bucket")
 
 
 def units(rows: list) -> np.ndarray:
+    """Scaled to length 1, by the largest component first, so that squares neither overflow nor vanish."""
     x = np.array(rows, float)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def described(points: DataFrame, pivots: dict[int, np.ndarray], listed: int) -> DataFrame:
+def described(points: DataFrame, pivots: dict[int, tuple[int, np.ndarray]], listed: int) -> DataFrame:
     """Adds ``nearest``, the nearest pivots of a vector's own length in order."""
     shared = points.sparkSession.sparkContext.broadcast(pivots)
 
@@ -68,14 +73,14 @@ def described(points: DataFrame, pivots: dict[int, np.ndarray], listed: int) ->
                 nearest: list = [None] * some.num_rows
                 for d in np.unique(size):
                     own = np.flatnonzero(size == d)
-                    p = shared.value.get(int(d))
+                    begin, p = shared.value.get(int(d), (0, None))
                     if p is None:  # no vector of this length in the sample: one list for them all
                         found = np.full((len(own), 1), -int(d))
                     else:
                         near = units(some.column("v").take(pa.array(own)).to_pylist()) @ p.T
                         k = min(listed, near.shape[1])
                         found = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                        found = np.take_along_axis(found, np.argsort(-np.take_along_axis(near, found, 1), axis=1, kind="stable"), 1)
+                        found = begin + np.take_along_axis(found, np.argsort(-np.take_along_axis(near, found, 1), axis=1, kind="stable"), 1)
                     for row, f in zip(own, found, strict=True):
                         nearest[row] = f.tolist()
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(nearest, pa.list_(pa.int32()))], [*some.schema.names, "nearest"])
@@ -162,12 +167,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, listed: in
     by_size: dict[int, list] = {}
     for r in sample:
         by_size.setdefault(len(r.v), []).append(r.v)
-    index = scratch.write(described(points, {d: units(v) for d, v in by_size.items()}, listed), "index")
+    pivots, begin = {}, 0  # numbered on over all lengths, so that a list holds one length
+    for d, v in sorted(by_size.items()):
+        pivots[d], begin = (begin, units(v)), begin + len(v)
+    index = scratch.write(described(points, pivots, listed), "index")
     found = linked(index, threshold, shared, scratch)
     counts = found.groupBy("point").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("point").alias("a"), F.col("root").alias("b")), scratch)
-    named = points.join(counts, "point", "left").join(components, points["point"] == components["node"], "left")
-    named = scratch.write(named.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "point").alias("component_id")), "named")
+    names = named_by_least(points.select(F.col("point").alias("node"), "low"), components).withColumnRenamed("node", "point")
+    named = points.join(counts, "point", "left").join(names, "point")
+    named = scratch.write(named.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "named")
     rows = vectors.withColumn("v", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)))
     rows = rows.join(named, ["label", "v"], "left")
     component = F.coalesce("component_id", "vec_id")

@@ -10,7 +10,7 @@ dealt out as pairs of blocks.  Components come from alternating stars over those
 
 Defined results: lower-casing touches A-Z only; fewer words than a shingle give one shingle of them all;
 no words (null, empty, blank) give the zero fingerprint, which links like any other; a null doc_id counts
-as the largest id; rows that share a doc_id are one node of the link graph; an empty table gives no rows.
+as the largest id; rows that share a doc_id are documents of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import BROADCAST_ROWS, NO_ID, Scratch, connected_components, join_checked, read
+from dossier.llm.common import BROADCAST_ROWS, NO_ID, Scratch, connected_components, join_checked, named_by_least, read
 
 SHINGLE = 3
 RADIUS = 2
@@ -172,9 +172,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """doc_id, fp, component_id of every row."""
     scratch = Scratch(docs.sparkSession)
     marked = scratch.write(fingerprints(docs, shingle), "fingerprints")
-    points = scratch.write(marked.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("node")), "points")
-    found = connected_components(links(points, radius, scratch), scratch)
-    classes = scratch.write(points.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "classes")
+    points = scratch.write(marked.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("low")), "points")
+    found = connected_components(links(points.select("fp", F.col("fp").alias("node")), radius, scratch), scratch)
+    classes = scratch.write(named_by_least(points.withColumnRenamed("fp", "node"), found).withColumnRenamed("node", "fp"), "classes")
     rows = classes.count()
     named = join_checked(marked, classes, ["fp"], rows)
     return named.select("doc_id", "fp", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))

@@ -37,10 +37,13 @@ def test_simhash_equals_brute_force(spark, docs, odd_docs, monkeypatch):
     monkeypatch.setattr(simhash, "AIM", 4)  # many shards
     monkeypatch.setattr(simhash, "SHARD", 3)  # split into blocks
     rows = [(FAR if i is None else i, plain_fingerprint(t)) for i, t, *_ in odd_docs]
-    links = [(a, b) for a, x in rows for b, y in rows if (x ^ y).bit_count() <= 2]
-    expected = components({a for a, _ in rows}, links)
+    links = [(a, b) for a, (_, x) in enumerate(rows) for b, (_, y) in enumerate(rows) if (x ^ y).bit_count() <= 2]
+    root = components(range(len(rows)), links)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[root[k]] = min(i, least.get(root[k], FAR))
     got = sorted((FAR if r.doc_id is None else r.doc_id, r.fp & (2**64 - 1), FAR if r.component_id is None else r.component_id) for r in simhash.near_duplicates(docs).collect())
-    assert got == sorted((i, f, expected[i]) for i, f in rows)
+    assert got == sorted((i, f, least[root[k]]) for k, (i, f) in enumerate(rows))
 
 
 def test_upper_case_beyond_ascii_stays():
@@ -86,7 +89,8 @@ def test_embeddings_equal_brute_force(spark):
     rows = [(k, (base[k % 60] + (rng.normal(size=8) * 0.05 if k >= 60 else 0)).astype(np.float32).tolist(), k % 3) for k in range(240)]
     rows += [(1000 + k, rows[5][1], 2) for k in range(30)] + [(1100 + k, [2 * x for x in rows[5][1]], 2) for k in range(3)]
     rows += [(2000, None, 1), (2001, [0.0] * 8, 1), (2002, [1.0, None] + [0.0] * 6, 1), (2003, [float("nan")] * 8, 1), (2004, rows[5][1], None), (2005, [], 1), (2006, [1.0, 2.0], 1), (2007, [1.0, 2.0], 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumnRenamed("x", "x")
+    rows += [(3000 + k, rng.normal(size=3).astype(np.float32).tolist(), 1) for k in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, pivots_per_root=1).collect()}
     fair = [(i, np.array(v, float), c) for i, v, c in rows if c is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links = [(a, b) for a, x, c in fair for b, y, d in fair if a != b and c == d and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98]
