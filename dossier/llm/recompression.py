@@ -171,3 +171,16 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("row.doc_id", "text", "spans").mapInArrow(task, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+
+
+#: The query by plain grouping of all windows.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS k FROM d, unnest(range(1, len(w) - 11)) u(p)),
+hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY k) AS first FROM win) WHERE doc_id > first),
+gone AS (SELECT DISTINCT doc_id, p + o AS q FROM hit, unnest(range(13)) v(o)),
+each AS (SELECT doc_id, q, w[q] AS word FROM d, unnest(range(1, len(w) + 1)) u(q)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS text FROM each ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -168,3 +168,21 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batch
             yield pa.RecordBatch.from_arrays([row[n] for n in names], names)
 
     return found.mapInArrow(task, schema)
+
+
+#: The query by plain grouping of all windows, texts in hex.
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, p, md5(substring(h, 2 * p + 1, 200)) AS k FROM d, unnest(range(greatest(len(h) // 2 - 99, 0))) u(p)),
+hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM win) WHERE n > 1),
+cut AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS begins FROM hit),
+isle AS (SELECT doc_id, p, sum(begins) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS g FROM cut),
+span AS (SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM isle GROUP BY doc_id, g),
+gap AS (
+  SELECT doc_id, coalesce(lag(e) OVER w, 0) AS a, s AS b FROM span WINDOW w AS (PARTITION BY doc_id ORDER BY s)
+  UNION ALL SELECT doc_id, max(e), NULL FROM span GROUP BY doc_id
+), kept AS (SELECT doc_id, string_agg(substring(h, 2 * a + 1, 2 * (coalesce(b, len(h) // 2) - a)), '' ORDER BY a) AS k FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+total AS (SELECT doc_id, sum(e - s) AS removed, count(*) AS n FROM span GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN total USING (doc_id)
+"""
