@@ -33,8 +33,8 @@ VOCABULARY = "word_bpe_49k.json"
 END = 0
 #: Words whose ids a worker remembers, at most.
 CACHE = 400_000
-#: Rows ranked together.
-RANKED = 200_000
+#: Rows of one size ranked together.
+RANKED = 2_000
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Texts with these go to the tokenizer whole: separators that are white space to Python but not to it, its special
 #: tokens, and the two letters that it lowers otherwise.
@@ -182,13 +182,15 @@ def placed(pieces: DataFrame, capacity: int) -> DataFrame:
     # sorted by size and rank, both in one key
     table = np.array(sorted(rows), np.int64).reshape(-1, 6)
     shared = spark.sparkContext.broadcast(((table[:, 0] << 44) | table[:, 1], table))
-    salts = 1 + sum(histogram.values()) // RANKED
-    salted = pieces.withColumn("salt", F.expr(f"pmod(xxhash64(doc_id, piece), {salts})"))
+    # only frequent sizes are dealt out further: at most capacity rows say in how many parts
+    salts = spark.createDataFrame([(n, 1 + k // RANKED) for n, k in histogram.items()], "length bigint, salts int")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.expr("pmod(xxhash64(doc_id, piece), salts)"))
     sizes = salted.groupBy("length", "salt").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = join_checked(salted.withColumn("own", own), sizes, ["length", "salt"], salts * capacity)
+    groups = sum(1 + k // RANKED for k in histogram.values())
+    ranked = join_checked(salted.withColumn("own", own), sizes, ["length", "salt"], groups)
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("own")).alias("rank"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
