@@ -30,7 +30,7 @@ MAX_EPOCHS = 1.25
 BLOCK_TOKENS = 1_000_000
 SEED = 17
 #: Rows of a bucket aimed at.
-BUCKET = 50_000
+BUCKET = 2_000
 STEPS = 30
 
 
@@ -100,15 +100,13 @@ def emissions(docs: DataFrame, budget_share: float | None, max_epochs: float | N
     thin = scratch.write(thin, "thin")
     sources, budget = quotas(thin, scratch, budget_share, max_epochs, min_entropy)
     blocks = max(1, -(-budget // block_tokens))
-    digits, rows = 0, thin.count()
-    while rows > BUCKET * 16**digits and digits < 8:
-        digits += 1
-    of = join_checked(thin, sources.select("name", F.col("tokens").alias("all_tokens"), "quota"), ["name"], sources.count())
+    digits = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("rows") / BUCKET))).cast("int").alias("digits")  # 16 buckets to a digit
+    of = join_checked(thin, sources.select("name", F.col("tokens").alias("all_tokens"), "quota", digits), ["name"], sources.count())
     full = F.expr("CASE WHEN all_tokens = 0 THEN 1 ELSE quota div all_tokens END")
     of = of.withColumn("full", full).withColumn("rest", F.expr("CASE WHEN all_tokens = 0 THEN 0 ELSE quota % all_tokens END"))
     epochs = F.col("full") + F.when(F.col("rest") > 0, 1).otherwise(0)
     of = of.filter(epochs > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), epochs - 1)))
-    of = of.withColumn("key", shuffled(F.lit(str(seed)), F.col("epoch").cast("string"), F.col("doc_id").cast("string"))).withColumn("bucket", F.substring("key", 1, digits))
+    of = of.withColumn("key", shuffled(F.lit(str(seed)), F.col("epoch").cast("string"), F.col("doc_id").cast("string"))).withColumn("bucket", F.substring(F.col("key"), F.lit(1), F.col("digits")))
     group = ["name", "epoch", "bucket"]
     sums = of.groupBy(*group).agg(F.sum("tokens").alias("bucket_tokens"))
     earlier = F.sum("bucket_tokens").over(Window.partitionBy("name", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
