@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -37,12 +39,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder, to cut lineage so that a lost executor costs no recomputation."""
+    """Tables written to the shared folder, to cut lineage so that a lost executor costs no recomputation.
+
+    A result may read them as long as the driver's Python runs; they are deleted when it ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-        self.names: set[str] = set()
+        atexit.register(self.clear)
 
     def write(self, frame: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """Writes the frame as parquet (a folder for each value of ``by``) and returns it reread.
@@ -57,16 +62,18 @@ class Scratch:
             (frame.write.partitionBy(by) if by else frame.write).parquet(path)
         finally:
             conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
-        self.names.add(name)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more."""
+        """Deletes tables (or folders of a partition) that nothing reads any more."""
         jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-            self.names.discard(name)
+
+    def clear(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            self.drop("")
 
 
 def join_checked(left: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "inner") -> DataFrame:

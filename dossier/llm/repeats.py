@@ -314,4 +314,5 @@ def find_repeats(
         stretch = F.expr(f"substring(data, cast(d * {size} + 1 as int), cast((n + {window - 1}) * {size} as int))")
         pieces = some.join(whole, ["doc_id", "twin", "at"]).select("doc_id", "twin", "pos", "d", "n", stretch.alias("data"))
     _, more = settle(narrower(pieces, kind, values, window, 1, across), window, across, scratch, "windows", True)
+    scratch.drop("anchors", "anchors-narrower", "pieces", "narrower/part=level", "windows/part=level")
     return union([*spans, more])
