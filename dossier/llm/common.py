@@ -88,7 +88,7 @@ def crc_of_id(doc_id: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Array of the words of a text; null and blank texts give an empty array."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(
         F.split(trimmed, r"[\x20\x09-\x0D]+", -1)
     )
