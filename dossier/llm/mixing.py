@@ -2,8 +2,8 @@
 
 Source shares of the tokens are raised to an exponent and normalised to weights.  The exponent is
 bisected, either to the largest in 0..1 whose weights reach a target entropy (as a share of the greatest
-possible one) or to the smallest whose weights repeat no source more often than a limit.  Each step of
-the bisection is one aggregate over the sources; the driver sees two numbers of it.
+possible one) or to the smallest whose weights repeat no source more often than a limit.  A few steps
+of the bisection are one aggregate over the sources, of which the driver sees some numbers.
 
 Weights become token quotas of a budget.  A source is read in epochs, each a fresh permutation of its
 documents by a hash, until its quota is full; the last epoch stops at the last document that fits.  The
@@ -32,6 +32,7 @@ SEED = 17
 #: Rows of a bucket aimed at.
 BUCKET = 2_000
 STEPS = 30
+DEPTH = 3
 
 
 def shuffled(*parts: Column | str) -> Column:
@@ -40,36 +41,42 @@ def shuffled(*parts: Column | str) -> Column:
 
 
 def bisect(sources: DataFrame, budget: float | None, max_epochs: float | None, min_entropy: float | None) -> float:
-    """The exponent for shares ``p`` of sources; the budget is a share of the tokens there are."""
+    """The exponent for shares ``p`` of sources; the budget is a share of the tokens there are.
 
-    def holds(t: float) -> bool:
-        p, own = F.col("p"), F.pow("p", F.lit(t))
-        z, plogp, lowest, highest, n = sources.filter("p > 0").agg(
-            F.sum(own), F.sum(own * F.ln(p)), F.min(own / p), F.max(own / p), F.count("*")
-        ).first()
-        if min_entropy is not None:
-            entropy = 0.0 if z is None else math.log(z) - t * plogp / z
-            return z is None or n == 1 or entropy >= min_entropy * math.log(n)
-        if z is None:
+    The middles that the next DEPTH steps can come to are measured in one aggregate.
+    """
+    p = F.col("p")
+
+    def holding(exponents: list[float]) -> dict[float, bool]:
+        own = {t: F.pow("p", F.lit(t)) for t in exponents}
+        parts = [F.count("*")]
+        for t in exponents:
+            parts += [F.sum(own[t]), F.sum(own[t] * F.ln(p)), F.min(own[t] / p), F.max(own[t] / p)]
+        n, *rest = sources.filter("p > 0").agg(*parts).first()
+        return {t: holds(n, t, *rest[4 * k : 4 * k + 4]) for k, t in enumerate(exponents)}
+
+    def holds(n: int, t: float, z: float | None, plogp: float, lowest: float, highest: float) -> bool:
+        if z is None or (min_entropy is not None and n == 1):
             return True
+        if min_entropy is not None:
+            return math.log(z) - t * plogp / z >= min_entropy * math.log(n)
         # a source is read weight * budget / tokens times; without a budget, the least read one just once
-        epochs = highest / lowest if budget is None else highest / z * budget
-        return epochs <= max_epochs
+        return (highest / lowest if budget is None else highest / z * budget) <= max_epochs
 
+    ends = holding([0.0, 1.0])
+    if min_entropy is not None and ends[1.0]:
+        return 1.0
+    if min_entropy is None and ends[0.0]:
+        return 0.0
     low, high = 0.0, 1.0
-    if min_entropy is not None:  # the largest exponent that holds
-        if holds(high):
-            return high
-        for _ in range(STEPS):
-            middle = (low + high) / 2
-            low, high = (middle, high) if holds(middle) else (low, middle)
-        return low
-    if holds(low):
-        return low
-    for _ in range(STEPS):
-        middle = (low + high) / 2
-        low, high = (low, middle) if holds(middle) else (middle, high)
-    return high
+    for _ in range(STEPS // DEPTH):
+        parts = 2**DEPTH
+        found = holding([low + (high - low) * k / parts for k in range(1, parts)])
+        for _ in range(DEPTH):
+            middle = (low + high) / 2  # dyadic, so exactly one of those measured
+            # the largest that reaches the entropy, or the smallest that keeps the limit
+            low, high = (middle, high) if found[middle] == (min_entropy is not None) else (low, middle)
+    return low if min_entropy is not None else high
 
 
 def quotas(thin: DataFrame, scratch: Scratch, budget_share: float | None, max_epochs: float | None, min_entropy: float | None) -> tuple[DataFrame, int]:
