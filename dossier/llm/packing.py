@@ -32,7 +32,7 @@ CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END = 0
 #: Words whose ids a worker remembers, at most.
-CACHE = 400_000
+CACHE = 600_000
 #: Rows of one size ranked together.
 RANKED = 2_000
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -86,11 +86,21 @@ class Ids(dict):
             yield self.whole(text) if _odd.search(text) else b"".join(map(self.__getitem__, text.lower().split()))
 
 
+_known: dict[str, Ids] = {}
+
+
+def ids_of(path: str) -> Ids:
+    """One memory per worker and vocabulary: what a worker's earlier tasks have met stays known."""
+    if path not in _known:
+        _known[path] = Ids(path)
+    return _known[path]
+
+
 def tokenized(docs: DataFrame, capacity: int, path: str, end: int = END) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path)
+        ids = ids_of(path)
         tail = np.array([end], "<u4").tobytes()
         for b in batches:
             doc, piece, start, length, crc = [], [], [], [], []
@@ -220,7 +230,7 @@ def sequences(docs: DataFrame, packed: DataFrame, capacity: int = CAPACITY, voca
     path = public_tokenizers.path(vocabulary)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tail = Ids(path), np.array([end], "<u4").tobytes()
+        ids, tail = ids_of(path), np.array([end], "<u4").tobytes()
         for b in batches:
             doc, piece, found = [], [], []
             for doc_id, data in zip(b.column("doc_id").to_pylist(), ids.of(b.column("text").to_pylist()), strict=True):
