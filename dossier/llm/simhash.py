@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dossier.llm import near_copies
 from dossier.llm.common import BROADCAST_ROWS, NO_ID, Scratch, connected_components, join_checked, named_by_least, read
 
 SHINGLE = 3
@@ -186,15 +187,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest doc_id stays.
 
+    Near copies are pairs whose shingles reach the similarity (near_copies), not fingerprints within RADIUS:
+    that contract of operator 7 loses nearly all copies with more than a handful of edited words.
     Of rows that share that doc_id one stays, the least by text, then by the other columns.
     """
-    kept = near_duplicates(docs, shingle, radius).filter("doc_id <=> component_id").select("doc_id").distinct()
-    kept = kept.select(F.col("doc_id").alias("__kept"))
+    found = near_copies.components(docs, Scratch(docs.sparkSession), shingle, similarity)
+    kept = found.groupBy("component").agg(F.min("__id").alias("__kept")).select("__kept").distinct()
     rows = kept.count()
-    condition = F.col("doc_id").eqNullSafe(F.col("__kept"))
+    condition = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)) == F.col("__kept")
     chosen = docs.join(F.broadcast(kept) if rows <= BROADCAST_ROWS else kept, condition, "left_semi")
     if not docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         return chosen

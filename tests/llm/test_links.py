@@ -5,7 +5,7 @@ import re
 import numpy as np
 import xxhash
 
-from dossier.llm import embedding_dedup, simhash
+from dossier.llm import embedding_dedup, near_copies, simhash
 from dossier.llm.common import Scratch, connected_components
 
 FAR = 2**63 - 1
@@ -72,6 +72,47 @@ def test_one_document_of_each_group_stays(spark, docs):
     assert kept.count() == found.select("component_id").distinct().count()
 
 
+def planted_copies(seed=4, bases=40):
+    """Rows (id, text) of random texts and of copies with more and more edited words, and their word lists."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(bases):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        rows.append((100 * k, " ".join(base)))
+        for edits in range(1, 13):
+            copy = list(base)
+            for at in rng.choice(300, edits, replace=False):
+                copy[at] = f"new{rng.integers(1 << 30)}"
+            rows.append((100 * k + edits, " ".join(copy)))
+    return rows
+
+
+def test_near_copies_go_up_to_the_similarity(spark):
+    rows = planted_copies()
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    root = components(range(len(rows)), links)
+    expected = {min(rows[k][0] for k in range(len(rows)) if root[k] == r) for r in set(root.values())}
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == expected
+    assert all(i % 100 == 0 or i % 100 > 5 for i in expected) and any(i % 100 > 6 for i in expected)
+
+
+def test_band_keys_find_pairs_at_the_similarity():
+    rng = np.random.default_rng(6)
+    found = 0
+    for _ in range(2000):
+        shared = rng.integers(0, 2**63, 160, dtype=np.uint64)
+        a, b = (np.unique(np.r_[shared, rng.integers(0, 2**63, 20, dtype=np.uint64)]) for _ in range(2))  # 160 of 200
+        found += any(x == y for x, y in zip(near_copies.band_keys(a), near_copies.band_keys(b), strict=True))
+    assert found >= 1996
+
+
+def test_repeats_make_no_copy():
+    once, often = near_copies.shingles("a b c d e f g h"), near_copies.shingles("a b c d e f g h " + "x " * 500)
+    assert len(often) == 504 and len(np.intersect1d(once, often)) == 4
+
+
 def test_empty_documents(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_first(no_docs).count() == 0
 
