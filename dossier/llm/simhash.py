@@ -22,11 +22,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm import near_copies
-from dossier.llm.common import BROADCAST_ROWS, NO_ID, Scratch, connected_components, join_checked, named_by_least, read
+from dossier.llm.common import NO_ID, Scratch, connected_components, join_checked, named_by_least, read
 
 SHINGLE = 3
 RADIUS = 2
@@ -192,14 +192,22 @@ def keep_first(docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity:
 
     Near copies are pairs whose shingles reach the similarity (near_copies), not fingerprints within RADIUS:
     that contract of operator 7 loses nearly all copies with more than a handful of edited words.
-    Of rows that share that doc_id one stays, the least by text, then by the other columns.
+    Rows are told apart by doc_id and text: of a component's rows with its smallest doc_id the least by
+    text, then by the other columns, stays. Other documents of the same id, or without one, stay too.
     """
-    found = near_copies.components(docs, Scratch(docs.sparkSession), shingle, similarity)
-    kept = found.groupBy("component").agg(F.min("__id").alias("__kept")).select("__kept").distinct()
-    rows = kept.count()
-    condition = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)) == F.col("__kept")
-    chosen = docs.join(F.broadcast(kept) if rows <= BROADCAST_ROWS else kept, condition, "left_semi")
-    if not docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        return chosen
-    order = Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
-    return chosen.withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__row")
+    scratch = Scratch(docs.sparkSession)
+    found = near_copies.components(docs, scratch, shingle, similarity)
+    low = found.groupBy("component").agg(F.min("__id").alias("__id"))
+    firsts = found.join(low, ["component", "__id"]).groupBy("component", "__id", "__h", "__g").agg(F.count("*").alias("__rows"))
+    firsts = scratch.write(firsts.withColumnRenamed("component", "__component"), "firsts")
+    tied = firsts.groupBy("__component").agg(F.sum("__rows").alias("__rows")).filter("__rows > 1").select("__component")
+    tied = scratch.write(tied, "tied")
+    rows, ties = firsts.count(), tied.count()
+    chosen = join_checked(near_copies.identified(docs), firsts.drop("__rows"), ["__id", "__h", "__g"], rows)
+    if not ties:
+        return chosen.select(*docs.columns)
+    # a minimum is taken in each task first, so that a large group of ties is no hot group
+    order = ["doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
+    single = join_checked(chosen, tied, ["__component"], ties, "left_anti").select(*docs.columns)
+    least = join_checked(chosen, tied, ["__component"], ties, "left_semi").groupBy("__component").agg(F.min(F.struct(*order)).alias("__row"))
+    return single.unionByName(least.select("__row.*"))

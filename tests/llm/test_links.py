@@ -113,6 +113,17 @@ def test_repeats_make_no_copy():
     assert len(often) == 504 and len(np.intersect1d(once, often)) == 4
 
 
+def test_documents_that_share_an_id_stay(spark, docs):
+    base = " ".join(f"b{k}" for k in range(100))
+    rows = [(4, base), (140, base + " tail"), (140, "a text of its own " * 9), (None, "one without an id"), (None, "another without an id, longer"), (None, "another without an id, longer")]
+    rows += [(7, base.replace("b", "c")), (7, base.replace("b", "c") + " tail"), (None, None), (None, "")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([rows[k] for k in (0, 2, 3, 4, 6, 8)], kept.schema).collect()))
+    # the fixture's id 140: a copy of document 4 goes, the text of its own stays; so does the row without an id
+    ids = [(r.doc_id, r.source) for r in simhash.keep_first(docs).collect()]
+    assert (140, "s5") in ids and (140, "s0") not in ids and (None, "s4") in ids
+
+
 def test_empty_documents(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_first(no_docs).count() == 0
 
