@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.common import crc_of_id, read
-from dossier.llm.repeats import mix
+from dossier.llm.spans import mix
 
 ORDER = 4
 NGRAMS = 300_000
