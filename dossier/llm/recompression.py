@@ -186,14 +186,14 @@ def revealed(docs: DataFrame, window: int, gram: int, rounds: int, scratch: Scra
     shared = runs.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
     named = scratch.write(shared.select("key", F.monotonically_increasing_id().alias("name")), "names")
     live = runs.join(F.broadcast(named) if named.count() <= few else named, "key")
-    live = live.select("doc_id", F.expr(S.TWIN).alias("twin"), F.expr(S.POS).alias("pos"), F.expr(f"cast({S.N} as int)").alias("n"), "name")
+    live = live.select("doc_id", F.expr(S.TWIN).alias("twin"), F.expr(S.POS).alias("pos"), F.lit(0).alias("d"), F.expr(f"cast({S.N} as int)").alias("n"), "name")
     return live, S.spans_of(table.filter("part = 'spans'"))
 
 
 def windows_of(window: int):
     """Name and XXH3 of the single windows under named symbols."""
 
-    def spell(data, offsets, row, pos, n, name):
+    def spell(data, offsets, row, pos, d, n, name):
         texts, words, starts = data.tobytes(), {}, {}
         found, digest = [], xxhash.xxh3_64_intdigest
         for r, s, k in zip(row.tolist(), pos.tolist(), n.tolist(), strict=True):
@@ -202,7 +202,7 @@ def windows_of(window: int):
                 words[r], starts[r] = b" ".join(own), np.r_[0, np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)].tolist()
             joined, at = words[r], starts[r]
             found += [digest(joined[at[p] : at[p + window] - 1]) for p in range(s, s + k)]
-        return np.repeat(name, n), np.array(found, U).view(np.int64)
+        return np.repeat(name, n), np.array(found, U).view(np.int64), *S.singles(pos, n)
 
     return spell
 

@@ -165,26 +165,25 @@ def spans_of(rows: DataFrame) -> DataFrame:
 
 
 def spelt_out(docs: DataFrame, some: DataFrame, spell: Callable, window: int, across: bool) -> DataFrame:
-    """Single windows as rows, reduced within each task.
+    """Runs of windows in smaller pieces as rows, reduced within each task.
 
-    some: doc_id, twin, pos, n, name of runs of windows.  spell(data, offsets, row, pos, n, name) gives key and mark of each
-    window, run after run.
+    some: doc_id, twin, pos, d, n, name of runs of windows.  spell(data, offsets, row, pos, d, n, name) gives key, mark, number of
+    the run, pos and n of each piece.
     """
-    gathered = some.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("pos", "n", "name")).alias("runs"))  # bounded by a document
+    gathered = some.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("pos", "d", "n", "name")).alias("runs"))  # bounded by a document
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for rows, data, offsets in slices(pa.Table.from_batches([b])):
                 lists = rows.column("runs").combine_chunks()
                 row = np.repeat(np.arange(rows.num_rows), np.asarray(lists.value_lengths()))
-                pos, n, name = (np.asarray(lists.flatten().field(c)) for c in ("pos", "n", "name"))
-                cuts = np.r_[np.flatnonzero(np.diff(np.cumsum(n) // BLOCK, prepend=-1)), len(n)]
+                columns = [np.asarray(lists.flatten().field(c)) for c in ("pos", "d", "n", "name")]
+                doc, twin = rows.column("doc_id").to_numpy(), rows.column("twin").to_numpy()
+                cuts = np.r_[np.flatnonzero(np.diff(np.cumsum(columns[2]) // BLOCK, prepend=-1)), len(row)]
                 for a, z in zip(cuts, cuts[1:], strict=False):
-                    key, mark = spell(data, offsets, row[a:z], pos[a:z], n[a:z], name[a:z])
-                    own, count = np.repeat(row[a:z], n[a:z]), n[a:z]
-                    step = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-                    doc, twin = rows.column("doc_id").to_numpy(), rows.column("twin").to_numpy()
-                    yield key, mark, doc[own], twin[own], (np.repeat(pos[a:z], count) + step).astype(np.int64), np.zeros(len(own), np.int32), np.ones(len(own), np.int32)
+                    key, mark, run, pos, n = spell(data, offsets, row[a:z], *(c[a:z] for c in columns))
+                    own = row[a:z][run]
+                    yield key, mark, doc[own], twin[own], pos.astype(np.int64), np.zeros(len(own), np.int32), n.astype(np.int32)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from reduced(found(batches), window, across)
@@ -192,6 +191,12 @@ def spelt_out(docs: DataFrame, some: DataFrame, spell: Callable, window: int, ac
     return docs.select("doc_id", "twin", "text").join(gathered, ["doc_id", "twin"]).mapInArrow(task, ENTRY)
 
 
+def singles(pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of runs: number of the run, pos and n = 1."""
+    run = np.repeat(np.arange(len(n)), n)
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + pos[run], np.ones(len(run), np.int32)
+
+
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """The numbered documents with spans (start, length in units), sorted; null where nothing repeats."""
     gathered = spans.groupBy("doc_id", "twin").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"))

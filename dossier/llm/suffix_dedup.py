@@ -11,10 +11,11 @@ against all existing levels: one pass in suffix order takes the common prefix of
 neighbours.  Equal suffixes whose runs cover equal bytes are repeats as wholes, of others whose common
 prefix is as long as a window needs the windows are contested, and a suffix with a shorter one is in no
 long match.  Equal-sized levels and the batch then become one level of twice the size, so the family has
-logarithmically many levels and a suffix is rewritten logarithmically often.  The contested windows of the
-whole family are in the end spelt out one by one.
+logarithmically many levels and a suffix is rewritten logarithmically often.  The contested runs of the
+whole family are in the end settled in pieces of ``width`` windows, then one by one.
 
-Equality: HEAD bytes as they are and a 64-bit XXH3 of all bytes of a run; of single windows a 128-bit XXH3.
+Equality: HEAD bytes as they are and a 64-bit XXH3 of all bytes of a run; of pieces a 64-bit XXH3 of all their
+bytes and one of those that their windows share; of single windows a 128-bit XXH3.
 
 Defined results: null and empty texts and texts under ``window`` bytes lose nothing (the empty text's
 digest is that of no bytes); repeated rows are documents of their own, as are rows that share a doc_id, of
@@ -40,6 +41,10 @@ from dossier.llm.common import Scratch, flat_bytes, numbered, read
 WINDOW = 100
 GRAM = 16
 BATCHES = 4
+#: Windows in a piece of a contested run.
+WIDTH = 8
+#: Rows of one bigint up to which the keys of pieces that stand several times go to every executor.
+SHARED_ROWS = 500_000
 #: Leading bytes of a suffix that a row carries.
 HEAD = 32
 ROW = "suffix binary, mark bigint, doc_id bigint, place bigint, flag int"
@@ -211,7 +216,7 @@ def scanned(rows: DataFrame, window: int, last: bool) -> DataFrame:
 
 
 def build(docs: DataFrame, window: int, gram: int, batches: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Contested runs (doc_id, twin, pos, n) of the index family over all documents, and the spans found while it grew."""
+    """Contested runs (doc_id, twin, pos, d, n) of the index family over all documents, and the spans found while it grew."""
     cuts = sorted(set(docs.stat.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
     union = lambda frames: functools.reduce(DataFrame.unionAll, frames)
     family: list[tuple[int, str, DataFrame]] = []
@@ -236,33 +241,64 @@ def build(docs: DataFrame, window: int, gram: int, batches: int, scratch: Scratc
         scratch.drop(f"batch-{k}/part=rows", *(f"{name}/part=level" for _, name, _ in merging))
         spans.append(of(table, "spans"))
         family.append((size, f"level-{k}", of(table, "level")))
-    contested = of(table, "contested").select("doc_id", F.expr(S.TWIN).alias("twin"), F.expr(S.POS).alias("pos"), F.expr(f"cast({S.N} as int)").alias("n"))
+    contested = of(table, "contested").select("doc_id", F.expr(S.TWIN).alias("twin"), F.expr(S.POS).alias("pos"), F.expr(f"cast({S.D} as int)").alias("d"), F.expr(f"cast({S.N} as int)").alias("n"))
     return contested, S.spans_of(union(spans))
 
 
-def windows_of(window: int):
+def digests_of(window: int):
     """128-bit digests of single windows."""
 
-    def spell(data, offsets, row, pos, n, name):
+    def spell(data, offsets, row, pos, d, n, name):
         raw, digest = memoryview(data.tobytes()), xxhash.xxh3_128_digest
         found = [digest(raw[p : p + window]) for s, k in zip((offsets[row] + pos).tolist(), n.tolist(), strict=True) for p in range(s, s + k)]
         both = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
-        return both[:, 0], both[:, 1]
+        return both[:, 0], both[:, 1], *S.singles(pos, n)
 
     return spell
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+def narrower(window: int, width: int):
+    """Contested runs in pieces of at most ``width`` windows whose distances to the suffix have one quotient by it.
+
+    The key is a digest of the bytes that all such windows share and of the quotient, so equal windows stay in
+    pieces of equal keys; the mark is a digest of all bytes of the piece.
+    """
+
+    def spell(data, offsets, row, pos, d, n, name):
+        raw, digest = memoryview(data.tobytes()), xxhash.xxh3_64_intdigest
+        run, first, _ = S.singles(pos, n)
+        behind = d[run] - (first - pos[run])
+        quotient = behind // width
+        cut = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (quotient[1:] != quotient[:-1])][: len(run)])
+        size = np.diff(np.r_[cut, len(run)])
+        run, first, behind, quotient = run[cut], first[cut], behind[cut], quotient[cut]
+        start = offsets[row[run]] + first
+        latest = start + behind - quotient * width  # where the last window of a full piece begins
+        key = np.array([digest(raw[s : s + window - width + 1]) for s in latest.tolist()], U)
+        mark = np.array([digest(raw[s:e]) for s, e in zip(start.tolist(), (start + size - 1 + window).tolist(), strict=True)], U)
+        key, mark = S.mix(key ^ S.mix(quotient.astype(U))), S.mix(mark ^ S.mix((size * 4096 + latest - start).astype(U)))
+        return key.view(np.int64), mark.view(np.int64), run, first, size
+
+    return spell
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, width: int = WIDTH, few: int = SHARED_ROWS) -> DataFrame:
     """text, row (the other columns), spans: the byte spans (start, length) to be removed, null where there are none."""
-    if not 0 < gram <= window < 4096:
-        raise ValueError("gram must lie in 1..window and window under 4096")
+    if not 0 < gram <= window < 4096 or not 0 < width <= window:
+        raise ValueError("gram must lie in 1..window, window under 4096 and width in 1..window")
     scratch = Scratch(docs.sparkSession)
     docs = numbered(docs)
     contested, spans = build(docs, window, gram, batches, scratch)
-    single = S.spelt_out(docs, contested.withColumn("name", F.lit(0).cast("bigint")), windows_of(window), window, False)
+    pieces = S.settled(S.spelt_out(docs, contested.withColumn("name", F.lit(0).cast("bigint")), narrower(window, width), window, False), window, False)
+    part = F.when(F.expr(f"{S.KIND} = {S.SPAN}"), "spans").otherwise("pieces")
+    pieces = scratch.write(pieces.drop("mark").withColumn("part", part), "pieces", by="part")
+    left = pieces.filter("part = 'pieces'").select("key", "doc_id", "place", "flag")
+    shared = scratch.write(left.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key"), "shared")
+    left = left.join(F.broadcast(shared) if shared.count() <= few else shared, "key", "left_semi")
+    left = left.select("doc_id", F.expr(S.TWIN).alias("twin"), F.expr(S.POS).alias("pos"), F.lit(0).alias("d"), F.expr(f"cast({S.N} as int)").alias("n"), F.lit(0).cast("bigint").alias("name"))
     # what stays first is of no more use
-    more = scratch.write(S.spans_of(S.settled(single, window, False)), "windows")
-    return S.with_spans(docs, spans.unionAll(more)).select("text", "row", "spans")
+    single = scratch.write(S.spans_of(S.settled(S.spelt_out(docs, left, digests_of(window), window, False), window, False)), "windows")
+    return S.with_spans(docs, spans.unionAll(S.spans_of(pieces)).unionAll(single)).select("text", "row", "spans")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,9 +42,9 @@ def spans_of(mark):
     return [(m.start(), m.end()) for m in re.finditer(b"\1+", bytes(mark))]
 
 
-@pytest.mark.parametrize("window,gram,batches", [(100, 16, 4), (30, 12, 5), (100, 40, 1)])
-def test_suffix_arrays_remove_what_brute_force_removes(spark, docs, odd_docs, window, gram, batches):
-    found = suffix_dedup.remove_repeats(docs, window, gram, batches).collect()
+@pytest.mark.parametrize("window,gram,batches,width,few", [(100, 16, 4, 8, 500_000), (30, 12, 5, 4, 0), (100, 40, 1, 1, 500_000)])
+def test_suffix_arrays_remove_what_brute_force_removes(spark, docs, odd_docs, window, gram, batches, width, few):
+    found = suffix_dedup.remove_repeats(docs, window, gram, batches, width, few).collect()
     got = sorted((FAR if r.row.doc_id is None else r.row.doc_id, r.text or "", spans.union_of([s.asDict() for s in r.spans or ()])) for r in found)
     assert got == sorted((i, t or "", spans_of(m)) for i, t, m in bytes_removed(keyed(odd_docs), window))
 
