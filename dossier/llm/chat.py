@@ -13,8 +13,11 @@ backslash but one that follows another gives the text back.
 Messages are rendered row by row before they are gathered; only the finished strings of a conversation
 meet in one row, because that row is the result.
 
+What the loss covers is a mask, spans of characters of the formatted string.
+
 Defined results: null texts and roles are empty; equal orders are settled by role and text; repeated rows
-are turns of their own; a null conv_id is a conversation; an empty log gives no rows.
+are turns of their own; a null conv_id is a conversation; a very long text is one string of a row; other
+columns, whatever their names, are ignored; an empty log gives no rows.
 """
 
 from __future__ import annotations
@@ -61,15 +64,24 @@ def tag(role: Column) -> Column:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """conv_id, formatted, segments (text, loss): the segments joined are the formatted string."""
+    """conv_id, formatted, mask: spans (start, length) in characters of what the loss covers."""
     pieces = messages.select("conv_id", "message", tag(F.col("role")).alias("tag"), (F.col("role") == "assistant").alias("loss"), escape(F.col("text")).alias("body"))
     head, tail = F.concat(F.lit("<s>["), "tag", F.lit("] ")), F.concat(F.lit(" [/"), "tag", F.lit("]</s>"))
-    turns = pieces.select("conv_id", F.struct("message", head.alias("head"), "body", tail.alias("tail"), "loss").alias("turn"))
-    gathered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-    segments = F.flatten(F.transform("turns", lambda t: F.array(segment(t["head"], F.lit(False)), segment(t["body"], t["loss"]), segment(t["tail"], F.lit(False)))))
-    formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], t["tail"])), "")
-    return gathered.select("conv_id", formatted.alias("formatted"), segments.alias("segments"))
+    turn = F.struct("message", F.concat(head, "body", tail).alias("turn"), F.length(head).alias("before"), F.length("body").alias("size"), "loss")
+    gathered = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    # where each turn begins: the lengths of those before it, added up
+    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("mask"))
+
+    def step(a: Column, t: Column) -> Column:
+        span = F.struct((a.at + t.before).alias("start"), t["size"].alias("length"))
+        return F.struct((a.at + F.length(t.turn)).alias("at"), F.when(t.loss, F.concat(a.mask, F.array(span))).otherwise(a.mask).alias("mask"))
+
+    return gathered.select("conv_id", F.array_join(F.transform("turns", lambda t: t.turn), "").alias("formatted"), F.aggregate("turns", begun, step, lambda a: a.mask).alias("mask"))
+
+
+def under_mask(formatted: str, mask: str) -> Column:
+    """The texts under a loss mask, read from the formatted string and unescaped."""
+    return F.transform(mask, lambda s: unescape(F.substring(F.col(formatted), s.start + 1, s.length)))
 
 
 def parse(formatted: Column) -> Column:
@@ -90,10 +102,23 @@ def parse(formatted: Column) -> Column:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as a log of one event per message."""
+    """Rows (conv_id, turn, role, text) as the log that a chat service would have written of them.
+
+    A message comes as a beginning and a streamed delta; every third one is a draft that an edit replaces, every
+    third one an answer that is regenerated and streamed in two deltas.
+    """
     rows = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     tie = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    return rows.select("conv_id", F.struct("turn", tie.alias("tie")).alias("message"), F.lit(0).alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    rows = rows.select("conv_id", F.struct("turn", tie.alias("tie")).alias("message"), "role", "text", F.pmod(F.xxhash64("turn", "text"), F.lit(3)).alias("way"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, rest = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+    event = lambda seq, kind, role, text: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    role, none = F.col("role"), F.lit(None).cast("string")
+    streamed = F.array(event(0, "message", role, first), event(1, "delta", none, rest))
+    edited = F.array(event(0, "message", role, rest), event(1, "delta", none, first), event(2, "edit", none, F.col("text")))
+    again = F.array(event(0, "message", role, rest), event(1, "regenerate", none, F.lit("")), event(2, "delta", none, first), event(3, "delta", none, rest))
+    log = rows.select("conv_id", "message", F.explode(F.when(F.col("way") == 0, streamed).when(F.col("way") == 1, edited).otherwise(again)).alias("e"))
+    return log.select("conv_id", "message", "e.*")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,16 +127,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("</s>[INST] ok [/INST]").alias("text")
     extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
     done = render(fold(as_events(rows.unionByName(extra))))
-    back = done.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), F.transform(F.filter("segments", lambda s: s.loss), lambda s: unescape(s.text)).alias("loss"))
+    back = done.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), F.array_join(under_mask("formatted", "mask"), "").alias("loss"))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return back.select(
-        "conv_id",
-        F.size("turns").cast("bigint").alias("n_turns"),
-        F.sha2(turns, 256).alias("turns_sha256"),
-        F.aggregate("loss", F.lit(0).cast("bigint"), lambda n, t: n + F.length(t)).alias("loss_chars"),
-        F.sha2(F.array_join("loss", ""), 256).alias("loss_sha256"),
-        F.length("formatted").cast("bigint").alias("formatted_chars"),
-    )
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
 
 
 #: formatted_chars follows from the template: 14 characters and twice the tag per turn, a character for each escape.

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 
 import numpy as np
@@ -28,13 +27,12 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir; where that is unset, one in the warehouse folder if Spark runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = getattr(spark, "_llm_scratch", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="llm-scratch-")
-            spark._llm_scratch = folder
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/llm-scratch"
     return folder.rstrip("/")
 
 

@@ -2,9 +2,10 @@
 
 A vector is described by its nearest pivots in order (cosine; pivots are a bounded sample of the vectors,
 about PIVOTS_PER_ROOT times the root of their number).  Inverted lists hold, for each label and pivot, the
-vectors that have it among their first LISTED.  Two vectors are compared in the list of the first pivot
-that both have (in pivot order, so a pair is met once), if they share at least SHARED pivots, and are
-verified by cosine in double precision.  Every vector is indexed; only pairs without shared pivots can be
+vectors that have it among their first LISTED.  Inside a list the pivots beyond its own are counted first:
+two vectors are compared only if they share a second pivot (SHARED), and every pair that is compared and
+verified by cosine in double precision is a link, taken once, in the list and sub-list of the least two
+pivots that both have.  Every vector is indexed; only pairs without shared pivots can be
 missed (recall is measured in tests/llm).
 
 Equal vectors of a label are one point with a weight, so groups of copies cost nothing.  A list is dealt
@@ -13,8 +14,8 @@ per point and a spanning forest of its links, never the pairs.  Components come
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those with
 a null label, link with nothing and are their own component; vectors of different lengths never link;
-rows sharing a vec_id are vectors of their own; a null vec_id counts as the largest; an empty table gives
-no rows.
+rows sharing a vec_id are vectors of their own; a null vec_id counts as the largest, is its component's
+null and is not kept; other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,8 +37,9 @@ MOST_PIVOTS = 16_384
 LISTED = 8
 SHARED = 2
 BLOCK = 2_000
-#: Lists (label, pivot) to a task's group.
+#: Groups that the lists' block pairs are dealt to, at least, and listed rows to a group.
 GROUPS = 512
+GROUP_ROWS = 50_000
 
 
 def points_of(vectors: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def points_of(vectors: DataFrame) -> DataFrame:
     return bucket.withColumn("point", F.col("bucket") * 2**40 + place).drop("bucket")
 
 
-def units(rows: list) -> np.ndarray:
+def units(rows: list | np.ndarray) -> np.ndarray:
     """Scaled to length 1, by the largest component first, so that squares neither overflow nor vanish."""
     x = np.array(rows, float)
     x = x / np.abs(x).max(1, keepdims=True)
@@ -67,8 +69,8 @@ def described(points: DataFrame, pivots: dict[int, tuple[int, np.ndarray]], list
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 4_000):
-                some = b.slice(at, 4_000)
+            for at in range(0, b.num_rows, 500):
+                some = b.slice(at, 500)
                 size = np.asarray(some.column("v").value_lengths())
                 nearest: list = [None] * some.num_rows
                 for d in np.unique(size):
@@ -88,8 +90,22 @@ def described(points: DataFrame, pivots: dict[int, tuple[int, np.ndarray]], list
     return points.select("point", "label", "v", "copies").mapInArrow(task, "point bigint, label bigint, v array<double>, copies bigint, nearest array<int>")
 
 
+def members(nearest: np.ndarray, pivot: int) -> dict[int, np.ndarray]:
+    """The rows that list each pivot beyond this one."""
+    row, place = np.nonzero(nearest > pivot)
+    own = nearest[row, place]
+    order = np.argsort(own, kind="stable")
+    own, row = own[order], row[order]
+    cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+    return dict(zip(own[cut].tolist(), np.split(row, cut[1:]), strict=False)) if len(own) else {}
+
+
 def compare(threshold: float, shared: int):
-    """Work on one pair of blocks of one list."""
+    """Work on one pair of blocks of one list.
+
+    Pivots are counted before anything is compared: pairs that share a second pivot are those that meet in
+    a sub-list of one.  A pair is taken where the list and the sub-list are of its least common pivots.
+    """
 
     def run(key: tuple, x: dict, y: dict | None) -> pd.DataFrame:
         _, pivot, _, _ = key
@@ -97,30 +113,37 @@ def compare(threshold: float, shared: int):
         points = np.r_[left["point"], right["point"]] if y else left["point"]
         base = len(left["point"]) if y else 0
         links, label = np.zeros(len(points), np.int64), np.arange(len(points))
-        for at in range(0, len(left["point"]), 512):
-            some = slice(at, at + 512)
-            i, j = np.nonzero(left["unit"][some] @ right["unit"].T >= threshold)
-            i = i + at
-            if not y:
-                i, j = i[i < j], j[i < j]
-            if not len(i):
-                continue
-            a, b = left["nearest"][i], right["nearest"][j]
-            both = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)
-            common = both.any(2)
-            least = np.where(common, a, np.iinfo(np.int32).max).min(1)
-            own = (pivot < 0) | ((common.sum(1) >= min(shared, a.shape[1])) & (least == pivot))
-            i, j = i[own], j[own] + base
-            np.add.at(links, i, right["copies"][j - base])
-            np.add.at(links, j, left["copies"][i])
-            label = hook(label, i, j)
+        if pivot < 0 or min(shared, left["nearest"].shape[1]) < 2:
+            everyone = np.arange(len(left["point"])), np.arange(len(right["point"]))
+            work = [(None, *everyone)]
+        else:
+            own = members(left["nearest"], pivot)
+            others = members(right["nearest"], pivot) if y else own
+            work = [(q, own[q], others[q]) for q in own.keys() & others.keys()]
+        for second, p, q in work:
+            for at in range(0, len(p), 512):
+                i, j = np.nonzero(left["unit"][p[at : at + 512]] @ right["unit"][q].T >= threshold)
+                i, j = p[at : at + 512][i], q[j]
+                if not y:
+                    i, j = i[i < j], j[i < j]
+                if not len(i):
+                    continue
+                a, b = left["nearest"][i], right["nearest"][j]
+                common = np.sort(np.where(((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)).any(2), a, np.iinfo(np.int32).max), 1)
+                mine = (pivot < 0) | (common[:, 0] == pivot)
+                if second is not None:
+                    mine &= common[:, 1] == second
+                i, j = i[mine], j[mine] + base
+                np.add.at(links, i, right["copies"][j - base])
+                np.add.at(links, j, left["copies"][i])
+                label = hook(label, i, j)
         some = np.flatnonzero((links > 0) | (label != np.arange(len(points))))
         return pd.DataFrame({"point": points[some], "links": links[some], "root": points[label[some]]})
 
     return run
 
 
-def linked(index: DataFrame, threshold: float, shared: int, scratch: Scratch) -> DataFrame:
+def linked(index: DataFrame, threshold: float, shared: int, scratch: Scratch, groups: int = 512) -> DataFrame:
     """point, links (weighted), root of every block pair."""
     rows = index.withColumn("pivot", F.explode("nearest"))
     sizes = rows.groupBy("label", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -128,7 +151,7 @@ def linked(index: DataFrame, threshold: float, shared: int, scratch: Scratch) ->
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("label", "pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "point", "copies", "v", "nearest")
     # many small lists to a group; large ones spread, as their block pairs are groups' keys
-    rows = rows.withColumn("bin", F.expr(f"pmod(xxhash64(label, pivot, i, j), {GROUPS})"))
+    rows = rows.withColumn("bin", F.expr(f"pmod(xxhash64(label, pivot, i, j), {groups})"))
     work = compare(threshold, shared)
 
     def task(group: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,15 +186,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, listed: in
     points = scratch.write(points_of(vectors), "points")
     n = points.count()
     most = min(MOST_PIVOTS, max(16, int(pivots_per_root * n**0.5)))
-    sample = points.orderBy(F.xxhash64("point", "label"), "point", "label").limit(most).select("v").collect()
-    by_size: dict[int, list] = {}
-    for r in sample:
-        by_size.setdefault(len(r.v), []).append(r.v)
+    sample = points.orderBy(F.xxhash64("point", "label"), "point", "label").limit(most).select("v").toArrow().column("v").combine_chunks()
+    size = np.asarray(sample.value_lengths())
     pivots, begin = {}, 0  # numbered on over all lengths, so that a list holds one length
-    for d, v in sorted(by_size.items()):
-        pivots[d], begin = (begin, units(v)), begin + len(v)
+    for d in np.unique(size):
+        v = np.asarray(sample.filter(pa.array(size == d)).flatten()).reshape(-1, d)
+        pivots[int(d)], begin = (begin, units(v)), begin + len(v)
     index = scratch.write(described(points, pivots, listed), "index")
-    found = linked(index, threshold, shared, scratch)
+    found = linked(index, threshold, shared, scratch, max(GROUPS, n * listed // GROUP_ROWS))
     counts = found.groupBy("point").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("point").alias("a"), F.col("root").alias("b")), scratch)
     names = named_by_least(points.select(F.col("point").alias("node"), "low"), components).withColumnRenamed("node", "point")
@@ -186,7 +208,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, listed: in
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per vector: links, component and whether it stays."""
     found = near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
-    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return found.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 #: The query by comparing all pairs.

@@ -1,8 +1,8 @@
 """Operator 3: language identification by interpolated Kneser-Ney character models.
 
 Words are read as letters between boundaries, in lower case; a character's context is the up to three
-characters before it in its word, boundary included.  For each language the four-grams of all training
-documents are counted (in each task first, then by Spark); lower orders are continuation counts of the
+characters before it in its word, boundary included.  For each language all four-grams of its training
+sample are counted (in each task first, then by Spark), none is pruned; lower orders are continuation counts of the
 order above, with absolute discounting and interpolation down to a uniform distribution.  The models of
 all languages stand side by side in arrays sorted by the hash of the n-gram, so one binary search gives
 the log-probabilities in every language; what no language has seen falls back by context weights.
@@ -11,10 +11,13 @@ The language with the lowest cross-entropy per character wins.  On training docu
 counted, the spread of the others is turned to a probability (a logistic scale, fitted), and a quantile
 of each language's own cross-entropy becomes its limit of rejection.
 
-Bounds: NGRAMS four-grams per language at most (the most frequent), CALIBRATION documents to calibrate on.
+Bounds: TRAINED documents a language to count and CALIBRATION documents to calibrate on, both in expectation,
+picked by a hash of the id among the labelled rows outside the held-out quarter.  The model holds every
+n-gram of those documents, so its size is bounded by them and by the number of languages.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, not accepted; without
-training rows every text is; very long texts are read in slices; an empty table gives no rows.
+training rows every text is; ties go to the language first in order; repeated rows are judged one by one;
+very long texts are read in slices; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import crc_of_id, read
+from dossier.llm.common import crc_of_id, join_checked, read
 from dossier.llm.spans import mix
 
 ORDER = 4
-NGRAMS = 300_000
+TRAINED = 6_000
 CALIBRATION = 4_000
 REJECT = 0.999
 #: Characters handled at once.
@@ -202,12 +205,13 @@ class Models:
         return total / np.maximum(n, 1)[:, None], n
 
 
-def fit(docs: DataFrame, ngrams: int = NGRAMS, calibration: int = CALIBRATION) -> tuple[Models | None, float, list[float]]:
+def fit(docs: DataFrame, trained: int = TRAINED, calibration: int = CALIBRATION) -> tuple[Models | None, float, list[float]]:
     """Models, the logistic scale and each language's limit, from (doc_id, lang, text) rows outside the held-out quarter."""
     docs = docs.filter("lang is not null").withColumn("fold", crc_of_id(F.col("doc_id")) % 4).filter("fold <> 2")
-    order = Window.partitionBy("lang").orderBy(F.desc("count"), "key")
-    top = counted(docs.filter("fold <> 3")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ngrams)
-    rows = top.select("lang", "key", "count").toArrow()
+    drawn = F.expr("pmod(xxhash64(doc_id), 1000003) / 1000003D")
+    known = docs.filter("fold <> 3").groupBy("lang").count()
+    sample = join_checked(docs.filter("fold <> 3"), known, ["lang"], known.count()).filter(drawn < F.lit(trained) / F.col("count"))
+    rows = counted(sample).toArrow()
     if not rows.num_rows:
         return None, 1.0, []
     lang = np.array(rows.column("lang").to_pylist(), object)
@@ -227,7 +231,7 @@ def fit(docs: DataFrame, ngrams: int = NGRAMS, calibration: int = CALIBRATION) -
             each, n = shared.value.entropies(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(list(each), pa.list_(pa.float64())), pa.array(n)], ["lang", "each", "n"])
 
-    some = rest.filter(F.expr(f"pmod(xxhash64(doc_id), 1000003) < {int(share * 1000003)}")).select("lang", "text")
+    some = rest.filter(drawn < share).select("lang", "text")
     found = [r for r in some.mapInArrow(task, "lang string, each array<double>, n bigint").collect() if r.n and r.lang in models.langs]
     if not found:
         return models, 1.0, [float("inf")] * len(parts)

@@ -10,7 +10,8 @@ dealt out as pairs of blocks.  Components come from alternating stars over those
 
 Defined results: lower-casing touches A-Z only; fewer words than a shingle give one shingle of them all;
 no words (null, empty, blank) give the zero fingerprint, which links like any other; a null doc_id counts
-as the largest id; rows that share a doc_id are documents of their own; an empty table gives no rows.
+as the largest id; rows that share a doc_id are documents of their own; a text is read whole, its hashes in
+parts; other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -193,21 +194,19 @@ def keep_first(docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity:
     Near copies are pairs whose shingles reach the similarity (near_copies), not fingerprints within RADIUS:
     that contract of operator 7 loses nearly all copies with more than a handful of edited words.
     Rows are told apart by doc_id and text: of a component's rows with its smallest doc_id the least by
-    text, then by the other columns, stays. Other documents of the same id, or without one, stay too.
+    text, then by all columns as JSON, stays. Other documents of the same id, or without one, stay too.
+    Columns of any name and type pass through in a struct.
     """
     scratch = Scratch(docs.sparkSession)
     found = near_copies.components(docs, scratch, shingle, similarity)
-    low = found.groupBy("component").agg(F.min("__id").alias("__id"))
-    firsts = found.join(low, ["component", "__id"]).groupBy("component", "__id", "__h", "__g").agg(F.count("*").alias("__rows"))
-    firsts = scratch.write(firsts.withColumnRenamed("component", "__component"), "firsts")
-    tied = firsts.groupBy("__component").agg(F.sum("__rows").alias("__rows")).filter("__rows > 1").select("__component")
-    tied = scratch.write(tied, "tied")
+    low = found.groupBy("component").agg(F.min("id").alias("id"))
+    firsts = scratch.write(found.join(low, ["component", "id"]).groupBy("component", "id", "h", "g").agg(F.count("*").alias("rows")), "firsts")
+    tied = scratch.write(firsts.groupBy("component").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("component"), "tied")
     rows, ties = firsts.count(), tied.count()
-    chosen = join_checked(near_copies.identified(docs), firsts.drop("__rows"), ["__id", "__h", "__g"], rows)
+    chosen = join_checked(near_copies.identified(docs), firsts.drop("rows"), ["id", "h", "g"], rows)
     if not ties:
-        return chosen.select(*docs.columns)
+        return chosen.select("row.*")
     # a minimum is taken in each task first, so that a large group of ties is no hot group
-    order = ["doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
-    single = join_checked(chosen, tied, ["__component"], ties, "left_anti").select(*docs.columns)
-    least = join_checked(chosen, tied, ["__component"], ties, "left_semi").groupBy("__component").agg(F.min(F.struct(*order)).alias("__row"))
-    return single.unionByName(least.select("__row.*"))
+    single = join_checked(chosen, tied, ["component"], ties, "left_anti").select("row")
+    least = join_checked(chosen, tied, ["component"], ties, "left_semi").groupBy("component").agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row"))
+    return single.unionAll(least.select("row")).select("row.*")

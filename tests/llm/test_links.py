@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from dossier.llm import embedding_dedup, near_copies, simhash
 from dossier.llm.common import Scratch, connected_components
@@ -72,6 +73,12 @@ def test_one_document_of_each_group_stays(spark, docs):
     assert kept.count() == found.select("component_id").distinct().count()
 
 
+def test_columns_of_any_name_and_type_pass(spark, docs):
+    odd = docs.withColumns({"__kept": F.lit(1), "__row": F.lit("r"), "id": F.lit(2), "h": F.lit(3), "row": F.lit(4), "component": F.lit(5), "m": F.create_map(F.lit("a"), F.lit(1))})
+    kept = simhash.keep_first(odd)
+    assert kept.columns == odd.columns and kept.count() == simhash.keep_first(docs).count()
+
+
 def planted_copies(seed=4, bases=40):
     """Rows (id, text) of random texts and of copies with more and more edited words, and their word lists."""
     rng = np.random.default_rng(seed)

@@ -141,14 +141,14 @@ def test_chat_round_trip(spark):
     rows = [(c, t, roles[(c + t) % 6], texts[(3 * c + t) % 8]) for c in range(20) for t in range(c % 9 + 1)] + [(50, 0, "user", "same"), (50, 0, "user", "same"), (None, 1, "user", "x"), (51, None, "user", "y")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
     done = chat.render(chat.fold(chat.as_events(df)))
-    back = done.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"), "segments").collect()
+    back = done.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"), chat.under_mask("formatted", "mask").alias("loss"), "mask").collect()
     expected = defaultdict(list)
     for c, t, r, x in rows:
         expected[c].append((-1 if t is None else t, r or "", x or ""))
     for row in back:
         assert [(t.role, t.text) for t in row.turns] == [(r, x) for _, r, x in sorted(expected[row.conv_id])]
-        assert "".join(s.text for s in row.segments) == row.formatted
-        assert [s.text for s in row.segments if s.loss] and True or all(r != "assistant" for _, r, _ in expected[row.conv_id])
+        assert row.loss == [x for _, r, x in sorted(expected[row.conv_id]) if r == "assistant"]
+        assert all(row.formatted[m.start + m.length :].startswith(" [/ANSWER]</s>") and row.formatted[: m.start].endswith("<s>[ANSWER] ") for m in row.mask)
     assert len(back) == len(expected)
     assert chat.render(chat.fold(chat.as_events(df.filter("false")))).count() == 0
 
@@ -159,6 +159,11 @@ def test_chat_folds_deltas_edits_and_regenerations(spark):
     assert sorted((r.message, r.role, r.text) for r in got.collect()) == [(1, "user", "ho"), (2, "assistant", "new"), (3, "user", "ab")]
 
 
+def test_the_log_holds_deltas_edits_and_regenerations(spark, sf):
+    kinds = {r.kind: r["count"] for r in chat.as_events(spark.read.parquet(f"{sf}/conversations.parquet")).groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and min(kinds.values()) > kinds["message"] / 6
+
+
 def test_pipeline_equals_its_parts(spark, docs, odd_docs, tmp_path):
     labels = [(k, int(k % 5 == 1)) for k in range(40)]
     sf = str(tmp_path)
@@ -167,9 +172,8 @@ def test_pipeline_equals_its_parts(spark, docs, odd_docs, tmp_path):
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
     out = corpus_pipeline.run(spark, sf).collect()
     rows = {r.doc_id: r.text for r in plain.collect()}
-    lexicon, weights = toxicity.learn(plain, spark.read.parquet(f"{sf}/labels.parquet"))
-    matcher = toxicity.Matcher(lexicon)
-    score = lambda t: 1 / (1 + np.exp(-sum(w * v for w, v in zip(weights, [*toxicity.shaped(*matcher.features(t)), 1.0], strict=True))))
+    model = toxicity.learn(plain, spark.read.parquet(f"{sf}/labels.parquet"))
+    score = lambda t: model.scores([t])[0]
     rows = {i: t for i, t in rows.items() if score(t) < 0.5}
     marks = {i: simhash.fingerprint(t) & (2**64 - 1) for i, t in rows.items()}
     group = {i: i for i in rows}
