@@ -24,19 +24,27 @@ class Spec:
 def fields(spark: SparkSession, lines: DataFrame, specs: list[Spec]) -> DataFrame:
     """doc, key, value, normal, page, line, evidence, confidence: per field the best label, then page, then line, that can be read.
 
-    lines: doc, page, line, text, source (text or ocr), ocr_confidence.  A label stands at a line's start,
-    after a wide gap or a bar; its value ends at the next wide gap.  Specs are a small fixed list: they are
-    exploded as literals, so the pattern is compiled once per row group and nothing is joined.
+    lines: doc, page, line, text, source (text or ocr), ocr_confidence.  A line is split into cells at wide gaps,
+    bullets and bars.  A cell is a label up to its first separator and a value behind it; a label without a
+    value takes the next cell, unless that has a label of its own.  Specs are a small fixed list: they are
+    exploded as literals, so nothing is joined.
     """
-    found = []
-    for spec in specs:
-        for rank, label in enumerate(spec.labels):
-            pattern = rf"(?i)(?:^|\s{{2,}}|[·•|]\s*){label}\s*[:\-–][ \t]*(\S.*?)(?=\s{{2,}}|$)"
-            found.append(F.struct(F.lit(spec.key).alias("key"), F.lit(spec.kind).alias("kind"), F.lit(rank).alias("rank"), F.regexp_extract("text", pattern, 1).alias("value")))
-    rows = lines.withColumn("f", F.explode(F.filter(F.array(*found), lambda f: f.value != ""))).select("doc", "page", "line", "text", "source", "ocr_confidence", "f.*")
+    cells = F.filter(F.split("text", r"\s\s+|\s*[·•|]\s*"), lambda c: F.trim(c) != "")
+    cut = F.transform(cells, lambda c: F.struct(c.alias("cell"), F.split(c, r"\s*[:\-–]\s*", 2).alias("halves")))
+    seen = lines.withColumn("cells", cut).withColumn("at", F.explode(F.expr("sequence(0, greatest(size(cells) - 1, 0))")))
+    own, following = F.get("cells", F.col("at")), F.get("cells", F.col("at") + 1)
+    value = F.trim(F.get(own.halves, F.lit(1)))
+    value = F.when(value != "", value).when((value == "") & (F.size(following.halves) == 1), F.trim(following.cell))
+    seen = seen.select("doc", "page", "line", "text", "source", "ocr_confidence", "at", own.cell.alias("cell"), F.trim(F.get(own.halves, F.lit(0))).alias("label"), value.alias("value"))
+    seen = seen.filter("value is not null")
+    found = [
+        F.when(F.col("label").rlike(f"(?i)^(?:{label})$"), F.struct(F.lit(spec.key).alias("key"), F.lit(spec.kind).alias("kind"), F.lit(rank).alias("rank")))
+        for spec in specs for rank, label in enumerate(spec.labels)
+    ]
+    rows = seen.withColumn("f", F.explode(F.array_compact(F.array(*found)))).select("doc", "page", "line", "text", "source", "ocr_confidence", "at", "cell", "value", "f.*")
     rows = rows.withColumn("normal", comparison(F.col("kind"), F.col("value"))).filter("normal is not null")
-    first = F.row_number().over(Window.partitionBy("doc", "key").orderBy("rank", "page", "line"))
-    begin = F.expr("instr(text, value) - 1")
+    first = F.row_number().over(Window.partitionBy("doc", "key").orderBy("rank", "page", "line", "at"))
+    begin = F.expr("locate(value, text, locate(cell, text)) - 1")
     confidence = F.when(F.col("source") == "ocr", F.bround(F.least(F.lit(0.9), F.coalesce(F.nullif(F.col("ocr_confidence"), F.lit(0.0)), F.lit(0.7))), 4)).otherwise(0.95)
     best = rows.withColumn("place", first).filter("place = 1")
     return best.select("doc", "key", "value", "normal", "page", "line", snippet(F.col("text"), begin, begin + F.length("value")).alias("evidence"), confidence.alias("confidence"))

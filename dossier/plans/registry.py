@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    from dossier.plans import checks, claims, documents, functions, literals, records, streams, workflow
+    from dossier.plans import checks, claims, documents, functions, literals, records, roundtrips, streams, workflow
 
     found: dict[str, tuple] = {}
-    for module in (documents, claims, checks, workflow, functions, literals, records, streams):
+    for module in (documents, claims, checks, workflow, functions, literals, records, roundtrips, streams):
         for name, item in module.CATALOGUE.items():
             if name in found:
                 raise ValueError(f"query {name} is registered twice")
