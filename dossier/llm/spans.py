@@ -23,7 +23,7 @@ FRESH, SPAN, LEVEL, LOOKED_UP = range(4)
 KIND, TWIN, POS, N, D, LENGTH = "flag & 3", "flag >> 2", "place >> 31", "place & 4095", "place >> 12 & 524287", "place & 2147483647"
 #: Bytes of text handled at once inside a task, and rows reduced at once.
 SLICE = 1 << 20
-BLOCK = 250_000
+BLOCK = 150_000
 U = np.uint64
 
 
