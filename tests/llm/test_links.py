@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -94,7 +95,10 @@ def planted_copies(seed=4, bases=40):
     return rows
 
 
-def test_near_copies_go_up_to_the_similarity(spark):
+@pytest.mark.parametrize("small", [32, 1])
+def test_near_copies_go_up_to_the_similarity(spark, monkeypatch, small):
+    monkeypatch.setattr(near_copies, "SMALL", small)  # 1: every bucket is a large one
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
     rows = planted_copies()
     sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
     links = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
