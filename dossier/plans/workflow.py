@@ -167,7 +167,7 @@ UNION ALL SELECT claim_id, 'priority', '5-LOW', p, 'changed' FROM a WHERE known
 
 
 def _deductions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing requirements cost 12 (4 if documented as unavailable), reviews 8; a finding covered by the checklist is not charged again."""
+    """Missing requirements cost 12 (4 if documented as unavailable), reviews 8; findings are not charged."""
     items = requirement_status(spark, sf_dir)
     told = F.col("claim_id") % 7 == 0
     missing = items.filter("state = 'missing'").select("claim_id", F.when(told, 4).otherwise(12).alias("amount"), (~told).alias("missing"), F.lit(False).alias("attention"))

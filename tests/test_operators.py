@@ -84,3 +84,12 @@ def test_squash_is_idempotent(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v string")
     once = T.squash(F.col("v"))
     assert df.filter(T.squash(once) != once).count() == 0
+
+
+def test_a_label_without_a_value_never_takes_the_next_label(spark):
+    from dossier.operators.extraction import Spec, fields
+
+    lines = [(1, 1, 0, "Name:    Age: 40", "text", None), (2, 1, 0, "Name:    Asha Rao    Age: 40", "text", None), (3, 1, 0, "Name - Rao, a name | Age: 7", "text", None)]
+    rows = spark.createDataFrame(lines, "doc long, page int, line int, text string, source string, ocr_confidence double")
+    got = sorted((r.doc, r.key, r.value) for r in fields(spark, rows, [Spec("name", "name", ("name",)), Spec("age", "integer", ("age",))]).collect())
+    assert got == [(1, "age", "40"), (2, "age", "40"), (2, "name", "Asha Rao"), (3, "age", "7"), (3, "name", "Rao, a name")]
