@@ -1,7 +1,10 @@
-"""Sequential operators: segmentation, clustering and lifecycle folds as SQL aggregates over ordered arrays."""
+"""Sequential operators: segmentation by windows and by a streamed fold, clustering, lifecycles composed from chunks."""
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,23 +19,94 @@ def islands(rows: DataFrame, group: str, order: list[str], gap: Column) -> DataF
 def segments(pages: DataFrame, group: str, page: str, reads_as: str, names_itself: str) -> DataFrame:
     """Segments of a file: group, segment, first_page, last_page, segment_type, n_ambiguous.
 
-    A fold in page order: a page that names its own type and differs from the open one begins a segment;
-    a page that reads as the open type joins it; a page that reads as nothing known joins it as ambiguous.
+    In page order: a page that names its own type and differs from the open one begins a segment; a page
+    that reads as the open type joins it; any other joins it as ambiguous.  The open type is that of the last
+    page that named itself (or of the first page), so running windows suffice and no array holds a file.
     """
-    struct = F.struct(F.col(page).alias("page"), F.col(reads_as).alias("type"), F.col(names_itself).alias("named"))
-    ordered = pages.groupBy(group).agg(F.array_sort(F.collect_list(struct)).alias("pages"))
-    empty = "cast(array() as array<struct<first:bigint,last:bigint,type:string,ambiguous:bigint>>)"
-    fold = f"""aggregate(pages, {empty}, (done, p) ->
-      CASE WHEN size(done) = 0 OR (p.named AND p.type <> element_at(done, -1).type)
-        THEN concat(done, array(struct(p.page AS first, p.page AS last, p.type AS type, cast(0 AS bigint) AS ambiguous)))
-        ELSE concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).first AS first, p.page AS last, element_at(done, -1).type AS type,
-          element_at(done, -1).ambiguous + CASE WHEN p.type = element_at(done, -1).type THEN 0 ELSE 1 END AS ambiguous)))
-      END)"""
-    return ordered.select(group, F.posexplode(F.expr(fold)).alias("segment", "s")).select(
-        group, F.col("segment").cast("bigint").alias("segment"), F.col("s.first").alias("first_page"), F.col("s.last").alias("last_page"), F.col("s.type").alias("segment_type"), F.col("s.ambiguous").alias("n_ambiguous")
+    rows = pages.select(group, F.col(page).alias("page"), F.col(reads_as).alias("type"), F.col(names_itself).alias("named"))
+    w = Window.partitionBy(group).orderBy("page")
+    rows = rows.withColumn("opening", F.row_number().over(w) == 1)
+    so_far, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("open", F.last(F.when(F.col("opening") | F.col("named"), F.col("type")), ignorenulls=True).over(earlier))
+    begins = F.col("opening") | F.coalesce(F.col("named") & (F.col("type") != F.col("open")), F.lit(False))
+    rows = rows.withColumn("begins", begins).withColumn("segment", F.sum(F.col("begins").cast("bigint")).over(so_far) - 1)
+    strays = F.count_if(~F.col("begins") & ~F.coalesce(F.col("type") == F.col("open"), F.lit(False)))
+    return rows.groupBy(group, "segment").agg(
+        F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.min_by("type", "page").alias("segment_type"), strays.alias("n_ambiguous")
     )
 
 
+#: What a page's placement rests on, where it begins a document and where it continues one.
+BEGINS = ("first_page", "counter_restarted", "type_changed", "identifier_changed")
+UNREADABLE = "other"
+
+
+def _placed(page, doc: dict | None) -> str:
+    """Why ``page`` begins a document (one of BEGINS) or continues ``doc``; the strongest evidence decides."""
+    if doc is None:
+        return "first_page"
+    if page.at is not None:
+        short = doc["total"] is not None and doc["pages"] < doc["total"]
+        if page.at > 1 or short:
+            return "counter"
+        if page.total is not None and page.total >= 1:
+            return "counter_restarted"
+    if page.named and page.type != doc["type"]:
+        return "type_changed"
+    shared = [k for k in sorted(page.identifiers) if k in doc["identifiers"]]
+    if shared:
+        return "same_identifier" if page.identifiers[shared[0]] == doc["identifiers"][shared[0]] else "identifier_changed"
+    alike = page.type != UNREADABLE and page.type == doc["type"]
+    return "same_type" if page.named or alike else "ambiguous"
+
+
+def placements(pages: DataFrame) -> DataFrame:
+    """Where each page of a file belongs: file, page, segment (from 0), because.
+
+    pages: file, page, type, named (it names its own type), identifiers (map of label to value, by label the
+    first shared one counts), at and total ("page at of total", null if not printed).  Rows are sorted by
+    file and page inside partitions and read as a stream; only the open document's facts are held, so a file
+    of any length needs little memory.  Files of null name are one file; repeated page numbers follow by type.
+    """
+    rows = pages.select(
+        F.col("file").cast("string"), F.col("page").cast("bigint"), F.coalesce("type", F.lit(UNREADABLE)).alias("type"), F.coalesce("named", F.lit(False)).alias("named"),
+        F.map_entries(F.coalesce("identifiers", F.create_map().cast("map<string,string>"))).alias("identifiers"), F.col("at").cast("int"), F.col("total").cast("int"),
+    )
+    ordered = rows.repartition("file").sortWithinPartitions("file", "page", "type", "named", "at", "total")
+
+    def run(batches):
+        at_file, doc, segment = object(), None, -1
+        for batch in batches:
+            placed = []
+            for row in batch.to_pylist():
+                page = SimpleNamespace(**{**row, "identifiers": {e["key"]: e["value"] for e in row["identifiers"]}})
+                if page.file != at_file:
+                    at_file, doc, segment = page.file, None, -1
+                why = _placed(page, doc)
+                if why in BEGINS:
+                    doc, segment = {"type": page.type if page.named else UNREADABLE, "identifiers": {}, "total": None, "pages": 0}, segment + 1
+                elif doc["type"] == UNREADABLE and page.named:
+                    doc["type"] = page.type
+                doc["identifiers"] = {**page.identifiers, **doc["identifiers"]}
+                doc["total"] = page.total if doc["total"] is None else doc["total"]
+                doc["pages"] += 1
+                placed.append({"file": page.file, "page": page.page, "segment": segment, "because": why})
+            yield pa.RecordBatch.from_pylist(placed, schema=_PLACED)
+
+    return ordered.mapInArrow(run, "file string, page bigint, segment bigint, because string")
+
+
+_PLACED = pa.schema([("file", pa.string()), ("page", pa.int64()), ("segment", pa.int64()), ("because", pa.string())])
+
+
+def placed_segments(pages: DataFrame) -> DataFrame:
+    """Documents inside files by ``placements``: file, segment, first_page, last_page, because, n_ambiguous, uncertain."""
+    found = placements(pages).groupBy("file", "segment").agg(
+        F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.max(F.when(F.col("because").isin(*BEGINS), F.col("because"))).alias("because"), F.count_if(F.col("because") == "ambiguous").alias("n_ambiguous")
+    )
+    return found.withColumn("uncertain", F.col("n_ambiguous") > 0)
+
+
 def anchored_clusters(rows: DataFrame, group: str, value: str, most: float) -> DataFrame:
     """Clusters of sorted values anchored to their first member: group, cluster, anchor, n."""
     ordered = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("xs"))
@@ -43,10 +117,22 @@ def anchored_clusters(rows: DataFrame, group: str, value: str, most: float) -> D
     return ordered.select(group, F.posexplode(F.expr(fold)).alias("cluster", "c")).select(group, F.col("cluster").cast("bigint").alias("cluster"), F.col("c.anchor").alias("anchor"), F.col("c.n").alias("n"))
 
 
-def lifecycle(actions: DataFrame, key: str, order: list[str], action: str, start: str, moves: dict[str, tuple[tuple[str, ...], str]]) -> DataFrame:
-    """Final status and count of refused actions per key: an action moves only from its allowed statuses."""
-    listed = actions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(action).alias("action")))).alias("log"))
+def lifecycle(actions: DataFrame, key: str, order: list[str], action: str, start: str, moves: dict[str, tuple[tuple[str, ...], str]], chunk: int = 10_000) -> DataFrame:
+    """Final status and count of refused actions per key: an action moves only from its allowed statuses.
+
+    A key's log is cut into chunks of ``chunk`` actions; each becomes a map from every status it may begin
+    with to the one it ends with, and the maps are composed in order, so no array holds a key's whole log.
+    """
+    statuses = sorted({start} | {t for _, t in moves.values()} | {x for sources, _ in moves.values() for x in sources})
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order, action))
+    cut = actions.select(key, F.col(action).alias("action"), place.alias("place")).withColumn("chunk", F.floor((F.col("place") - 1) / chunk))
+    listed = cut.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(F.struct("place", "action"))).alias("log"))
     allowed = " ".join(f"WHEN a.action = '{name}' AND s.status IN ({', '.join(repr(x) for x in sources)}) THEN '{target}'" for name, (sources, target) in moves.items())
-    fold = f"""aggregate(log, struct('{start}' AS status, cast(0 AS bigint) AS refused), (s, a) ->
-      struct(coalesce(CASE {allowed} END, s.status) AS status, s.refused + CASE WHEN CASE {allowed} END IS NULL THEN 1 ELSE 0 END AS refused))"""
-    return listed.select(key, F.expr(fold).alias("s"), F.size("log").cast("bigint").alias("n_actions")).select(key, "s.status", "s.refused", "n_actions")
+    fold = f"""transform(array({', '.join(map(repr, statuses))}), b -> aggregate(log, struct(b AS status, cast(0 AS bigint) AS refused), (s, a) ->
+      struct(coalesce(CASE {allowed} END, s.status) AS status, s.refused + CASE WHEN CASE {allowed} END IS NULL THEN 1 ELSE 0 END AS refused)))"""
+    part = F.struct("chunk", F.expr(fold).alias("ends"), F.size("log").cast("bigint").alias("n"))
+    parts = listed.select(key, part.alias("part")).groupBy(key).agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    at = f"element_at(p.ends, cast(array_position(array({', '.join(map(repr, statuses))}), s.status) AS int))"
+    whole = f"""aggregate(parts, struct('{start}' AS status, cast(0 AS bigint) AS refused, cast(0 AS bigint) AS n),
+      (s, p) -> struct({at}.status AS status, s.refused + {at}.refused AS refused, s.n + p.n AS n))"""
+    return parts.select(key, F.expr(whole).alias("s")).select(key, "s.status", "s.refused", F.col("s.n").alias("n_actions"))
