@@ -20,7 +20,8 @@ def segments(pages: DataFrame, group: str, page: str, reads_as: str, names_itsel
     """Segments of a file: group, segment, first_page, last_page, segment_type, n_ambiguous.
 
     In page order: a page that names its own type and differs from the open one begins a segment; a page
-    that reads as the open type joins it; any other joins it as ambiguous.  The open type is that of the last
+    that reads as the open type joins it; any other joins it as ambiguous (a null type is unknown: it begins
+    nothing, and differs from every named one).  The open type is that of the last
     page that named itself (or of the first page), so running windows suffice and no array holds a file.
     """
     rows = pages.select(group, F.col(page).alias("page"), F.col(reads_as).alias("type"), F.col(names_itself).alias("named"))
@@ -28,7 +29,7 @@ def segments(pages: DataFrame, group: str, page: str, reads_as: str, names_itsel
     rows = rows.withColumn("opening", F.row_number().over(w) == 1)
     so_far, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("open", F.last(F.when(F.col("opening") | F.col("named"), F.col("type")), ignorenulls=True).over(earlier))
-    begins = F.col("opening") | F.coalesce(F.col("named") & (F.col("type") != F.col("open")), F.lit(False))
+    begins = F.col("opening") | (F.coalesce("named", F.lit(False)) & F.col("type").isNotNull() & ~F.col("type").eqNullSafe(F.col("open")))
     rows = rows.withColumn("begins", begins).withColumn("segment", F.sum(F.col("begins").cast("bigint")).over(so_far) - 1)
     strays = F.count_if(~F.col("begins") & ~F.coalesce(F.col("type") == F.col("open"), F.lit(False)))
     return rows.groupBy(group, "segment").agg(

@@ -93,3 +93,41 @@ def test_a_label_without_a_value_never_takes_the_next_label(spark):
     rows = spark.createDataFrame(lines, "doc long, page int, line int, text string, source string, ocr_confidence double")
     got = sorted((r.doc, r.key, r.value) for r in fields(spark, rows, [Spec("name", "name", ("name",)), Spec("age", "integer", ("age",))]).collect())
     assert got == [(1, "age", "40"), (2, "age", "40"), (2, "name", "Asha Rao"), (3, "age", "7"), (3, "name", "Rao, a name")]
+
+
+def test_segments_of_unread_and_renamed_pages(spark):
+    pages = [(1, 1, None, None), (1, 2, "bill", True), (1, 3, "bill", True), (1, 4, None, True), (1, 5, "note", None)]
+    df = spark.createDataFrame(pages, "file long, page long, type string, named boolean")
+    got = [tuple(r) for r in folds.segments(df, "file", "page", "type", "named").orderBy("segment").collect()]
+    assert got == [(1, 0, 1, 1, None, 0), (1, 1, 2, 5, "bill", 2)]
+
+
+def test_lifecycle_is_the_same_whatever_the_chunks(spark):
+    moves = {"see": (("open",), "seen"), "close": (("open", "seen"), "closed"), "again": (("closed",), "open")}
+    log = [(k, s, ("see", "close", "again", "close", "see")[(k * 7 + s * s) % 5]) for k in range(4) for s in range(23)]
+    df = spark.createDataFrame(log, "k long, s long, action string")
+    expected = {}
+    for k, _, action in sorted(log):
+        status, refused, n = expected.get(k, ("open", 0, 0))
+        allowed = status in moves[action][0]
+        expected[k] = (moves[action][1] if allowed else status, refused + (not allowed), n + 1)
+    for chunk in (1, 3, 1000):
+        assert {r.k: (r.status, r.refused, r.n_actions) for r in folds.lifecycle(df, "k", ["s"], "action", "open", moves, chunk).collect()} == expected
+
+
+def test_pages_are_placed_by_the_strongest_evidence(spark):
+    rows = [
+        # a bill that counts two pages, whatever the second names; then a second bill by its number
+        ("a", 1, "bill", True, {"no": "1"}, 1, 2, "first_page"), ("a", 2, "note", True, None, 2, 2, "counter"), ("a", 3, "bill", True, {"no": "2"}, None, None, "identifier_changed"),
+        ("a", 4, "bill", True, None, None, None, "same_type"), ("a", 5, "bill", False, None, None, None, "same_type"), ("a", 6, "other", False, {"no": "2"}, None, None, "same_identifier"),
+        ("a", 7, "other", False, None, None, None, "ambiguous"), ("a", 8, "note", True, None, None, None, "type_changed"), ("a", 9, "note", False, None, 1, 1, "counter_restarted"),
+        # a count that restarts before it is reached is misread
+        ("b", 1, "form", True, None, 1, 2, "first_page"), ("b", 2, "form", True, None, 1, 2, "counter"),
+        # nothing is known of the only page; identifiers seen on later pages count
+        ("c", 1, None, None, None, None, None, "first_page"), ("d", 1, "bill", True, None, None, None, "first_page"), ("d", 2, "bill", False, {"no": "1"}, None, None, "same_type"), ("d", 3, "bill", False, {"no": "9"}, None, None, "identifier_changed"),
+    ]
+    df = spark.createDataFrame([r[:7] for r in rows], "file string, page int, type string, named boolean, identifiers map<string,string>, at int, total int")
+    assert {(r.file, r.page): r.because for r in folds.placements(df).collect()} == {(r[0], r[1]): r[7] for r in rows}
+    spans = {(r.file, r.segment): (r.first_page, r.last_page, r.because, r.uncertain) for r in folds.placed_segments(df).collect()}
+    assert spans[("a", 0)] == (1, 2, "first_page", False) and spans[("a", 1)] == (3, 7, "identifier_changed", True) and len(spans) == 8
+    assert folds.placements(df.limit(0)).count() == 0
