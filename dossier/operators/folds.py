@@ -109,13 +109,29 @@ def placed_segments(pages: DataFrame) -> DataFrame:
 
 
 def anchored_clusters(rows: DataFrame, group: str, value: str, most: float) -> DataFrame:
-    """Clusters of sorted values anchored to their first member: group, cluster, anchor, n."""
-    ordered = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("xs"))
-    fold = f"""aggregate(xs, cast(array() as array<struct<anchor:double,n:bigint>>), (done, x) ->
-      CASE WHEN size(done) = 0 OR x - element_at(done, -1).anchor > {most}
-        THEN concat(done, array(struct(x AS anchor, cast(1 AS bigint) AS n)))
-        ELSE concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).anchor AS anchor, element_at(done, -1).n + 1 AS n))) END)"""
-    return ordered.select(group, F.posexplode(F.expr(fold)).alias("cluster", "c")).select(group, F.col("cluster").cast("bigint").alias("cluster"), F.col("c.anchor").alias("anchor"), F.col("c.n").alias("n"))
+    """Clusters of sorted values anchored to their first member: group, cluster, anchor, n.
+
+    Equal values are counted first; then each group's values are read in order as a stream that holds the
+    open anchor only.  Null values are in no cluster.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("key"), F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
+    key = counted.schema["key"].dataType.simpleString()
+
+    def run(batches):
+        at, anchor, cluster = object(), 0.0, -1
+        for batch in batches:
+            anchors, clusters = [], []
+            for k, x in zip(batch["key"].to_pylist(), batch["x"].to_pylist(), strict=True):
+                if k != at:
+                    at, anchor, cluster = k, x, 0
+                elif x - anchor > most:
+                    anchor, cluster = x, cluster + 1
+                anchors.append(anchor)
+                clusters.append(cluster)
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(clusters, pa.int64()), pa.array(anchors, pa.float64()), batch["n"]], ["key", "cluster", "anchor", "n"])
+
+    read = counted.repartition("key").sortWithinPartitions("key", "x").mapInArrow(run, f"key {key}, cluster bigint, anchor double, n bigint")
+    return read.groupBy("key", "cluster").agg(F.min("anchor").alias("anchor"), F.sum("n").alias("n")).withColumnRenamed("key", group)
 
 
 def lifecycle(actions: DataFrame, key: str, order: list[str], action: str, start: str, moves: dict[str, tuple[tuple[str, ...], str]], chunk: int = 10_000) -> DataFrame:

@@ -50,8 +50,14 @@ SELECT doc_id, CASE WHEN n = 1 THEN 'unique' WHEN doc_id = o THEN 'has_duplicate
 
 
 @F.pandas_udf(DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+def _ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """The ratio, or its upper bound from counts of characters where that is below ``least`` already."""
+    found = []
+    for x, y, bound in zip(a, b, least, strict=True):
+        match = SequenceMatcher(None, x, y)
+        most = match.quick_ratio()
+        found.append(most if most < bound else match.ratio())
+    return pd.Series(found, dtype=float)
 
 
 def near_pairs(pages: DataFrame, least: float = 0.95, shingle: int = 8) -> DataFrame:
@@ -74,7 +80,7 @@ def near_pairs(pages: DataFrame, least: float = 0.95, shingle: int = 8) -> DataF
     both = pairs.join(left, ["group", "a"]).join(right, ["group", "b"])
     la, lb = F.length("body_a"), F.length("body_b")
     both = both.filter(2 * F.least(la, lb) >= least * (la + lb))
-    scored = both.withColumn("similarity", F.when(F.col("body_a") == F.col("body_b"), 1.0).otherwise(_ratio("body_a", "body_b")))
+    scored = both.withColumn("similarity", F.when(F.col("body_a") == F.col("body_b"), 1.0).otherwise(_ratio("body_a", "body_b", F.lit(least))))
     return scored.filter(F.col("similarity") >= least).select("group", "a", "b", "similarity")
 
 

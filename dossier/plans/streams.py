@@ -15,13 +15,15 @@ def stream_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_hourly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes asked for per user and hour."""
-    found = run(hourly_codes(event_stream(spark, f"{sf_dir}/events.parquet")), spark, "complete", "codes")
-    last = found.agg({"version": "max"}).first()[0]
-    return found.filter(found["version"] == last).selectExpr("user_id", "date_format(hour, 'yyyy-MM-dd HH') AS hour", "n")
+    """Codes asked for per user and hour, of the hours that the watermark has closed."""
+    found = run(hourly_codes(event_stream(spark, f"{sf_dir}/events.parquet")), spark, "append", "codes")
+    return found.selectExpr("user_id", "date_format(hour, 'yyyy-MM-dd HH') AS hour", "n")
 
 
-HOURLY = "SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY ALL"
+HOURLY = """
+SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS n FROM events WHERE event_type = 'signup'
+GROUP BY user_id, date_trunc('hour', ts) HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events WHERE event_type = 'signup') - INTERVAL 10 MINUTE
+"""
 
 CATALOGUE = {
     "stream_reconcile": (stream_reconcile, f"SELECT user_id, status, n_actions FROM ({LIFECYCLE_FOLD})"),

@@ -74,8 +74,14 @@ SELECT user_id, cluster, min(anchor) AS anchor, count(*) AS n FROM f GROUP BY us
 
 
 def hash_hamming_pairs(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:
-    """Pairs of vectors of one label whose 63-bit difference hashes differ in few bits: one of most+1 bands must be equal."""
+    """Pairs of vectors of one label whose 63-bit difference hashes differ in few bits: one of most+1 bands must be equal.
+
+    Vectors of the table are far apart, so every tenth one is joined by a scan of its own (id -1 - vec_id) with one number negated.
+    """
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding")
+    negated = F.transform("embedding", lambda x, i: F.when(i == F.col("at"), -x).otherwise(x))
+    scans = vectors.filter("vec_id % 10 = 0").withColumn("at", F.col("vec_id") % 64).select((-1 - F.col("vec_id")).alias("vec_id"), "label", negated.alias("embedding"))
+    vectors = vectors.unionByName(scans)
     bits = " | ".join(f"shiftleft(cast(embedding[{i + 1}] > embedding[{i}] as bigint), {i})" for i in range(63))
     hashed = vectors.select("vec_id", "label", F.expr(bits).alias("h"))
     width = -(-63 // (most + 1))
@@ -88,7 +94,9 @@ def hash_hamming_pairs(spark: SparkSession, sf_dir: str, most: int = 3) -> DataF
 
 _BITS = " | ".join(f"(CAST(embedding[{i + 2}] > embedding[{i + 1}] AS BIGINT) << {i})" for i in range(62)) + " | (CASE WHEN embedding[64] > embedding[63] THEN 4611686018427387904 ELSE 0 END)"
 HASH_HAMMING = f"""
-WITH h AS (SELECT vec_id, label, {_BITS} AS h FROM embeddings)
+WITH e AS (SELECT vec_id, label, embedding FROM embeddings
+  UNION ALL SELECT -1 - vec_id, label, list_transform(embedding, lambda x, i: CASE WHEN i - 1 = vec_id % 64 THEN -x ELSE x END) FROM embeddings WHERE vec_id % 10 = 0),
+h AS (SELECT vec_id, label, {_BITS} AS h FROM e)
 SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.h, y.h)) AS BIGINT) AS distance FROM h x JOIN h y ON x.label = y.label AND x.vec_id < y.vec_id WHERE bit_count(xor(x.h, y.h)) <= 3
 """
 
