@@ -19,6 +19,8 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 NO_ID = 2**63 - 1
 #: Upper bound on the rows of a side that may be broadcast.
 BROADCAST_ROWS = 50_000
+#: join_facts: a hot key has over HOT_ROWS rows; there are at most HOT_KEYS of them.
+HOT_ROWS, HOT_KEYS = 1_000, 10_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -79,6 +81,18 @@ def join_checked(left: DataFrame, small: DataFrame, on: list[str], rows: int, ho
     return left.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """Joins what is known of each key to the rows of that key; no key's rows have to meet in one task.
+
+    ``facts`` has one row per key (never null) with the number of its rows in ``size``; ``total`` is the number of all rows.
+    Keys above HOT_ROWS rows and a 10,000th of the total are at most HOT_KEYS by count, so they are broadcast.
+    """
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot, rest = facts.filter(F.col(size) > limit), facts.filter(F.col(size) <= limit)
+    names = F.broadcast(hot.select(*on))
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(names, on, "left_anti").join(rest, on))
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of the id written as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

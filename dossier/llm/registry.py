@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.llm import chat, embedding_dedup, mixing, recompression, suffix_dedup
+from dossier.llm import chat, embedding_dedup, exact_dedup, mixing, recompression, suffix_dedup
 from dossier.llm.chat import op9_chat
 from dossier.llm.embedding_dedup import op6_embeddings
+from dossier.llm.exact_dedup import op11_exact_dedup
 from dossier.llm.langid import op3_langid
 from dossier.llm.mixing import op1_mixing
 from dossier.llm.packing import op2_packing
@@ -20,7 +21,10 @@ from dossier.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op2_packing, op3_langid, op4_suffix_dedup, op5_quality, op6_embeddings, op7_simhash, op8_toxicity, op9_chat, op10_recompression)
+    found = (
+        op1_mixing, op2_packing, op3_langid, op4_suffix_dedup, op5_quality, op6_embeddings, op7_simhash, op8_toxicity, op9_chat, op10_recompression,
+        op11_exact_dedup,
+    )
     return {f.__name__: f for f in found}
 
 
@@ -32,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_embeddings": embedding_dedup.ORACLE_SQL,
         "op9_chat": chat.ORACLE_SQL,
         "op10_recompression": recompression.ORACLE_SQL,
+        "op11_exact_dedup": exact_dedup.ORACLE_SQL,
     }
