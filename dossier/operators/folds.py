@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from types import SimpleNamespace
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -42,23 +42,38 @@ BEGINS = ("first_page", "counter_restarted", "type_changed", "identifier_changed
 UNREADABLE = "other"
 
 
-def _placed(page, doc: dict | None) -> str:
-    """Why ``page`` begins a document (one of BEGINS) or continues ``doc``; the strongest evidence decides."""
-    if doc is None:
-        return "first_page"
-    if page.at is not None:
-        short = doc["total"] is not None and doc["pages"] < doc["total"]
-        if page.at > 1 or short:
-            return "counter"
-        if page.total is not None and page.total >= 1:
-            return "counter_restarted"
-    if page.named and page.type != doc["type"]:
-        return "type_changed"
-    shared = [k for k in sorted(page.identifiers) if k in doc["identifiers"]]
-    if shared:
-        return "same_identifier" if page.identifiers[shared[0]] == doc["identifiers"][shared[0]] else "identifier_changed"
-    alike = page.type != UNREADABLE and page.type == doc["type"]
-    return "same_type" if page.named or alike else "ambiguous"
+class _Open(NamedTuple):
+    """What is known of the document that is open."""
+
+    type: str = UNREADABLE
+    identifiers: dict = {}
+    total: int | None = None
+    pages: int = 0
+
+
+def _agrees(page: dict, doc: _Open) -> bool | None:
+    """Whether page and document have the same value under the first label they share; None if they share none."""
+    known = [(value, doc.identifiers[label]) for label, value in sorted(page["identifiers"].items()) if label in doc.identifiers]
+    return known[0][0] == known[0][1] if known else None
+
+
+#: Kinds of evidence, strongest first: the first that holds for a page and the open document places the page.
+EVIDENCE = (
+    ("first_page", lambda page, doc: doc is None),
+    ("counter", lambda page, doc: page["at"] is not None and (page["at"] > 1 or doc.pages < (doc.total or 0))),
+    ("counter_restarted", lambda page, doc: page["at"] is not None and (page["total"] or 0) >= 1),
+    ("type_changed", lambda page, doc: page["named"] and page["type"] != doc.type),
+    ("identifier_changed", lambda page, doc: _agrees(page, doc) is False),
+    ("same_identifier", _agrees),
+    ("same_type", lambda page, doc: page["named"] or UNREADABLE != page["type"] == doc.type),
+    ("ambiguous", lambda page, doc: True),
+)
+
+
+def _with(page: dict, doc: _Open) -> _Open:
+    """The document once the page is in it: the first to tell a type, an identifier or a total settles it."""
+    names = page["type"] if page["named"] and doc.type == UNREADABLE else doc.type
+    return _Open(names, page["identifiers"] | doc.identifiers, page["total"] if doc.total is None else doc.total, doc.pages + 1)
 
 
 def placements(pages: DataFrame) -> DataFrame:
@@ -76,23 +91,19 @@ def placements(pages: DataFrame) -> DataFrame:
     ordered = rows.repartition("file").sortWithinPartitions("file", "page", "type", "named", "at", "total")
 
     def run(batches):
-        at_file, doc, segment = object(), None, -1
+        file, doc, segment = object(), None, -1
         for batch in batches:
-            placed = []
-            for row in batch.to_pylist():
-                page = SimpleNamespace(**{**row, "identifiers": {e["key"]: e["value"] for e in row["identifiers"]}})
-                if page.file != at_file:
-                    at_file, doc, segment = page.file, None, -1
-                why = _placed(page, doc)
-                if why in BEGINS:
-                    doc, segment = {"type": page.type if page.named else UNREADABLE, "identifiers": {}, "total": None, "pages": 0}, segment + 1
-                elif doc["type"] == UNREADABLE and page.named:
-                    doc["type"] = page.type
-                doc["identifiers"] = {**page.identifiers, **doc["identifiers"]}
-                doc["total"] = page.total if doc["total"] is None else doc["total"]
-                doc["pages"] += 1
-                placed.append({"file": page.file, "page": page.page, "segment": segment, "because": why})
-            yield pa.RecordBatch.from_pylist(placed, schema=_PLACED)
+            out = {name: [] for name in _PLACED.names}
+            for page in batch.to_pylist():
+                if page["file"] != file:
+                    file, doc, segment = page["file"], None, -1
+                page["identifiers"] = {e["key"]: e["value"] for e in page["identifiers"]}
+                because = next(kind for kind, holds in EVIDENCE if holds(page, doc))
+                begins = because in BEGINS
+                doc, segment = _with(page, _Open() if begins else doc), segment + begins
+                for name, value in zip(_PLACED.names, (file, page["page"], segment, because), strict=True):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, schema=_PLACED)
 
     return ordered.mapInArrow(run, "file string, page bigint, segment bigint, because string")
 

@@ -1,4 +1,4 @@
-"""Queries over literal rows that exercise the scalar functions; the oracles hold the expected values."""
+"""Scalar functions over columns of the tables, with SQL of its own for each."""
 
 from __future__ import annotations
 
@@ -6,72 +6,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions import text as T
-from dossier.functions import values as V
-
-PROCEDURES = {
-    "keyhole_gallbladder": r"\blap(aroscopic|\.)?\s*chole(cystectomy)?\b",
-    "open_gallbladder": r"\bopen\s+cholecystectomy\b",
-    "gallbladder": r"\bcholecystectomy\b",
-    "appendix": r"\bappend(ic)?ectomy\b",
-    "knee": r"\b(tkr|total\s+knee\s+(replacement|arthroplasty))\b",
-}
-IMPLIED = {"keyhole_gallbladder": ("gallbladder", "open_gallbladder"), "open_gallbladder": ("gallbladder",)}
-INTENTS = {"missing": ("missing", "absent"), "findings": ("finding", "wrong"), "score": ("score", "ready"), "changes": ("changed", "new")}
-
-#: name -> (function, inputs, expected)
-CASES: dict[str, tuple] = {
-    "parse_dates": (lambda c: V.date_of(c).cast("string"), [
-        ("dated 05-03-2024.", "2024-03-05"), ("5/3/2024", "2024-03-05"), ("05.03.2024", "2024-03-05"), ("5 - Mar - 2024", "2024-03-05"), ("5 march 2024", "2024-03-05"),
-        ("2024-03-05", "2024-03-05"), ("31-02-2024", None), ("no date", None), (None, None), ("", None), ("13/13/2024", None),
-    ]),
-    "parse_amounts": (lambda c: V.amount(c).cast("string"), [
-        ("Rs. 1,14,360.00 only", "114360.00"), ("-500", "-500.00"), ("(1,200.50)", "-1200.50"), ("₹ 75", "75.00"), ("INR 12.5", "12.50"), ("none", None), ("", None), (None, None), ("0", "0.00"),
-    ]),
-    "indian_format": (lambda c: V.indian(c.try_cast(V.MONEY)), [
-        ("114360", "1,14,360.00"), ("999", "999.00"), ("1000", "1,000.00"), ("-12345678.9", "-1,23,45,678.90"), ("0", "0.00"), (None, None), ("100000", "1,00,000.00"),
-    ]),
-    "is_amount": (lambda c: V.is_amount(c).cast("string"), [("1,200.50", "true"), ("(300)", "true"), ("12a", "false"), ("", "false"), (None, "false")]),
-    "half_even": (lambda c: V.cents(c.try_cast("decimal(18,4)")).cast("string"), [("2.345", "2.34"), ("2.355", "2.36"), ("-2.345", "-2.34"), ("x", None)]),
-    "person_key": (lambda c: T.person_key(c), [
-        ("Dr. Anil Rao, MS (Surgery) · Reg. AB-1", "anil rao"), ("Smt Asha  Devi (wife)", "asha devi"), ("MR. J. K. Sen, MD", "j k sen"), ("", ""), (None, ""), ("Lee", "lee"),
-    ]),
-    "genders": (lambda c: T.gender(c), [("47/M", "male"), ("Female", "female"), ("F, 30 yrs", "female"), ("other", "other"), ("unknown", None), (None, None)]),
-    "ages": (lambda c: V.age(c).cast("string"), [("47 yrs", "47"), ("47/M", "47"), ("129", "129"), ("130", None), ("0 y", None), ("born", None), (None, None)]),
-    "icd_extract": (lambda c: T.icd10(c), [("acute (K81.0)", "K81.0"), ("icd-10: j18", "J18"), ("U07.1", None), ("none", None), (None, None)]),
-    "icd_strip": (lambda c: T.without_icd10(c), [("Acute cholecystitis (ICD-10: K81.0)", "Acute cholecystitis"), ("K81.0", "K81.0"), ("", None), (None, None)]),
-    "procedures": (lambda c: F.array_join(T.first_patterns(c, PROCEDURES, IMPLIED), ","), [
-        ("Lap. Cholecystectomy done", "keyhole_gallbladder"), ("open cholecystectomy", "open_gallbladder"), ("cholecystitis", ""), ("TKR and appendectomy", "appendix,knee"), (None, ""),
-    ]),
-    "clean_text": (lambda c: T.clean(T.nfc(c)), [("  a \t b ,;", "a b"), ("cafe\u0301.", "café"), ("", ""), (None, ""), ("x –", "x")]),
-    "squashed": (lambda c: T.squash(c), [("A.B--c  D!", "a b c d"), ("é", ""), (None, "")]),
-    "name_lists": (lambda c: T.names(F.split(c, ";")), [("b;a;b", "a and b"), ("c;a;b", "a, b and c"), ("x", "x"), (None, None)]),
-    "plurals": (lambda c: T.plural(c.try_cast("int"), "entry", "entries"), [("1", "1 entry"), ("0", "0 entries"), ("7", "7 entries"), (None, None)]),
-    "file_names": (lambda c: T.file_name(c, 12), [("/a/b/report.pdf", "report.pdf"), ("c:\\x\\averyveryverylongname.pdf", "averyver.pdf"), ("a\u202eb.png", "ab.png"), (None, "")]),
-    "emails": (lambda c: T.email(c), [(" A.B@Example.org ", "a.b@example.org"), ("no at", None), ("a@b", None), (None, None)]),
-    "snippets": (lambda c: T.snippet(c, F.lit(30), F.lit(35)), [("0123456789" * 8, ("0123456789" * 8)[2:63]), ("Name:  X   Age: 4" + " " * 20 + "end", "me: · X · Age: 4 · end"), (None, None)]),
-    "scrubs": (lambda c: T.scrub(c, ["fraud", "guilty"]), [("All fine. This is fraud! Done?", "All fine. Done?"), ("", ""), (None, "")]),
-    "intents": (lambda c: T.intent(c, INTENTS), [("What is missing?", "missing"), ("any new finding", "findings"), ("Is it READY", "score"), ("hello", "unknown"), (None, "unknown")]),
-    "comparison_forms": (lambda c: V.comparison(F.split_part(c, F.lit("|"), F.lit(1)), F.split_part(c, F.lit("|"), F.lit(2))), [
-        ("name|Dr. A. Rao", "a rao"), ("id|AB-12 / 3", "ab123"), ("date|05-03-2024", "2024-03-05"), ("gender|M", "male"), ("integer|47 yrs", "47"), ("integer|4x", None),
-        ("amount|Rs 2.5", "2.50"), ("diagnosis|Flu (J10.1)", "flu"), ("text|A, b", "a b"), ("date|soon", None),
-    ]),
-}
+from dossier.operators import report
+from dossier.sources.tables import table
+
+ASKED = {"greeting": ("hello", "hallo"), "article": ("the ", "der ", "le "), "list": (";", ":")}
+BANNED = ["and", "und", "et"]
 
 
-def _query(name: str):
-    function, cases = CASES[name]
+def _texts(name: str, function):
+    """A query that applies a function to every whole document text and returns its digest and length."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = spark.createDataFrame([(k, v) for k, (v, _) in enumerate(cases)], "k bigint, v string")
-        return rows.select("k", function(F.col("v")).alias("result"))
+        rows = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", function(F.col("text")).alias("v"))
+        return rows.select("doc_id", F.md5(F.col("v").cast("binary")).alias("digest"), F.length("v").cast("bigint").alias("size"))
 
     run.__name__ = run.__qualname__ = name
     return run
 
 
-def _sql(name: str) -> str:
-    quote = lambda v: "CAST(NULL AS VARCHAR)" if v is None else "'" + v.replace("'", "''") + "'"
-    return "SELECT CAST(k AS BIGINT) AS k, result FROM (VALUES " + ", ".join(f"({k}, {quote(e)})" for k, (_, e) in enumerate(CASES[name][1])) + ") t(k, result)"
+def _digests(value: str) -> str:
+    return f"SELECT doc_id, md5(v) AS digest, length(v) AS size FROM (SELECT doc_id, {value} AS v FROM documents)"
+
+
+def plurals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of each customer in words."""
+    return table(spark, sf_dir, "orders", "o_custkey").groupBy("o_custkey").agg(F.count("*").alias("n")).select("o_custkey", T.plural(F.col("n"), "entry", "entries").alias("said"))
+
+
+def name_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands of each type of part in words."""
+    return table(spark, sf_dir, "part", "p_type", "p_brand").groupBy("p_type").agg(T.names(F.collect_set("p_brand")).alias("brands"))
 
 
-CATALOGUE = {name: (_query(name), _sql(name)) for name in CASES}
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base names of page addresses, cut to 12 characters before the extension."""
+    return table(spark, sf_dir, "pages", "page_id", "url").select("page_id", T.file_name(F.concat("url", F.lit(".html")), 12).alias("name"))
+
+
+def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first group of words that a text holds one of."""
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", T.intent(F.col("text"), ASKED).alias("intent"))
+
+
+FILE_NAMES = """
+SELECT page_id, CASE WHEN length(b) > 12 THEN left(b, 12 - length(d)) || d ELSE b END AS name
+FROM (SELECT page_id, b, regexp_extract(b, '[.][^.]{1,16}$') AS d FROM (SELECT page_id, regexp_extract(url || '.html', '[^/]*$') AS b FROM pages))
+"""
+NAME_LISTS = """
+SELECT p_type, CASE len(b) WHEN 1 THEN b[1] ELSE array_to_string(b[1 : len(b) - 1], ', ') || ' and ' || b[len(b)] END AS brands
+FROM (SELECT p_type, list_sort(list(DISTINCT p_brand)) AS b FROM part GROUP BY p_type)
+"""
+INTENTS = """
+SELECT doc_id, CASE WHEN contains(t, 'hello') OR contains(t, 'hallo') THEN 'greeting' WHEN contains(t, 'the ') OR contains(t, 'der ') OR contains(t, 'le ') THEN 'article'
+  WHEN contains(t, ';') OR contains(t, ':') THEN 'list' ELSE 'unknown' END AS intent FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)
+"""
+
+CATALOGUE = {
+    "clean_text": (_texts("clean_text", T.clean), _digests("trim(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), '[,;:.\\-–—]+$', ''))")),
+    "squashed": (_texts("squashed", T.squash), _digests("trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'))")),
+    "scrubs": (
+        _texts("scrubs", lambda c: T.scrub(c, BANNED)),
+        _digests("array_to_string(list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: NOT regexp_matches(lower(s), '(^|[^\\p{L}\\p{N}_])(and|und|et)($|[^\\p{L}\\p{N}_])')), ' ')"),
+    ),
+    "snippets": (_texts("snippets", lambda c: T.snippet(T.text(c), F.lit(30), F.lit(35))), _digests("left(regexp_replace(trim(substring(coalesce(text, ''), 3, 61)), '\\s\\s+', ' · ', 'g'), 90)")),
+    "sheet_cells": (_texts("sheet_cells", lambda c: report.cell(F.concat(F.when(F.length(T.text(c)) % 3 == 0, "=").otherwise(""), T.text(c)))),
+        _digests("CASE WHEN regexp_matches(c, '^[=+@\\t\\r]') THEN chr(39) || left(c, 32000) ELSE left(c, 32000) END").replace("FROM documents", "FROM (SELECT doc_id, CASE length(coalesce(text, '')) % 3 WHEN 0 THEN '=' ELSE '' END || coalesce(text, '') AS c FROM documents)")),
+    "plurals": (plurals, "SELECT o_custkey, n || CASE n WHEN 1 THEN ' entry' ELSE ' entries' END AS said FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)"),
+    "name_lists": (name_lists, NAME_LISTS),
+    "file_names": (file_names, FILE_NAMES),
+    "intents": (intents, INTENTS),
+}

@@ -1,94 +1,31 @@
-"""Queries over literal pages, words and answers, where the tables have none; the oracles hold the expected rows."""
+"""Layout of the words of printed bills."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.functions.values import MONEY, amount
-from dossier.operators import assistant, extraction, layout, report
-
-LINES = [
-    (1, 1, 0, "Patient name: Dr. Asha Rao   Age: 40 yrs", "text", None), (1, 2, 0, "Name: Other", "text", None), (1, 1, 1, "Bill date: soon", "text", None),
-    (1, 3, 0, "| Invoice date - 05-03-2024", "ocr", 0.95), (2, 1, 0, "Bill no: AB-12 / 3", "ocr", 0.41), (2, 1, 1, "Sex: F", "text", None), (3, 1, 0, "nothing here", "text", None),
-]
-SPECS = [
-    extraction.Spec("bill.date", "date", ("bill date", "invoice date")), extraction.Spec("bill.number", "id", (r"bill no\.?", "invoice no")),
-    extraction.Spec("patient.gender", "gender", ("sex", "gender")), extraction.Spec("patient.name", "name", ("patient name", "name")),
-]
-BILL = [
-    (7, "S.No  Description  Qty  Rate  Amount"), (7, "1  Gauze  2  10.00  20.00"), (7, "2.  Drip  1  5.50  5.75"), (7, "carried over"), (7, "Sub total  25.50"), (7, "Tax  (0.50)"), (7, "Total  25.50"), (7, "Total  99.00"),
-    (8, "No table"), (8, "1  x  2"), (9, "No  Particulars  Amount"), (9, "1  Room  1,200.00"), (9, "Grand total  1,200.00"),
-]
-
-
-def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best value of each field of each document."""
-    lines = spark.createDataFrame(LINES, "doc long, page int, line int, text string, source string, ocr_confidence double")
-    return extraction.fields(spark, lines, SPECS).select("doc", "key", "normal", F.col("page").cast("bigint").alias("page"), "confidence")
-
-
-def bill_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and totals of printed bills as money, and whether quantity times rate gives the amount."""
-    lines = spark.createDataFrame([(d, 1, k, t) for k, (d, t) in enumerate(BILL)], "doc long, page int, line long, text string")
-    rows = extraction.bills(lines).withColumns({c: amount(F.col(c)) for c in ("quantity", "rate", "amount")})
-    right = F.bround(F.col("quantity") * F.col("rate"), 2).cast(MONEY) == F.col("amount")
-    return rows.select("doc", "line", "kind", F.col("amount").cast("string").alias("amount"), right.alias("adds_up"))
-
-
-def concealed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words painted over."""
-    words = [(1, 1, "a", [0.0, 0.0, 0.2, 0.1]), (1, 9, "b", [0.0, 0.0, 0.2, 0.1]), (1, 2, "c", [0.5, 0.5, 0.6, 0.6]), (2, 1, "d", [0.0, 0.0, 0.2, 0.1])]
-    fills = [(1, 5, [0.0, 0.0, 0.15, 0.1]), (1, 6, [0.55, 0.5, 0.6, 0.6])]
-    found = layout.concealed(spark.createDataFrame(words, "page int, seq int, text string, box array<double>"), spark.createDataFrame(fills, "page int, seq int, box array<double>"))
-    return found.select("text", "coverage")
+from dossier.operators import layout
+from dossier.plans.paper import _ROWS, printed_bills
 
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a page of words."""
-    words = [(1, "world", 40.0, 60.0, 11.0), (1, "hello", 10.0, 35.0, 10.0), (1, "far", 100.0, 120.0, 12.0), (1, "next", 10.0, 30.0, 14.0), (2, "only", 1.0, 2.0, 1.0)]
-    return layout.lines(spark.createDataFrame(words, "page long, text string, left double, right double, baseline double"))
-
-
-def slot_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected signature slots and the captions they take."""
-    expected = spark.createDataFrame([(1, 0, "(?i)sign"), (1, 1, "(?i)doctor"), (1, 2, "(?i)sign"), (2, 0, "x")], "doc long, place long, pattern string")
-    captions = spark.createDataFrame([(1, 0, "Doctor's signature"), (1, 1, "Signature of patient")], "doc long, place long, text string")
-    return layout.match_slots(expected, captions)
-
-
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers to questions about a claim, cleared of unknown citations."""
-    state = spark.createDataFrame([(1, 88, ["b", "a"], ["late"], ["x"])], "claim_id long, score int, missing array<string>, findings array<string>, documents array<string>")
-    asked = spark.createDataFrame([(1, "What is missing?"), (1, "is it ready"), (1, "any problem"), (1, "what next"), (1, "which files"), (1, "hello"), (2, "score")], "claim_id long, question string")
-    return assistant.answer(asked, state)
-
+    """Rows of the printed bills as text lines, with wide gaps between columns."""
+    words = printed_bills(spark, sf_dir).filter("line between 1 and 3")
+    rows = words.select((F.col("doc") * 1000 + F.col("page")).alias("page"), "text", "left", "right", (F.col("line") * 14.0).alias("baseline"))
+    return layout.lines(rows).select("page", F.regexp_count("text", F.lit("  ")).cast("bigint").alias("n_gaps"), F.regexp_replace("text", " +", " ").alias("text"))
 
-def guarded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = spark.createDataFrame([(1, "See [doc:1] and [doc:9]. It is fraud!"), (2, "A fake."), (3, "Fine.")], "id long, text string")
-    found = assistant.guarded(texts, spark.createDataFrame([(1, "doc", 1)], "id long, kind string, number int"))
-    return found.select("id", "text", F.array_join("unknown", ",").alias("unknown"))
 
+TEXT_LINES = f"""
+WITH {_ROWS}
+SELECT doc * 1000 + (rank - 1) // 3 + 1 AS page, CAST(4 AS BIGINT) AS n_gaps, rank || CASE rank % 2 WHEN 0 THEN '.' ELSE '' END || ' ' || description || ' ' || quantity || ' ' || __RATE__ || ' ' || __AMOUNT__ AS text FROM r
+"""
 
-def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells as written to a sheet."""
-    rows = spark.createDataFrame([(0, "=1+1"), (1, None), (2, "x" * 33000), (3, "-5"), (4, "@a")], "k bigint, v string")
-    return rows.select("k", F.substring(report.cell(F.col("v")), 1, 5).alias("cell"), F.length(report.cell(F.col("v"))).cast("bigint").alias("size"))
 
+def _sql() -> str:
+    from dossier.plans.paper import _grouped
 
-def _values(names: str, *rows: tuple) -> str:
-    """Expected rows as SQL."""
-    literal = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else f"CAST({v} AS BIGINT)"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) t({names})"
+    return TEXT_LINES.replace("__RATE__", _grouped("rate")).replace("__AMOUNT__", _grouped("amount"))
 
 
-CATALOGUE = {
-    "extracted_fields": (extracted_fields, _values("doc, key, normal, page, confidence", (1, "bill.date", "2024-03-05", 3, 0.9), (1, "patient.name", "asha rao", 1, 0.95), (2, "bill.number", "ab123", 1, 0.41), (2, "patient.gender", "female", 1, 0.95))),
-    "bill_rows": (bill_rows, _values("doc, line, kind, amount, adds_up", (7, 1, "line", "20.00", True), (7, 2, "line", "5.75", False), (7, 4, "subtotal", "25.50", None), (7, 5, "tax", "-0.50", None), (7, 6, "total", "25.50", None), (9, 11, "line", "1200.00", None), (9, 12, "total", "1200.00", None))),
-    "concealed_words": (concealed_words, _values("text, coverage", ("a", 0.75))),
-    "text_lines": (text_lines, _values("page, line, text", (1, 0, "hello world  far"), (1, 1, "next"), (2, 0, "only"))),
-    "slot_match": (slot_match, _values("doc, place, caption", (1, 0, 0), (1, 1, None), (1, 2, 1), (2, 0, None))),
-    "answers": (answers, _values("claim_id, intent, answer", (1, "missing", "2 requirements missing: a, b."), (1, "score", "The documentation scores 88."), (1, "findings", "1 open finding: late."), (1, "next", "Add what is missing: a, b."), (1, "documents", "1 document: x."), (1, "unknown", "Ask about what is missing, findings, documents or the score."), (2, "score", "This claim is not known."))),
-    "guarded_answers": (guarded_answers, _values("id, text, unknown", (1, "See [doc:1] and.", "[doc:9]"), (2, "No answer can be given from the documents.", ""), (3, "Fine.", ""))),
-    "sheet_cells": (sheet_cells, _values("k, cell, size", (0, "'=1+1", 5), (1, "", 0), (2, "xxxxx", 32000), (3, "-5", 2), (4, "'@a", 3))),
-}
+CATALOGUE = {"text_lines": (text_lines, _sql())}

@@ -12,7 +12,9 @@ from dossier.functions import text as T
 from dossier.functions import values as V
 from dossier.sources.tables import table
 
-PRINTED = ("d-M-yyyy", "dd/MM/yyyy", "d.M.yyyy", "d-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy", "d - MMMM - yyyy", "yyyy-MM-dd")
+#: Every way to put a day, a month (as number, short or long name) and a year apart, two that begin with the year, and one that is no date to the parser.
+PRINTED = [f"{day}{apart}{month}{apart}yyyy" for apart in (" / ", ".", "_", ", ") for month in ("MMMM", "MM", "MMM") for day in ("dd", "d")]
+PRINTED += ["yyyy/MM/dd", "yyyy MM dd", "d 'day of' MMMM yyyy"]
 
 
 def _ways(key: str, *ways):
@@ -23,7 +25,7 @@ def _ways(key: str, *ways):
 
 
 def dates_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order dates, printed in eight ways inside a sentence."""
+    """Order dates, printed in all ways inside a sentence; the last way is not read."""
     printed = _ways("o_orderkey", *(F.date_format("o_orderdate", f) for f in PRINTED))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("ordered on "), printed, F.lit(" by post")).alias("v"))
     return rows.select("o_orderkey", V.date_of(F.col("v")).alias("day"))
@@ -74,7 +76,7 @@ def labels_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MONEY = "CAST(o_totalprice AS DECIMAL(18,2))"
 _PART = "chr(CAST(65 + p_partkey % 26 AS INTEGER)) || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') || CASE WHEN p_partkey % 3 = 0 THEN '.' || CAST(p_partkey % 10 AS VARCHAR) ELSE '' END"
 CATALOGUE = {
-    "dates_read_back": (dates_read_back, "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders"),
+    "dates_read_back": (dates_read_back, f"SELECT o_orderkey, CASE WHEN o_orderkey % {len(PRINTED)} <> {len(PRINTED) - 1} THEN CAST(o_orderdate AS DATE) END AS day FROM orders"),
     "amounts_read_back": (
         amounts_read_back,
         f"""SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (1, 2) THEN -{_MONEY} ELSE {_MONEY} END AS amount, true AS grouped,
