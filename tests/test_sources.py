@@ -23,7 +23,7 @@ def test_uploads_and_manifest(spark, tmp_path):
         (tmp_path / "in" / name).write_bytes(data)
     have = files.uploads(spark, str(tmp_path / "in"))
     assert {r.name: r.kind for r in have.collect()} == {"a.pdf": "application/pdf", "b.png": "image/png", "c.txt": "image/jpeg", "d.pdf": "unknown", "e.txt": "application/pdf"}
-    assert {(r.name, r.problem) for r in files.problems(have, most_files=4).collect()} == {("d.pdf", "unknown kind"), ("e.txt", "extension differs"), ("*", "too many files")}
+    assert {(r.name, r.problem) for r in files.problems(have, most_files=4).collect()} == {("c.txt", "extension differs"), ("d.pdf", "unknown kind"), ("e.txt", "extension differs"), ("*", "too many files")}
     entry = lambda n, p, h: {"filename": n, "path": p, "label": n, "sha256": h}
     good = hashlib.sha256(b"junk%PDF-1.7").hexdigest()
     (tmp_path / "m.json").write_text(json.dumps({"files": [entry("a.pdf", "x/a.pdf", good), entry("b.png", "b.png", "0"), entry("z.pdf", "z.pdf", "0"), entry("c.txt", "../c.txt", "0")]}))
