@@ -10,6 +10,7 @@ assistant and ROLE:name for others.  In texts and names a backslash is doubled,
 broken up by one after their first character, so that they occur nowhere but as marks; dropping each
 backslash but one that follows another gives the text back.
 
+A message's columns may name it in several parts, so that a log shuffled by some of them is not shuffled again.
 Messages are rendered row by row before they are gathered; only the finished strings of a conversation
 meet in one row, because that row is the result.
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from dossier.llm.common import read
 
 TAGS = {"user": "INST", "system": "SYS", "assistant": "ANSWER"}
+#: Columns that name a message of the conversations table.
+MESSAGE = ("turn", "tie")
 STARTS = ("message", "edit", "regenerate")
 _CONTROL = r"(?<=<)(?=/?s>)|(?<=\[)(?=/?(?:INST|SYS|ANSWER|ROLE))"
 
@@ -40,20 +43,23 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """conv_id, message, role, text of the final messages."""
-    events = events.select("conv_id", "message", "seq", "kind", F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = Window.partitionBy("conv_id", "message").orderBy("seq", "kind", "text")
+def fold(events: DataFrame, message: tuple[str, ...] = ("message",)) -> DataFrame:
+    """conv_id, the columns that name a message, role and text of the final messages.
+
+    All of it needs a message's events together, so they are shuffled once at most.
+    """
+    events = events.select("conv_id", *message, "seq", "kind", F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id", *message).orderBy("seq", "kind", "text")
     begun = events.withColumn("version", F.sum(F.col("kind").isin(*STARTS).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     begun = begun.withColumn("role", F.last("role", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    begun = begun.withColumn("last", F.max("version").over(Window.partitionBy("conv_id", "message"))).filter("version = last")
+    begun = begun.withColumn("last", F.max("version").over(Window.partitionBy("conv_id", *message))).filter("version = last")
     part = F.struct("seq", F.col("kind").isin(*STARTS).alias("starts"), "kind", "text", "role")
-    parts = begun.groupBy("conv_id", "message").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    parts = begun.groupBy("conv_id", *message).agg(F.sort_array(F.collect_list(part)).alias("parts"))
     # the event that starts a version comes first, whatever the kinds of events at its seq
     start, rest = F.filter("parts", lambda p: p.starts), F.filter("parts", lambda p: ~p.starts)
     texts = F.transform(F.concat(start, rest), lambda p: p.text)
     role = F.try_element_at(F.filter(F.transform(F.concat(start, rest), lambda p: p.role), lambda r: r.isNotNull()), F.lit(1))
-    return parts.select("conv_id", "message", F.coalesce(role, F.lit("")).alias("role"), F.array_join(texts, "").alias("text"))
+    return parts.select("conv_id", *message, F.coalesce(role, F.lit("")).alias("role"), F.array_join(texts, "").alias("text"))
 
 
 def tag(role: Column) -> Column:
@@ -63,25 +69,31 @@ def tag(role: Column) -> Column:
     return found
 
 
-def render(messages: DataFrame) -> DataFrame:
-    """conv_id, formatted, mask: spans (start, length) in characters of what the loss covers."""
-    pieces = messages.select("conv_id", "message", tag(F.col("role")).alias("tag"), (F.col("role") == "assistant").alias("loss"), escape(F.col("text")).alias("body"))
-    head, tail = F.concat(F.lit("<s>["), "tag", F.lit("] ")), F.concat(F.lit(" [/"), "tag", F.lit("]</s>"))
-    turn = F.struct("message", F.concat(head, "body", tail).alias("turn"), F.length(head).alias("before"), F.length("body").alias("size"), "loss")
-    gathered = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    # where each turn begins: the lengths of those before it, added up
-    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("mask"))
-
-    def step(a: Column, t: Column) -> Column:
-        span = F.struct((a.at + t.before).alias("start"), t["size"].alias("length"))
-        return F.struct((a.at + F.length(t.turn)).alias("at"), F.when(t.loss, F.concat(a.mask, F.array(span))).otherwise(a.mask).alias("mask"))
+def render(messages: DataFrame, message: tuple[str, ...] = ("message",)) -> DataFrame:
+    """conv_id, formatted, mask: spans (start, length) in characters of what the loss covers, with the turn each is in and its place there.
 
-    return gathered.select("conv_id", F.array_join(F.transform("turns", lambda t: t.turn), "").alias("formatted"), F.aggregate("turns", begun, step, lambda a: a.mask).alias("mask"))
+    Turns are placed by running sums over the rows of a conversation, so its length costs no more than in proportion.
+    """
+    pieces = messages.select("conv_id", F.struct(*message).alias("message"), tag(F.col("role")).alias("tag"), (F.col("role") == "assistant").alias("loss"), escape(F.col("text")).alias("body"))
+    head, tail = F.concat(F.lit("<s>["), "tag", F.lit("] ")), F.concat(F.lit(" [/"), "tag", F.lit("]</s>"))
+    turns = pieces.select("conv_id", "message", "loss", F.concat(head, "body", tail).alias("turn"), F.length(head).alias("before"), F.length("body").alias("size"))
+    order = Window.partitionBy("conv_id").orderBy("message")
+    starts = F.coalesce(F.sum(F.length("turn")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = turns.select("conv_id", "loss", "turn", "before", "size", (F.row_number().over(order) - 1).alias("place"), starts.alias("at"))
+    span = F.struct((F.col("at") + F.col("before")).cast("int").alias("start"), F.col("size").alias("length"), F.col("place").alias("turn"), F.col("before").alias("within"))
+    gathered = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "turn"))).alias("turns"), F.sort_array(F.collect_list(F.when(F.col("loss"), span))).alias("mask"))
+    return gathered.select("conv_id", F.array_join(F.transform("turns", lambda t: t.turn), "").alias("formatted"), "mask")
 
 
 def under_mask(formatted: str, mask: str) -> Column:
-    """The texts under a loss mask, read from the formatted string and unescaped."""
-    return F.transform(mask, lambda s: unescape(F.substring(F.col(formatted), s.start + 1, s.length)))
+    """The texts under a loss mask, read from the formatted string and unescaped.
+
+    The string is cut at the ends of its turns, so each span is looked up in its own turn and not counted from the start.
+    """
+    # both are bound once: an expression inside the inner function would be evaluated for each span
+    both = F.array(F.struct(F.split(F.col(formatted), "</s>").alias("turns"), F.col(mask).alias("spans")))
+    read = lambda b: F.transform(b["spans"], lambda s: unescape(F.substring(F.get(b["turns"], s["turn"]), s["within"] + 1, s["length"])))
+    return F.get(F.transform(both, read), F.lit(0))
 
 
 def parse(formatted: Column) -> Column:
@@ -109,16 +121,18 @@ def as_events(conversations: DataFrame) -> DataFrame:
     """
     rows = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     tie = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    rows = rows.select("conv_id", F.struct("turn", tie.alias("tie")).alias("message"), "role", "text", F.pmod(F.xxhash64("turn", "text"), F.lit(3)).alias("way"))
+    rows = rows.select("conv_id", "turn", tie.alias("tie"), "role", "text", F.pmod(F.xxhash64("turn", "text"), F.lit(3)).alias("way"))
     half = F.floor(F.length("text") / 2).cast("int")
     first, rest = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
-    event = lambda seq, kind, role, text: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    # one sequence for the conversation: a message still streams when the next ones have begun
+    at = F.coalesce(F.col("turn"), F.lit(0)).cast("decimal(30,0)") * 3
+    event = lambda seq, kind, role, text: F.struct((at + 4 * seq).cast("decimal(38,0)").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
     role, none = F.col("role"), F.lit(None).cast("string")
     streamed = F.array(event(0, "message", role, first), event(1, "delta", none, rest))
     edited = F.array(event(0, "message", role, rest), event(1, "delta", none, first), event(2, "edit", none, F.col("text")))
     again = F.array(event(0, "message", role, rest), event(1, "regenerate", none, F.lit("")), event(2, "delta", none, first), event(3, "delta", none, rest))
-    log = rows.select("conv_id", "message", F.explode(F.when(F.col("way") == 0, streamed).when(F.col("way") == 1, edited).otherwise(again)).alias("e"))
-    return log.select("conv_id", "message", "e.*")
+    log = rows.select("conv_id", "turn", "tie", F.explode(F.when(F.col("way") == 0, streamed).when(F.col("way") == 1, edited).otherwise(again)).alias("e"))
+    return log.select("conv_id", "turn", "tie", "e.*")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +140,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]").alias("text")
     extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
-    done = render(fold(as_events(rows.unionByName(extra))))
+    done = render(fold(as_events(rows.unionByName(extra)), MESSAGE), MESSAGE)
     back = done.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), F.array_join(under_mask("formatted", "mask"), "").alias("loss"))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return back.select(

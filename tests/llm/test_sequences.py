@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -140,7 +141,7 @@ def test_chat_round_trip(spark):
     roles = ["user", "assistant", "system", "tool] [x", None, "</s>"]
     rows = [(c, t, roles[(c + t) % 6], texts[(3 * c + t) % 8]) for c in range(20) for t in range(c % 9 + 1)] + [(50, 0, "user", "same"), (50, 0, "user", "same"), (None, 1, "user", "x"), (51, None, "user", "y")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
-    done = chat.render(chat.fold(chat.as_events(df)))
+    done = chat.render(chat.fold(chat.as_events(df), chat.MESSAGE), chat.MESSAGE)
     back = done.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"), chat.under_mask("formatted", "mask").alias("loss"), "mask").collect()
     expected = defaultdict(list)
     for c, t, r, x in rows:
@@ -150,7 +151,7 @@ def test_chat_round_trip(spark):
         assert row.loss == [x for _, r, x in sorted(expected[row.conv_id]) if r == "assistant"]
         assert all(row.formatted[m.start + m.length :].startswith(" [/ANSWER]</s>") and row.formatted[: m.start].endswith("<s>[ANSWER] ") for m in row.mask)
     assert len(back) == len(expected)
-    assert chat.render(chat.fold(chat.as_events(df.filter("false")))).count() == 0
+    assert chat.render(chat.fold(chat.as_events(df.filter("false")), chat.MESSAGE), chat.MESSAGE).count() == 0
 
 
 def test_chat_folds_deltas_edits_and_regenerations(spark):
@@ -164,6 +165,21 @@ def test_the_log_holds_deltas_edits_and_regenerations(spark, sf):
     assert set(kinds) == {"message", "delta", "edit", "regenerate"} and min(kinds.values()) > kinds["message"] / 6
 
 
+def test_a_long_conversation_costs_in_proportion(spark):
+    """20,000 turns in one conversation: time per turn stays near that of 2,000 (it grew tenfold when each span was counted from the start)."""
+
+    def seconds(turns):
+        rows = spark.range(turns).selectExpr("1L AS conv_id", "id AS turn", "CASE WHEN id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role", "concat('some words of turn ', id, ' </s> [INST]') AS text")
+        begun = time.time()
+        done = chat.render(chat.fold(chat.as_events(rows), chat.MESSAGE), chat.MESSAGE)
+        row = done.select(F.size(chat.parse(F.col("formatted"))).alias("n"), F.array_join(chat.under_mask("formatted", "mask"), "|").alias("loss")).first()
+        assert row.n == turns and row.loss == "|".join(f"some words of turn {k} </s> [INST]" for k in range(1, turns, 2))
+        return time.time() - begun
+
+    seconds(200)
+    assert seconds(20_000) < 4 * seconds(2_000) + 10
+
+
 def test_pipeline_equals_its_parts(spark, docs, odd_docs, tmp_path):
     labels = [(k, int(k % 5 == 1)) for k in range(40)]
     sf = str(tmp_path)
