@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.values import MONEY, indian
-from dossier.operators import ocr, tables
+from dossier.operators import intervals, ocr, tables
 from dossier.sources.tables import table
 
 PAGE = ["doc_id", "page"]
@@ -82,6 +82,30 @@ SELECT doc_id, page, line, row_number() OVER (PARTITION BY doc_id, page, line OR
 FROM p
 """
 
+def span_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that spans of 37 characters of every whole document touch: how many, from where to where, the first and the last."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").filter("text is not null")
+    each = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("place", "word"))
+    before = Window.partitionBy("doc_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0))
+    words = each.withColumn("start", start).withColumn("end", F.col("start") + F.length("word"))
+    begin = F.explode(F.sequence(F.col("doc_id") % 7, F.greatest(F.length("text"), F.lit(7)).cast("long"), F.lit(50).cast("long")))
+    spans = docs.select("doc_id", begin.alias("start")).withColumn("end", F.col("start") + 37)
+    pairs = intervals.overlapping(spans, words, ["doc_id"])
+    at = F.struct("r.start", "r.word")
+    return pairs.groupBy("doc_id", F.col("l.start").alias("span")).agg(
+        F.count("*").alias("n_words"), F.min("r.start").alias("begins"), F.max("r.end").alias("ends"), F.min(at)["word"].alias("first"), F.max(at)["word"].alias("last")
+    )
+
+
+SPAN_WORDS = """
+WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS place FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, word, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM w),
+s AS (SELECT doc_id, unnest(range(doc_id % 7, greatest(length(text), 7) + 1, 50)) AS span FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, span, count(*) AS n_words, min(b) AS begins, max(b + length(word)) AS ends, arg_min(word, b) AS "first", arg_max(word, b) AS "last"
+FROM s JOIN p USING (doc_id) WHERE b < span + 37 AND b + length(word) > span AND word <> '' GROUP BY doc_id, span
+"""
+
 _PRINTED = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 
 
@@ -167,6 +191,7 @@ BILL_TABLE_NOTES = f"WITH {_ROWS} SELECT DISTINCT doc, 'Discount nil' AS note FR
 CATALOGUE = {
     "ocr_lines": (ocr_lines, OCR_LINES),
     "ocr_words": (ocr_words, OCR_WORDS),
+    "span_words": (span_words, SPAN_WORDS),
     "bill_table_rows": (bill_table_rows, BILL_TABLE_ROWS),
     "bill_table_fields": (bill_table_fields, BILL_TABLE_FIELDS),
     "bill_table_notes": (bill_table_notes, BILL_TABLE_NOTES),
