@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from dossier.functions.text import squash
 from dossier.operators.ranking import duplicate_groups
+from dossier.operators.similar import near_pairs
 from dossier.sources.tables import table
 
 _SQUASHED = "trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'))"
@@ -49,45 +46,6 @@ SELECT doc_id, CASE WHEN n = 1 THEN 'unique' WHEN doc_id = o THEN 'has_duplicate
 """
 
 
-@F.pandas_udf(DoubleType())
-def _ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-    """The ratio, or its upper bound from counts of characters where that is below ``least`` already."""
-    found = []
-    for x, y, bound in zip(a, b, least, strict=True):
-        match = SequenceMatcher(None, x, y)
-        most = match.quick_ratio()
-        found.append(most if most < bound else match.ratio())
-    return pd.Series(found, dtype=float)
-
-
-def near_pairs(pages: DataFrame, least: float = 0.95, shingle: int = 8) -> DataFrame:
-    """Pairs of pages of one group whose squashed texts are alike: group, a, b, similarity (a < b).
-
-    pages: group, page, body.  Candidates share a ``shingle``-word run, chosen as the smallest of eight
-    hashes by remainder, which loses pairs only where every chosen run was edited; the exact length bound
-    2*min >= least*(a+b) and the equality short-cut come before the quadratic ratio.  Bodies under 40
-    characters are not compared.
-    """
-    pages = pages.filter(F.length("body") >= 40).withColumn("w", F.split("body", " "))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - shingle + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, shingle), " ")))
-    marked = pages.withColumn("runs", F.array_distinct(runs))
-    picks = F.array(*(F.array_min(F.filter("runs", _slot(k))) for k in range(8)))
-    keyed = marked.select("group", "page", F.explode(F.array_distinct(F.array_compact(picks))).alias("key"))
-    pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.group") == F.col("y.group")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.page") < F.col("y.page")))
-    pairs = pairs.select(F.col("x.group").alias("group"), F.col("x.page").alias("a"), F.col("y.page").alias("b")).distinct()
-    left = pages.select("group", F.col("page").alias("a"), F.col("body").alias("body_a"))
-    right = pages.select("group", F.col("page").alias("b"), F.col("body").alias("body_b"))
-    both = pairs.join(left, ["group", "a"]).join(right, ["group", "b"])
-    la, lb = F.length("body_a"), F.length("body_b")
-    both = both.filter(2 * F.least(la, lb) >= least * (la + lb))
-    scored = both.withColumn("similarity", F.when(F.col("body_a") == F.col("body_b"), 1.0).otherwise(_ratio("body_a", "body_b", F.lit(least))))
-    return scored.filter(F.col("similarity") >= least).select("group", "a", "b", "similarity")
-
-
-def _slot(k: int):
-    return lambda h: F.pmod(h, F.lit(8)) == k
-
-
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents inside a source and language (a claim's pages), identical texts compared once."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").withColumn("body", squash(F.col("text")))

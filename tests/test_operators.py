@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from dossier.functions import text as T
 from dossier.functions import values as V
 from dossier.operators import folds, ranking, state
-from dossier.plans.documents import near_pairs
 
 
 def test_vote_counts_only_eligible_sources(spark):
@@ -60,17 +59,6 @@ def test_segments_fold(spark):
     assert got == [(1, 0, 1, 3, "bill", 1), (1, 1, 4, 5, "note", 1), (2, 0, 1, 1, "other", 0)]
 
 
-def test_near_pairs_equal_brute_force(spark):
-    base = " ".join(f"word{k}" for k in range(60))
-    texts = {1: base, 2: base.replace("word30", "word3x"), 3: base + " tail", 4: "short", 5: " ".join(f"else{k}" for k in range(60))}
-    df = spark.createDataFrame([("g", k, v) for k, v in texts.items()], "group string, page long, body string")
-    got = {(r.a, r.b) for r in near_pairs(df).collect()}
-    from difflib import SequenceMatcher
-
-    expected = {(a, b) for a in texts for b in texts if a < b and min(len(texts[a]), len(texts[b])) >= 40 and SequenceMatcher(None, texts[a], texts[b]).ratio() >= 0.95}
-    assert got == expected and (1, 3) in got
-
-
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.decimals(min_value=Decimal("-9999999.99"), max_value=Decimal("9999999.99"), places=2), min_size=1, max_size=30))
 def test_amounts_survive_formatting(spark, values):
