@@ -115,6 +115,8 @@ def near_pairs(pages: DataFrame, least: float = 0.95, shortest: int = 40, most_b
     met = x.join(y, [*same, later & (F.col("x.page") != F.col("y.page")), near]).select(
         F.col("x.group").alias("group"), F.least("x.page", "y.page").alias("a"), F.greatest("x.page", "y.page").alias("b")
     ).distinct()
+    # few bytes, but a ratio each: a fixed number of partitions is not coalesced
+    met = met.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group", "a", "b")
     kept = ["body"] if most_bits is None else ["body", "fingerprint"]
     one = lambda side: pages.select("group", F.col("page").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in kept))
     both = met.join(one("a"), ["group", "a"]).join(one("b"), ["group", "b"])
