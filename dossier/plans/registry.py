@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    from dossier.plans import canonical, checks, claims, documents, functions, literals, pages, paper, publishing, records, roundtrips, sections, streams, workflow
+    from dossier.plans import canonical, checks, claims, documents, functions, literals, pages, paper, publishing, records, relations, roundtrips, sections, streams, workflow
 
     found: dict[str, tuple] = {}
-    for module in (documents, claims, checks, workflow, functions, literals, records, roundtrips, sections, canonical, streams, paper, publishing, pages):
+    for module in (documents, claims, checks, workflow, functions, literals, records, roundtrips, sections, canonical, streams, paper, publishing, pages, relations):
         for name, item in module.CATALOGUE.items():
             if name in found:
                 raise ValueError(f"query {name} is registered twice")
