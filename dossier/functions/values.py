@@ -48,7 +48,9 @@ def amount(value: Column) -> Column:
     at = F.array_position(F.transform(numbers, lambda n: n.isNotNull()), True).cast("int")
     number = F.get(numbers, at - 1)
     inside = F.startswith(whole, F.lit("(")) & F.endswith(whole, F.lit(")"))
-    return F.when((F.get(tokens, at - 2) == "-") | inside, -number).otherwise(number)
+    signed = F.when((F.get(tokens, at - 2) == "-") | inside, -number).otherwise(number)
+    # a bare number, as most are, needs none of this
+    return F.when(value.rlike(r"^[0-9][0-9,]*(\.[0-9]{1,2})?$"), F.translate(value, ",", "").try_cast(MONEY)).otherwise(signed)
 
 
 def is_amount(value: Column) -> Column:

@@ -5,12 +5,17 @@ whose cells name a serial number, a description and an amount is a header, and e
 it is printed over.  Below it, a cell belongs to the column that it shares most width with, else to the nearest; numbers
 go to columns of numbers and text to columns of text, so a description may be wider than its header.
 
-A line is an array of its words, and all of this is done inside its row; only the header in force is looked up, over the
-lines of a page.  Totals are reduced by partial aggregates per document.
+Words are sorted by page and line once; their cells are cut as a stream in Arrow batches (numpy), a line is then a row with its
+cells, and only the header in force is looked up, over the lines of a page.  Totals are reduced by partial aggregates per document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +45,8 @@ LABELS = {"subtotal": "Bill subtotal", "tax": "Tax", "discount": "Discount", "to
 WIDER, USUAL, NEAR, LEAST = 2.5, 2.5, 20.0, 5.0
 #: A row's number may reach this far beyond the column of numbers.
 SLACK = 6.0
-CELL = "array<struct<left:double,right:double,reach:double,text:string>>"
+AMOUNTS = "|".join(BEGINS["amount"])
+SERIAL_NUMBER = r"^[0-9]{1,3}\.?$"
 
 
 def number_pattern(leading: int, places: int) -> str:
@@ -48,96 +54,172 @@ def number_pattern(leading: int, places: int) -> str:
     return rf"^-?\(?[0-9]{{1,{leading}}}(,[0-9]{{2,3}})*(\.[0-9]{{1,{places}}})?\)?$"
 
 
-def widest_gap(words: Column) -> Column:
-    """The widest gap inside a cell of a line."""
-    gaps = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.get(words, i)["left"] - F.get(words, i - 1)["right"])
-    near = F.array_sort(F.filter(gaps, lambda g: (g > 0) & (g < NEAR)))
-    return F.greatest(F.lit(LEAST), WIDER * F.coalesce(F.get(near, (F.size(near) / 2).cast("int")), F.lit(USUAL)))
+def _widest(line: np.ndarray, gap: np.ndarray, near: np.ndarray, n: int) -> np.ndarray:
+    """The widest gap inside a cell, per line: from the upper median of its near gaps."""
+    line, gap = line[near], gap[near]
+    gap = gap[np.lexsort((gap, line))]
+    counts = np.bincount(line, minlength=n)
+    usual, known = np.full(n, USUAL), counts > 0
+    usual[known] = gap[(np.cumsum(counts) - counts + counts // 2)[known]]
+    return np.maximum(LEAST, WIDER * usual)
 
 
-def with_cells(lines: DataFrame, words: str, name: str) -> DataFrame:
-    """Adds the cells of a line, from its words in order of left: left, right of the last word, furthest right, text."""
+def _joined(texts: pa.Array, starts: np.ndarray, by: str) -> pa.Array:
+    """Texts from each start to the next as one."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, len(texts)), pa.int32()), texts), by)
 
-    def step(done: Column, w: Column) -> Column:
-        last = F.element_at(done, -1)
-        merged = F.struct(last["left"].alias("left"), w["right"].alias("right"), F.greatest(last["reach"], w["right"]).alias("reach"), F.concat(last["text"], F.lit(" "), w["text"]).alias("text"))
-        begun = F.struct(w["left"].alias("left"), w["right"].alias("right"), w["right"].alias("reach"), w["text"].alias("text"))
-        joins = (F.size(done) > 0) & (w["left"] - F.try_element_at(done, F.lit(-1))["right"] <= F.col("widest"))
-        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(merged))).otherwise(F.concat(done, F.array(begun)))
 
-    return lines.withColumn("widest", widest_gap(F.col(words))).withColumn(name, F.aggregate(words, F.array().cast(CELL), step)).drop("widest")
+def _cells(texts: pa.Array, left: np.ndarray, right: np.ndarray, begins: np.ndarray, line: np.ndarray, n: int) -> pa.Array:
+    """Cells of each of n lines, from the words that begin one."""
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts, len(left))[1:] - 1
+    reach = np.maximum.reduceat(right, starts) if len(starts) else right[:0]
+    said = _joined(texts, starts, " ")
+    # a header says one of the words for its amounts; cells of other lines are not named
+    may = np.zeros(n, bool)
+    may[line[starts][pc.match_substring_regex(said, AMOUNTS, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)]] = True
+    asked = np.flatnonzero(may[line[starts]])
+    given = np.full(len(starts), -1)
+    given[asked] = np.arange(len(asked))
+    names = column_names(said.take(pa.array(asked))).take(pa.array(given, mask=given < 0))
+    cells = pa.StructArray.from_arrays([pa.array(left[starts]), pa.array(right[ends]), pa.array(reach), said, names], ["left", "right", "reach", "text", "name"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(line[starts], minlength=n))), pa.int32()), cells)
 
 
-def column_name(header: Column) -> Column:
-    """The column that a header cell names, or null."""
-    text = F.trim(F.lower(header))
-    found = F.when(F.translate(text, ". ", "").isin(*SERIAL), "serial")
+def column_names(texts: pa.Array) -> pa.Array:
+    """The column that each header cell names, or null."""
+    texts = pc.utf8_trim(pc.utf8_lower(texts), " ")
+    found = pc.if_else(pc.is_in(pc.replace_substring_regex(texts, "[. ]", ""), pa.array(SERIAL)), "serial", pa.scalar(None, pa.string()))
     for name, some in WITHIN.items():
-        found = found.when(F.greatest(*(F.contains(text, F.lit(w)) for w in some), F.lit(False)), name)
+        found = pc.coalesce(found, pc.if_else(pc.match_substring_regex(texts, "|".join(some)), name, pa.scalar(None, pa.string())))
     for name, some in BEGINS.items():
         # "exp" must be a word of its own
-        begins = [(F.regexp_extract(text, "^[a-z]+", 0) == w) if name == "expiry" else F.startswith(text, F.lit(w)) for w in some]
-        found = found.when(F.greatest(*begins, F.lit(False)), name)
+        begins = f"^({'|'.join(some)})" + ("($|[^a-z])" if name == "expiry" else "")
+        found = pc.coalesce(found, pc.if_else(pc.match_substring_regex(texts, begins), name, pa.scalar(None, pa.string())))
     return found
 
 
-def header(line_cells: Column) -> Column:
-    """Columns (name, left, right) of a header line; null for other lines."""
-    named = F.filter(F.transform(line_cells, lambda c: F.struct(column_name(c["text"]).alias("name"), c["left"].alias("left"), c["reach"].alias("right"))), lambda c: c["name"].isNotNull())
-    names = F.transform(named, lambda c: c["name"])
-    whole = (F.size(line_cells) >= 3) & (F.get(names, F.lit(0)) == "serial") & F.array_contains(names, "amount") & F.array_contains(names, "description") & (F.size(F.array_distinct(names)) == F.size(names))
-    return F.when(whole, named)
+def lines_of(words: DataFrame) -> DataFrame:
+    """Lines with their words grouped into cells: doc, page, line, n_words, text, label (all but the last word), first,
+    first_right, last, raw, cells, and rest, the cells without the first word of a line that begins with a serial number.
+
+    Words partitioned by doc, or by doc and page, are not shuffled.  They are sorted once and read as a stream.
+    """
+    order = Window.partitionBy("doc", "page").orderBy("line", "left", "right", "text")
+    placed = words.select("doc", "page", "line", F.col("left").cast("double").alias("left"), F.col("right").cast("double").alias("right"), "text").withColumn("before", F.lag("right").over(order))
+    types = {f.name: f.dataType.simpleString() for f in placed.schema}
+
+    def read(rows: pa.Table, begins_line: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(begins_line)
+        n, line = len(starts), np.cumsum(begins_line) - 1
+        left, right, before = (rows[c].to_numpy(zero_copy_only=False).astype(float) for c in ("left", "right", "before"))
+        texts = rows["text"].combine_chunks()
+        gap = np.where(begins_line, np.nan, left - before)
+        near = (gap > 0) & (gap < NEAR)
+        cells = _cells(texts, left, right, ~(gap <= _widest(line, gap, near, n)[line]), line, n)
+        first, ends = texts.take(pa.array(starts)), np.append(starts, len(left))[1:] - 1
+        numbered = pc.match_substring_regex(first, SERIAL_NUMBER).fill_null(False).to_numpy(zero_copy_only=False)
+        second = np.append(False, begins_line[:-1]) & ~begins_line
+        rest = np.flatnonzero(numbered[line] & ~begins_line)
+        wide = _widest(line[rest], gap[rest], (near & ~second)[rest], n)[line[rest]]
+        rest_cells = _cells(texts.take(pa.array(rest)), left[rest], right[rest], second[rest] | ~(gap[rest] <= wide), line[rest], n)
+        kept = np.ones(len(left), bool)
+        kept[ends] = False
+        label = _joined(texts.filter(pa.array(kept)), starts - np.arange(n), " ")
+        said = cells.flatten().field("text")
+        named = pc.match_substring_regex(_joined(texts, starts, " "), AMOUNTS, ignore_case=True).fill_null(False)
+        raw = pc.binary_join(pa.ListArray.from_arrays(cells.offsets, said), " · ")
+        keys = [rows[c].combine_chunks().take(pa.array(starts)) for c in ("doc", "page", "line")]
+        columns = [*keys, pa.array(ends - starts + 1, pa.int32()), _joined(texts, starts, " "), label, first, pa.array(right[starts]), texts.take(pa.array(ends)), raw, named, cells, rest_cells]
+        return pa.RecordBatch.from_arrays(columns, names=["doc", "page", "line", "n_words", "text", "label", "first", "first_right", "last", "raw", "named", "cells", "rest"])
+
+    def differs(column: pa.Array) -> np.ndarray:
+        a, b = column.slice(1), column.slice(0, len(column) - 1)
+        other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        return other.to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # words of lines that may go on
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            begins = np.ones(len(rows), bool)
+            if len(rows) > 1:
+                begins[1:] = np.logical_or.reduce([differs(rows[c].combine_chunks()) for c in ("doc", "page", "line")])
+            last = int(np.flatnonzero(begins)[-1])
+            held = rows.slice(last)
+            if last:
+                yield read(rows.slice(0, last), begins[:last])
+        if held is not None:
+            yield read(held, np.arange(len(held)) == 0)
+
+    cell = "array<struct<left:double,right:double,reach:double,text:string,name:string>>"
+    return placed.mapInArrow(
+        run, f"doc {types['doc']}, page {types['page']}, line {types['line']}, n_words int, text string, label string, first string, first_right double, last string, raw string, named boolean, cells {cell}, rest {cell}"
+    )
+
+
+def header(named: Column, line_cells: Column) -> Column:
+    """Columns of a header line, if its cells are ``named`` at all: serial's right edge, those of numbers and of text (name, left, right); null for other lines."""
+    names = line_cells["name"]
+    some = lambda keep: F.transform(F.filter(line_cells, keep), lambda c: F.struct(c["name"].alias("name"), c["left"].alias("left"), c["reach"].alias("right")))
+    known = F.array_compact(names)
+    whole = (F.get(known, F.lit(0)) == "serial") & F.array_contains(known, "description") & (F.size(F.array_distinct(known)) == F.size(known))
+    found = F.struct(
+        F.get(F.filter(line_cells, lambda c: c["name"] == "serial"), F.lit(0))["reach"].alias("right"),
+        some(lambda c: c["name"].isin(*NUMBERS)).alias("numbers"), some(lambda c: c["name"].isNotNull() & ~c["name"].isin(*NUMBERS, "serial")).alias("texts"),
+    )
+    return F.when(named & (F.size(line_cells) >= 3) & F.array_contains(known, "amount") & whole, found)
 
 
 def column_of(cell: Column, columns: Column) -> Column:
-    """The name of the column that a cell belongs to; null if the header has none of its kind."""
-    numbers, texts = F.filter(columns, lambda c: c["name"].isin(*NUMBERS)), F.filter(columns, lambda c: ~c["name"].isin(*NUMBERS, "serial"))
-    numeric = cell["text"].rlike(number_pattern(4, 3)) & (F.size(numbers) > 0)
-    some = F.when(numeric, numbers).otherwise(texts)
-    shared = F.array_max(F.transform(some, lambda c, i: F.struct((F.least(cell["right"], c["right"]) - F.greatest(cell["left"], c["left"])).alias("width"), (-i).alias("first"), c["name"].alias("name"))))
-    x = F.when(numeric, (cell["left"] + cell["right"]) / 2).otherwise(cell["left"])
-    away = lambda c: F.greatest(c["left"] - x, x - c["right"], F.lit(0.0))
-    nearest = F.array_min(F.transform(some, lambda c, i: F.struct(away(c).alias("away"), i.alias("first"), c["name"].alias("name"))))
-    return F.when(shared["width"] > 0, shared["name"]).otherwise(nearest["name"])
+    """The name of the column that a cell belongs to: the one it shares most width with, else the nearest; null if the header has none of its kind."""
+    numeric = (F.size(columns["numbers"]) > 0) & cell["text"].rlike(number_pattern(4, 3))
+
+    def best(some: Column, x: Column) -> Column:
+        shared = lambda c: F.greatest(F.least(cell["right"], c["right"]) - F.greatest(cell["left"], c["left"]), F.lit(0.0))
+        away = lambda c: F.greatest(c["left"] - x, x - c["right"], F.lit(0.0))
+        key = lambda c, i: F.struct(shared(c).alias("shared"), F.when(shared(c) > 0, 0.0).otherwise(-away(c)).alias("near"), (-i).alias("first"), c["name"].alias("name"))
+        return F.array_max(F.transform(some, key))["name"]
+
+    return F.when(numeric, best(columns["numbers"], (cell["left"] + cell["right"]) / 2)).otherwise(best(columns["texts"], cell["left"]))
 
 
 def read_lines(words: DataFrame) -> DataFrame:
     """Every line with what it is: doc, page, line, text, kind (header, row, total, note or other) and its values.
 
-    words are shuffled once, by page; the lines and the header in force use that order.
+    Words that are partitioned by doc, or by doc and page, are not shuffled; the lines and the header in force use that order.
     """
-    word = F.struct(F.col("left").cast("double").alias("left"), F.col("right").cast("double").alias("right"), "text")
-    lines = words.repartition("doc", "page").groupBy("doc", "page", "line").agg(F.sort_array(F.collect_list(word)).alias("words"))
-    lines = with_cells(lines, "words", "cells").withColumn("own_header", header(F.col("cells")))
+    lines = lines_of(words).withColumn("own_header", header(F.col("named"), F.col("cells")))
     before = Window.partitionBy("doc", "page").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("columns", F.last("own_header", ignorenulls=True).over(before))
-    first = F.get("words", F.lit(0))
-    numbered = first["text"].rlike(r"^[0-9]{1,3}\.?$")
-    apart = numbered & (first["right"] <= F.get("columns", F.lit(0))["right"] + SLACK)
+    numbered = F.col("first").rlike(SERIAL_NUMBER)
+    lines = lines.withColumn("apart", numbered & (F.col("first_right") <= F.col("columns.right") + SLACK))
     below = F.col("own_header").isNull() & F.col("columns").isNotNull() & numbered
-    rest = F.when(apart, F.slice("words", F.lit(2), F.size("words"))).otherwise(F.col("words"))
-    lines = with_cells(lines.withColumn("rest", F.when(below, rest)), "rest", "row_cells")
-    said = lambda words: F.array_join(F.transform(words, lambda w: w["text"]), " ")
-    known = lines.select(
-        "doc", "page", "line", "columns", "row_cells", F.col("own_header").isNotNull().alias("is_header"), F.when(apart, F.regexp_extract(first["text"], "^[0-9]+", 0).cast("long")).alias("line_no"),
-        said("words").alias("text"), F.lower(said(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))))).alias("label"), F.element_at("words", -1)["text"].alias("last"),
-        ((F.size("words") >= 2) & (F.size("cells") >= 2)).alias("apart"), F.array_join(F.transform("cells", lambda c: c["text"]), " · ").alias("raw"),
-    )
-    # a row per cell and back: the page's order serves for both, so nothing is shuffled
-    each = known.select("*", F.posexplode_outer("row_cells").alias("place", "cell")).withColumn("name", column_of(F.col("cell"), F.col("columns")))
-    part = lambda name: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("name") == name, F.struct("place", "cell.text")))), lambda c: c["text"]), " ")
-    same = [F.first(c).alias(c) for c in ("is_header", "line_no", "text", "label", "last", "apart", "raw")]
-    read = each.groupBy("doc", "page", "line").agg(*same, *(F.nullif(part(c), F.lit("")).alias(c) for c in ("description", "quantity", "batch", "expiry", "rate", "amount")))
-    read = read.withColumns({c: amount(F.col(c)).cast(MONEY) for c in ("rate", "amount")})
-    row = F.col("description").isNotNull() & F.col("amount").isNotNull()
+    row_cells = F.when(below, F.when(F.col("apart"), F.col("rest")).otherwise(F.col("cells")))
+    placed = F.transform("row_cells", lambda c: F.struct(column_of(c, F.col("columns")).alias("name"), c["text"].alias("text")))
+    lines = lines.withColumn("row_cells", row_cells).withColumn("placed", placed)
+    part = lambda name: F.nullif(F.array_join(F.filter("placed", lambda c: c["name"] == name)["text"], " "), F.lit(""))
+    lines = lines.withColumns({c: part(c) for c in ("description", "quantity", "batch", "expiry", "rate", "amount")})
+    read = lines.withColumns({f"{c}_value": amount(F.col(c)).cast(MONEY) for c in ("rate", "amount")})
+    row = F.col("description").isNotNull() & F.col("amount_value").isNotNull()
+    labelled = (F.col("n_words") >= 2) & (F.size("cells") >= 2) & F.col("own_header").isNull() & ~row
+    read = read.withColumn("label", F.when(labelled, F.lower("label")))
     total = None
     for name, some in TOTALS.items():
-        hit = F.greatest(*(F.startswith("label", F.lit(w)) for w in some), F.lit(False))
+        hit = F.col("label").rlike(f"^({'|'.join(some)})")
         total = F.when(hit, name) if total is None else total.when(hit, name)
-    total = F.when(F.col("apart") & ~F.col("is_header") & ~row, total)
-    read = read.withColumn("total", total).withColumn("total_amount", F.when(F.col("last").rlike(number_pattern(3, 2)), amount(F.col("last")).cast(MONEY)))
-    kind = F.when(F.col("is_header"), "header").when(row, "row").when(F.col("total").isNull(), "other").when(F.col("total_amount").isNull(), "note").otherwise("total")
-    return read.withColumn("kind", kind)
+    read = read.withColumn("total", total)
+    read = read.withColumn("total_text", F.when(F.col("total").isNotNull() & F.col("last").rlike(number_pattern(3, 2)), F.col("last")))
+    read = read.withColumn("total_amount", amount(F.col("total_text")).cast(MONEY))
+    kind = F.when(F.col("own_header").isNotNull(), "header").when(row, "row").when(F.col("total").isNull(), "other").when(F.col("total_amount").isNull(), "note").otherwise("total")
+    # kind is generated, so that a filter on it does not reckon all of this again below
+    read = read.withColumn("kind", F.explode(F.array(kind)))
+    return read.select(
+        "doc", "page", "line", "text", "raw", F.when(F.col("apart"), F.regexp_extract("first", "^[0-9]+", 0).cast("long")).alias("line_no"), "description", "quantity", "batch", "expiry",
+        F.col("rate_value").alias("rate"), F.col("amount_value").alias("amount"), "total", "total_amount", "kind",
+    )
 
 
 def bill_rows(read: DataFrame) -> DataFrame:
@@ -160,14 +242,20 @@ def bill_notes(read: DataFrame) -> DataFrame:
 
 
 def bill_fields(read: DataFrame) -> DataFrame:
-    """Totals and the number of rows as extracted fields: doc, key, label, kind, value, display, page, line, snippet."""
-    labels = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))
-    totals = bill_totals(read).select(
-        "doc", F.concat(F.lit("billing."), "name").alias("key"), labels[F.col("name")].alias("label"), F.lit("amount").alias("kind"),
-        F.col("amount").cast("string").alias("value"), indian(F.col("amount")).alias("display"), "page", "line", "snippet",
-    )
-    first = F.min_by(F.struct("page", "line", F.col("raw").alias("snippet")), F.struct("page", "line")).alias("f")
-    counted = bill_rows(read).groupBy("doc").agg(F.count("*").cast("string").alias("value"), first)
-    return totals.unionByName(counted.select(
-        "doc", F.lit("billing.line_item_count").alias("key"), F.lit("Billed line items").alias("label"), F.lit("integer").alias("kind"), "value", F.col("value").alias("display"), "f.page", "f.line", "f.snippet"
-    ))
+    """Totals and the number of rows as extracted fields: doc, key, label, kind, value, display, page, line, snippet.
+
+    The lines are read once: every field of a document is a partial aggregate over them.
+    """
+    first = lambda hit, cut: F.min_by(F.when(hit, F.struct(F.col("total_amount").alias("amount"), "page", "line", F.substring("raw", 1, cut).alias("snippet"))), F.when(hit, F.struct("page", "line")))
+    is_row = F.col("kind") == "row"
+    found = read.filter("kind in ('row', 'total')").groupBy("doc").agg(
+        F.count(F.when(is_row, 1)).cast("string").alias("n"), first(is_row, 200).alias("row"), *(first((F.col("kind") == "total") & (F.col("total") == name), 120).alias(name) for name in LABELS)
+    ).withColumn("total", F.coalesce("total", "subtotal"))
+
+    def field(at: str, key: str, label: str, kind: str, value: Column, display: Column) -> Column:
+        named = {"key": F.lit(key), "label": F.lit(label), "kind": F.lit(kind), "value": value, "display": display, **{c: F.col(f"{at}.{c}") for c in ("page", "line", "snippet")}}
+        return F.when(F.col(at).isNotNull(), F.struct(*(c.alias(name) for name, c in named.items())))
+
+    totals = [field(name, f"billing.{name}", label, "amount", F.col(f"{name}.amount").cast("string"), indian(F.col(f"{name}.amount"))) for name, label in LABELS.items()]
+    counted = field("row", "billing.line_item_count", "Billed line items", "integer", F.col("n"), F.col("n"))
+    return found.select("doc", F.explode(F.array_compact(F.array(*totals, counted))).alias("f")).select("doc", "f.*")

@@ -102,3 +102,10 @@ def test_totals_notes_and_fields(read):
     fields = {(r.doc, r.key): (r.value, r.display, r.snippet) for r in tables.bill_fields(read).collect()}
     assert fields[1, "billing.line_item_count"] == ("3", "3", "1. · Absorbable haemostatic clips of titanium (ML) · 2 · 10.50 · 21.00")
     assert fields[1, "billing.total"] == ("1196.00", "1,196.00", "Sub Total · 1,196.00") and (3, "billing.total") not in fields
+
+
+def test_items_are_printed_once_and_words_shuffled_once(spark, sf):
+    from dossier.plans import paper
+
+    plan = paper.bill_table_rows(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and plan.count("Exchange hashpartitioning(") <= 2
