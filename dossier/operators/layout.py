@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,25 +41,25 @@ def lines(words: DataFrame, tolerance: float = 2.5, least_gap: float = 7.0, most
     page's usual one (its median between 0 and a line's height, bounded) shows as two spaces.
     """
 
-    def page_lines(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["baseline", "left", "text"])
-        rows: list[list] = []
-        for w in frame.itertuples():
-            if not rows or w.baseline - rows[-1][0].baseline > tolerance:
-                rows.append([])
-            rows[-1].append(w)
-        rows = [sorted(r, key=lambda w: (w.left, w.text)) for r in rows]
-        gaps = sorted(b.left - a.right for r in rows for a, b in zip(r, r[1:], strict=False) if 0 < b.left - a.right < 40)
-        usual = min(max(2.5 * (gaps[len(gaps) // 2] if gaps else least_gap), least_gap), most_gap)
-        out = []
-        for r in rows:
-            text = r[0].text
-            for a, b in zip(r, r[1:], strict=False):
-                text += ("  " if b.left - a.right > usual else " ") + b.text
-            out.append(text)
-        return pd.DataFrame({"page": frame["page"].iloc[0], "line": range(len(out)), "text": out})
-
-    return words.groupBy("page").applyInPandas(page_lines, "page long, line long, text string")
+    # not a number sorts last and begins no line
+    word = F.struct(F.coalesce(F.col("baseline").cast("double"), F.lit(float("nan"))).alias("baseline"), F.col("left").cast("double").alias("left"), "text", F.col("right").cast("double").alias("right"))
+    pages = words.groupBy(F.col("page").cast("long").alias("page")).agg(F.sort_array(F.collect_list(word)).alias("words"))
+
+    def begun(done: Column, i: Column) -> Column:
+        below = F.get("words", i)["baseline"] - F.get("words", F.try_element_at(done, F.lit(-1)))["baseline"]
+        return F.when((F.size(done) == 0) | ((below > tolerance) & ~F.isnan(below)), F.concat(done, F.array(i))).otherwise(done)
+
+    starts = F.aggregate(F.sequence(F.lit(0), F.size("words") - 1), F.array().cast("array<int>"), begun)
+    part = lambda s, k: F.slice("words", s + 1, F.coalesce(F.get("starts", k + 1), F.size("words")) - s)
+    rows = F.transform("starts", lambda s, k: F.sort_array(F.transform(part(s, k), lambda w: F.struct(w["left"].alias("left"), w["text"].alias("text"), w["right"].alias("right")))))
+    pairs = lambda r, made: F.zip_with(F.slice(r, F.lit(2), F.size(r)), F.slice(r, F.lit(1), F.size(r) - 1), made)
+    gaps = F.flatten(F.transform("rows", lambda r: pairs(r, lambda b, a: b["left"] - a["right"])))
+    near = F.sort_array(F.filter(gaps, lambda g: (g > 0) & (g < 40)))
+    usual = F.least(F.greatest(2.5 * F.coalesce(F.get("near", F.floor(F.size("near") / 2).cast("int")), F.lit(least_gap)), F.lit(least_gap)), F.lit(most_gap))
+    apart = lambda b, a: F.concat(F.when(b["left"] - a["right"] > F.col("usual"), "  ").otherwise(" "), b["text"])
+    text = F.transform("rows", lambda r: F.concat(F.get(r, F.lit(0))["text"], F.array_join(pairs(r, apart), "")))
+    read = pages.withColumn("starts", starts).withColumn("rows", rows).withColumn("near", near).withColumn("usual", usual)
+    return read.select("page", F.posexplode(text).alias("line", "text")).withColumn("line", F.col("line").cast("long"))
 
 
 def signed(slots: DataFrame, marks: DataFrame, least: float = 0.6) -> DataFrame:

@@ -65,3 +65,26 @@ def test_sheets(spark, tmp_path):
     folders = report.write_sheets({"Facts": spark.createDataFrame([("=1+1", 2)], "a string, b int")}, str(tmp_path))
     assert spark.read.option("header", True).csv(folders[0]).first() == Row(a="'=1+1", b="2")
     assert "<td>a &amp; b</td>" in report.page(Row(title="t", score=1, readiness="r", checklist=[{"requirement": "a & b", "state": "found"}]))
+
+
+def test_lines_equal_a_fold(spark):
+    import random
+
+    rng = random.Random(5)
+    words = [(p, f"w{k}", x := float(rng.randint(0, 90)), x + rng.randint(1, 9), rng.choice((0.0, 1.0, 2.0, 3.0, 6.0, 20.0))) for p in (1, 2, 7) for k in range(p * 9)]
+    frame = spark.createDataFrame(words, "page long, text string, left double, right double, baseline double")
+    expected = []
+    for page in (1, 2, 7):
+        rows = []
+        for w in sorted((w for w in words if w[0] == page), key=lambda w: (w[4], w[2], w[1])):
+            if not rows or w[4] - rows[-1][0][4] > 2.5:
+                rows.append([])
+            rows[-1].append(w)
+        rows = [sorted(r, key=lambda w: (w[2], w[1])) for r in rows]
+        gaps = sorted(b[2] - a[3] for r in rows for a, b in zip(r, r[1:]) if 0 < b[2] - a[3] < 40)
+        usual = min(max(2.5 * (gaps[len(gaps) // 2] if gaps else 7.0), 7.0), 16.0)
+        for i, r in enumerate(rows):
+            expected.append((page, i, r[0][1] + "".join(("  " if b[2] - a[3] > usual else " ") + b[1] for a, b in zip(r, r[1:]))))
+    found = layout.lines(frame)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()  # no call of Python for each page
