@@ -4,9 +4,8 @@ Words and pairs of words are hashed to buckets, at least BUCKETS and more with t
 root of the corpus' bytes, as its vocabulary grows.  Two multinomials over the buckets are counted, that of
 the raw corpus over all documents and that of a trusted target; a document's score is the mean logarithm
 of their ratio over its n-grams, and it is kept if the score reaches a threshold.  The trusted target is
-a bounded sample of documents labelled quality 1 (TRUSTED in expectation, picked by a hash of the id):
-half of it is counted, the threshold is a low quantile of the other half's scores, so that what resembles
-trusted text stays.  Base rules on length and repetition come first.
+every document labelled quality 1: one half of them, by a hash of the id, is counted, the threshold is an exact low
+quantile of the other half's scores, so that what resembles trusted text stays.  Base rules on length and repetition come first.
 
 Counts are pre-aggregated in each task; they go to every executor up to BROADCAST buckets and are joined
 beyond.  Documents are scored by a sum that is pre-aggregated too, whatever their length.  Repeated windows
@@ -29,9 +28,8 @@ from dossier.llm.common import NO_ID, Scratch, numbered, read, words
 BUCKETS = 1 << 16
 #: Bytes of text that BUCKETS are for.
 BYTES = 1 << 26
-#: Buckets up to which their ratios go to every executor.
+#: Buckets, and ids of trusted documents, up to which they go to every executor.
 BROADCAST = 1 << 22
-TRUSTED = 20_000
 #: Share of trusted documents below the threshold.
 QUANTILE = 0.001
 MIN_WORDS = 50
@@ -80,8 +78,8 @@ def base_failed() -> Column:
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, scratch: Scratch, buckets: int) -> DataFrame:
-    """bucket, llr: the logarithm of target over raw probability; ``trusted`` (doc_id) is bounded."""
-    marked = docs.join(F.broadcast(trusted.withColumn("target", F.lit(1))), "doc_id", "left")
+    """bucket, llr: the logarithm of target over raw probability, counted over all of docs and of ``trusted`` (doc_id)."""
+    marked = docs.join(trusted.withColumn("target", F.lit(1)), "doc_id", "left")
     grams = marked.select(F.coalesce("target", F.lit(0)).alias("target"), F.explode(hashed("w", buckets)).alias("bucket"))
     counts = scratch.write(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target")), "counts")
     raw, target = counts.agg(F.sum("raw"), F.sum("target")).first()
@@ -90,12 +88,27 @@ def ratios(docs: DataFrame, trusted: DataFrame, scratch: Scratch, buckets: int)
     return counts.select("bucket", F.ln((F.col("target") + buckets * seen) / F.lit(target + buckets) / seen).alias("llr"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, trusted: int = TRUSTED) -> DataFrame:
+def exact_quantile(scores: DataFrame, quantile: float) -> float | None:
+    """The least score that ``quantile`` of all scores do not exceed; null if there are none.
+
+    An approximate quantile with a margin bounds it from below, so that few scores beyond are put in order.
+    """
+    known = scores.filter("score is not null").select("score")
+    n, low = known.agg(F.count("*"), F.percentile_approx("score", F.lit(max(quantile - 2e-5, 0.0)), F.lit(100_000))).first()
+    if not n:
+        return None
+    rank = max(1, math.ceil(quantile * n))
+    below = known.filter(F.col("score") < F.lit(low)).count()
+    known, rank = (known.filter(F.col("score") >= F.lit(low)), rank - below) if below < rank else (known, rank)
+    return known.orderBy("score").limit(rank).agg(F.max("score")).first()[0]
+
+
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, the base features, base_failed, score, kept of every row."""
     scratch = Scratch(docs.sparkSession)
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    share = min(1.0, trusted / max(1, good.count()))
-    good = good.filter(F.expr(f"pmod(xxhash64(doc_id), 1000003) < {int(share * 1000003)}"))
+    if good.count() <= BROADCAST:
+        good = F.broadcast(good)
     half = F.expr("pmod(xxhash64(doc_id, 1), 2)")
     buckets = buckets_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     docs = with_features(numbered(docs))
@@ -103,8 +116,8 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, trust
     grams = docs.select("doc_id", "twin", *FEATURES, F.explode_outer(hashed("w", buckets)).alias("bucket"))
     scored = grams.join(F.broadcast(llr) if buckets <= BROADCAST else llr, "bucket", "left").groupBy("doc_id", "twin", *FEATURES).agg(F.avg("llr").alias("score"))
     scored = scratch.write(scored.withColumn("base_failed", base_failed()), "scored")
-    fair = scored.filter("not base_failed").join(F.broadcast(good.filter(half == 1)), "doc_id", "left_semi")
-    threshold = fair.agg(F.percentile_approx("score", F.lit(quantile), F.lit(100_000))).first()[0]
+    fair = scored.filter("not base_failed").join(good.filter(half == 1), "doc_id", "left_semi")
+    threshold = exact_quantile(fair, quantile)
     kept = ~F.col("base_failed") if threshold is None else ~F.col("base_failed") & (F.coalesce("score", F.lit(0.0)) >= F.lit(threshold))
     return scored.select(F.when(F.col("doc_id") < NO_ID, F.col("doc_id")).alias("doc_id"), *FEATURES, "base_failed", "score", kept.alias("kept"))
 

@@ -264,3 +264,28 @@ def test_toxicity_of_odd_rows(spark, docs, no_docs):
     assert toxicity.keep_clean(clashing, labels).columns == clashing.columns
     assert toxicity.keep_clean(no_docs, labels).count() == 0
     assert toxicity.keep_clean(docs, labels.filter("false")).count() == docs.count()
+
+
+def test_every_trusted_document_is_counted(spark):
+    """More labelled documents than a sample of 20,000 would hold: the sum of target counts is that of the whole half."""
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
+    seen = {}
+
+    def spy(d, trusted, scratch, buckets, real=quality.ratios):
+        seen["trusted"] = trusted.count()
+        return real(d, trusted, scratch, buckets)
+
+    real, quality.ratios = quality.ratios, spy
+    try:
+        quality.judged(docs, docs.select("doc_id", F.lit(1).alias("quality"))).count()
+    finally:
+        quality.ratios = real
+    assert seen["trusted"] == docs.filter("pmod(xxhash64(doc_id, 1), 2) = 0").count() > 20_000
+
+
+def test_exact_quantile(spark):
+    scores = spark.range(200_000).select(((F.col("id") * 7919) % 200_003).cast("double").alias("score"))
+    ordered = sorted(r.score for r in scores.collect())
+    for q in (0.0, 0.001, 0.00123, 0.5, 1.0):
+        assert quality.exact_quantile(scores, q) == ordered[max(1, -(-int(q * 10**5) * 200_000 // 10**5)) - 1]
+    assert quality.exact_quantile(scores.limit(0), 0.5) is None
