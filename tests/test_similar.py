@@ -3,10 +3,12 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions.text import squash
+from dossier.operators import similar
 from dossier.operators.similar import Segments, near_pairs
 from dossier.plans.documents import near_dup_pairs
 
@@ -85,3 +87,25 @@ def test_every_length_holds_its_segments(least, shortest):
         assert s.class_of(length) - s.class_of(least_partner) <= 1 and edits <= s.reach(s.class_of(least_partner))
     with pytest.raises(ValueError):
         Segments(0.5, 1)
+
+
+def test_blocks_and_bounds_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 5)  # many blocks a class
+    rng = random.Random(11)
+    rows = []
+    for k in range(6):
+        base = "".join(rng.choice(("th", "er", "in", "on ", "q7", "es ", "the ")) for _ in range(rng.choice((15, 60, 300))))
+        rows += [("g", 50 * k + j, edited(rng, base, rng.choice((25, 60, 10**9)))) for j in range(12)]
+    got = {(r.group, r.a, r.b): r.similarity for r in near_pairs(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
+    assert set(got) == all_pairs(rows) and len(got) > 20
+    body = {page: text for _, page, text in rows}
+    assert all(similarity == SequenceMatcher(None, body[a], body[b]).ratio() for (_, a, b), similarity in got.items())
+
+
+def test_texts_of_the_same_letters_are_no_candidates():
+    rng = random.Random(3)
+    syllables = [a + b + c for a in "tnsrl" for b in "aeio" for c in ("", "n", "s ")]
+    bodies = ["".join(rng.choice(syllables) for _ in range(700))[:1500] for _ in range(40)]
+    bodies += [bodies[0][:700] + bodies[0][702:]]
+    found = list(similar.candidates(bodies, np.ones(41, bool), np.zeros(41, int), True, 0.95))
+    assert len(found) < 10 and similar.ratio(bodies[1], bodies[2], 0.95) is None
