@@ -53,6 +53,18 @@ def test_lines_and_word_boxes(spark):
     assert (half.left, half.top, half.right, half.bottom) == (10.0, 10.0, 50.0, 20.0)
 
 
+def test_pages_as_arrays_give_the_same_lines_and_shuffle_documents_once(spark, sf):
+    from dossier.plans import paper
+
+    boxes = spark.createDataFrame([b for p, n in ((1, 60), (2, 1), (3, 200), (4, 7)) for b in scattered(p, n, p)], BOXES)
+    pages = boxes.groupBy("page").agg(F.collect_list(F.struct(*(c for c in boxes.columns if c != "page"))).alias("boxes"))
+    one, other = (sorted(map(str, f(t, ["page"]).collect())) for f, t in ((ocr.lines, boxes), (ocr.page_lines, pages)))
+    assert one == other and len(one) > 40
+    assert ocr.page_lines(pages.limit(0), ["page"]).count() == 0
+    for query in (paper.ocr_lines, paper.ocr_words):
+        assert query(spark, sf)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # of the documents
+
+
 def words(doc, page, line, *phrases):
     out = []
     for x, text in phrases:
