@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.operators import claims as views
-from dossier.plans.checks import DATE_SEQUENCE, MISSING_REQUIRED, date_sequence, missing_required
+from dossier.plans.checks import DATE_SEQUENCE, MISSING_REQUIRED, claim_findings
 from dossier.sources.tables import table
 
 #: Extracted key -> canonical key and kind; one key may feed two fields.
@@ -145,11 +145,10 @@ SELECT doc_type, least(greatest(median(q), 7.0), 16.0) AS clamped, list_sort(lis
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of a run by rule and severity, kept once per claim and subject in the order of the checks."""
-    first = missing_required(spark, sf_dir).select("claim_id", "subject", F.lit(1).alias("check_no"), F.lit("R001").alias("rule"), F.lit("critical").alias("severity"))
-    second = date_sequence(spark, sf_dir).select("claim_id", "subject", F.lit(8).alias("check_no"), F.lit("R008").alias("rule"), F.lit("review").alias("severity"))
-    order = Window.partitionBy("claim_id", "subject").orderBy("check_no")
-    kept = first.unionByName(second).withColumn("seen", F.row_number().over(order)).filter("seen = 1")
-    return kept.groupBy("rule", "severity").agg(F.count("*").alias("n_findings"), F.countDistinct("claim_id").alias("n_claims"))
+    of = lambda code: F.size(F.filter("findings", lambda f: f.code == code))
+    rules = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"), of(r).alias("n")) for r, s in (("R001", "critical"), ("R008", "review"))))
+    by_claim = claim_findings(spark, sf_dir).select(F.explode(rules).alias("r")).select("r.*").filter("n > 0")
+    return by_claim.groupBy("rule", "severity").agg(F.sum("n").alias("n_findings"), F.count("*").alias("n_claims"))
 
 
 RUN_SUMMARY = f"""
