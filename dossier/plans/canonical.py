@@ -44,7 +44,9 @@ def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
         "procedure": F.when(flag != "A", _numbered("p", "l_partkey", 5)),
     }
     listed = F.array(*(F.struct(F.lit(k).alias("field"), v.alias("normal")) for k, v in fields.items()))
-    return _rows(spark, sf_dir).select(
+    # lines are dealt out by claim once, before they become many rows: votes and what follows them need no other shuffle
+    dealt = _rows(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    return dealt.select(
         F.col("l_orderkey").alias("claim_id"), F.explode(F.filter(listed, lambda f: f.normal.isNotNull())).alias("f"),
         F.when(F.col("l_linenumber") <= 3, 3).otherwise(1).alias("weight"), (F.col("l_discount") < 0.08).alias("eligible"), (1 - F.col("l_discount")).alias("confidence"),
     ).select("claim_id", "f.field", "f.normal", "weight", "eligible", "confidence")
@@ -94,13 +96,29 @@ FROM vo v JOIN vo b ON b.claim_id = v.claim_id AND b.field = v.field AND b.rank
 """
 
 
+def _by_claim(voted: DataFrame, *more: Column) -> DataFrame:
+    """One row per claim with values: whether a field has an eligible one, how many values it has, and ``more``."""
+    fields = [f for _, _, of in NAMED.values() for f in of]
+    known = [F.max((F.col("field") == f) & (F.col("n_eligible") > 0)).alias(f"known_{f}") for f in fields]
+    return voted.groupBy("claim_id").agg(*known, *(F.count_if(F.col("field") == f).alias(f"values_{f}") for f in fields), *more)
+
+
+def _outcomes() -> Column:
+    """The checks of a claim (its row by ``_by_claim``, or none): check_name, status, n_findings."""
+    found = []
+    for name, (_, _, of) in NAMED.items():
+        known = [F.coalesce(f"known_{f}", F.lit(False)) for f in of]
+        n = sum((F.when(k, F.col(f"values_{f}") - 1).otherwise(0) for k, f in zip(known, of, strict=True)), F.lit(0)).cast("bigint")
+        status = F.when(~F.greatest(F.lit(False), *known), "pending").when(n > 0, "failed").otherwise("passed")
+        found.append(F.struct(F.lit(name).alias("check_name"), status.alias("status"), n.alias("n_findings")))
+    return F.array(*found)
+
+
 def named_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome of every such check for every claim: pending where no document gives an eligible value, failed where values compete."""
-    by_field = _voted(spark, sf_dir).groupBy("claim_id", "field").agg(F.max(F.col("n_eligible") > 0).alias("known"), (F.count("*") - 1).alias("others"))
-    tallied = by_field.join(_named(spark), "field").groupBy("claim_id", "check_name").agg(F.max("known").alias("known"), F.sum(F.when(F.col("known"), F.col("others")).otherwise(0)).alias("n_findings"))
-    claims = table(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("claim_id"), F.explode(F.array(*map(F.lit, NAMED))).alias("check_name"))
-    status = F.when(~F.coalesce("known", F.lit(False)), "pending").when(F.col("n_findings") > 0, "failed").otherwise("passed")
-    return claims.join(tallied, ["claim_id", "check_name"], "left").select("claim_id", "check_name", status.alias("status"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"))
+    claims = table(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("claim_id"))
+    both = claims.join(_by_claim(_voted(spark, sf_dir)), "claim_id", "left")
+    return both.select("claim_id", F.explode(_outcomes()).alias("c")).select("claim_id", "c.*")
 
 
 NAMED_CHECKS = f"""
@@ -124,12 +142,19 @@ PROCEDURES_SECTION = f"WITH {_VOTED} SELECT claim_id, rank AS place, normal AS p
 def declared_procedure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The procedure in force: documents win, else what was declared (two claims in three); a declaration that documents contradict is superseded."""
     chosen = _voted(spark, sf_dir).filter("field = 'procedure' and chosen").select("claim_id", F.col("normal").alias("documented"))
+    return _declared(spark, sf_dir).join(chosen, "claim_id", "left").select(
+        "claim_id", *_in_force(), F.coalesce(F.col("documented") != F.col("declared"), F.lit(False)).alias("superseded")
+    )
+
+
+def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     declared = F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("p"), (F.col("o_custkey") % 5).cast("string")))
-    claims = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("claim_id"), declared.alias("declared"))
+    return table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("claim_id"), declared.alias("declared"))
+
+
+def _in_force() -> tuple[Column, Column]:
     origin = F.when(F.col("documented").isNotNull(), "documents").when(F.col("declared").isNotNull(), "declaration").otherwise("unknown")
-    return claims.join(chosen, "claim_id", "left").select(
-        "claim_id", F.coalesce("documented", "declared").alias("procedure"), origin.alias("origin"), F.coalesce(F.col("documented") != F.col("declared"), F.lit(False)).alias("superseded")
-    )
+    return F.coalesce("documented", "declared").alias("procedure"), origin.alias("origin")
 
 
 DECLARED_PROCEDURE = f"""
@@ -239,14 +264,14 @@ UNION ALL SELECT claim_id, 7, 'review', CASE WHEN ready AND closed THEN 'complet
 
 def claim_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per claim with its sections put together: chosen values, procedure and its origin, failed checks, what is missing, readiness."""
-    voted = _voted(spark, sf_dir)
-    chosen = lambda f: F.max(F.when(F.col("chosen") & (F.col("field") == f), F.col("normal"))).alias(f)
-    values = voted.groupBy("claim_id").agg(*(chosen(f) for f in ("patient", "uhid", "admission", "discharge", "diagnosis")))
-    failed = named_checks(spark, sf_dir).groupBy("claim_id").agg(F.count_if(F.col("status") == "failed").alias("n_failed"), F.count_if(F.col("status") == "pending").alias("n_pending"))
+    chosen = lambda f, name: F.max(F.when(F.col("chosen") & (F.col("field") == f), F.col("normal"))).alias(name)
+    sections = ("patient", "uhid", "admission", "discharge", "diagnosis")
+    stated_by = _by_claim(_voted(spark, sf_dir), chosen("procedure", "documented"), *(chosen(f, f) for f in sections))
+    ended = lambda status: F.size(F.filter(_outcomes(), lambda c: c.status == status)).cast("bigint")
+    whole = _declared(spark, sf_dir).join(stated_by, "claim_id", "left").select("claim_id", *_in_force(), *sections, ended("failed").alias("n_failed"), ended("pending").alias("n_pending"))
     lacking = requirement_status(spark, sf_dir).groupBy("claim_id").agg(F.count_if(F.col("state") == "missing").alias("n_missing"))
     ready = readiness_score(spark, sf_dir).select("claim_id", "score", F.col("status").alias("readiness"))
-    whole = declared_procedure(spark, sf_dir).select("claim_id", "procedure", "origin").join(values, "claim_id", "left")
-    return whole.join(failed, "claim_id").join(lacking, "claim_id").join(ready, "claim_id")
+    return whole.join(lacking, "claim_id").join(ready, "claim_id")
 
 
 CLAIM_STATE = f"""
