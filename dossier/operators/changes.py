@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
@@ -23,9 +23,10 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """
     one = F.struct("label", "state", F.coalesce("excluded", F.lit(False)).alias("excluded"))
     rows = before.withColumn("now", F.lit(False)).unionByName(after.withColumn("now", F.lit(True)))
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "claim_id")  # dealt out once for all that follows
     both = rows.groupBy("claim_id", "kind", "key").agg(F.max(F.when(F.col("now"), one)).alias("new"), F.max(F.when(~F.col("now"), one)).alias("old"))
-    seen = before.groupBy("claim_id").agg(F.lit(True).alias("seen"))
-    both = both.join(seen, "claim_id", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    # whether the claim had a state before: from what is grouped already, the state is not read again
+    both = both.withColumn("seen", F.col("claim_id").isNotNull() & F.max(F.col("old").isNotNull()).over(Window.partitionBy("claim_id")))
     kind, fresh, moved = F.col("kind"), F.col("old").isNull(), ~F.col("old.state").eqNullSafe(F.col("new.state"))
     shut = (kind == "document") & ~fresh
     told = (
