@@ -3,8 +3,9 @@
 Each stage works on all that the one before kept, written as Parquet and reread:
 
 1. toxicity: documents that the lexicon model scores at 0.5 or more go;
-2. simhash: of each component of near copies (five-word shingles alike to 0.8 or more, each link verified;
-   candidates by min-hash bands, see near_copies) the document with the smallest doc_id stays;
+2. simhash: of each component of near copies (five-word shingles alike to 0.8 or more, each link verified) the
+   document with the smallest doc_id stays; candidates are fingerprints linked by vantage-point trees and, beyond
+   their radius, min-hash bands (see near_copies);
 3. suffix_array: bytes of 100-byte strings that stand earlier are cut out, at whole characters;
 4. mixing: every document stays, those of small sources repeated up to the limit;
 5. packing: pieces of at most 2048 tokens in best-fit sequences (columns of op2).

@@ -1,4 +1,4 @@
-"""Near copies by exact similarity of word shingles, for the pipeline.
+"""Near copies by exact similarity of word shingles: what follows the fingerprints in the pipeline.
 
 Two texts are near copies if the Jaccard similarity of their multisets of SHINGLE-word shingles is
 SIMILARITY or more (the k-th occurrence of a shingle is an element of its own, so a text that repeats
@@ -15,7 +15,7 @@ texts without words are copies of each other and of nothing else.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -77,21 +77,23 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"), text.alias("text"), row)
 
 
-def marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """id, h, g, node, keys of every row."""
+def marked(docs: DataFrame, shingle: int, fingerprint: Callable[[np.ndarray], int]) -> DataFrame:
+    """id, h, g, node, fp, keys of every row; fp is the fingerprint of its shingles."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, keys = [], []
+            nodes, fps, keys = [], [], []
             for text in b.column("text").to_pylist():
                 elements = shingles(text, shingle)
                 nodes.append(xxhash.xxh64_intdigest(elements.tobytes(), 7) - 2**63)
+                fps.append(fingerprint(elements))
                 keys.append(band_keys(elements))
             own = [b.column(c) for c in ("id", "h", "g")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "h", "g", "node", "keys"])
+            found = [pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*own, *found], ["id", "h", "g", "node", "fp", "keys"])
 
     thin = identified(docs).select("id", "h", "g", "text")
-    return thin.mapInArrow(task, "id bigint, h bigint, g bigint, node bigint, keys array<bigint>")
+    return thin.mapInArrow(task, "id bigint, h bigint, g bigint, node bigint, fp bigint, keys array<bigint>")
 
 
 def shingled(texts: DataFrame, shingle: int) -> DataFrame:
@@ -188,13 +190,25 @@ def found_by_stragglers(buckets: DataFrame, own: DataFrame, similarity: float, s
     return met.mapInArrow(task, "a bigint, b bigint").distinct()
 
 
-def components(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """id, h, g, component of every row: rows of one component are linked by near copies."""
-    marks = scratch.write(marked(docs, shingle), "marks")
-    bands = marks.select("node", F.explode("keys").alias("key")).distinct()
+def bucketed(bands: DataFrame) -> DataFrame:
+    """Those of the rows (node, key, each once) whose key has several nodes, with the least of these as leader."""
     shared = bands.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("key", "leader")
-    buckets = scratch.write(bands.join(shared, "key"), "buckets")
-    nodes = scratch.write(buckets.select("node").distinct(), "nodes")
+    return bands.join(shared, "key").select("key", "node", "leader")
+
+
+def stars(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's leader and its other nodes."""
+    return buckets.filter("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def components(docs: DataFrame, marks: DataFrame, classes: DataFrame, scratch: Scratch, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """id, h, g, component of every row: rows of one component are linked by near copies.
+
+    marks: ``marked`` of the documents; classes: node, key of the first candidates, each node once.
+    """
+    near = scratch.write(bucketed(classes), "near")
+    buckets = scratch.write(bucketed(marks.select("node", F.explode("keys").alias("key")).distinct()), "buckets")
+    nodes = scratch.write(near.select("node").unionAll(buckets.select("node")).distinct(), "nodes")
     some = marks.join(nodes, "node").groupBy("node").agg(F.min(F.struct("id", "h", "g")).alias("row")).select("node", "row.*")
     some = scratch.write(some, "some")
     rows = some.count()
@@ -202,16 +216,25 @@ def components(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, simila
     own = scratch.write(shingled(texts.select("node", "text"), shingle), "own")
     if own.count() > rows:  # rows that are equal in id and text
         own = scratch.write(own.dropDuplicates(["node"]), "own-once")
-    stars = scratch.write(buckets.filter("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = scratch.write(verified(stars, own, similarity), "star-links")
+    tried = scratch.write(stars(near), "near-stars")
+    links = scratch.write(verified(tried, own, similarity), "near-links")
+    placed = scratch.write(connected_components(links, Scratch(docs.sparkSession)), "near-components")
+    # min-hash buckets only compare what the classes left apart
+    n, more = placed.count(), stars(buckets)
+    for end in "ab":
+        of = placed.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        more = join_checked(more, of, [end], n, "left")
+    more = scratch.write(more.filter("of_a is null or of_b is null or of_a <> of_b").select("a", "b"), "stars")
+    links = scratch.write(links.unionAll(verified(more, own, similarity)), "star-links")
     placed = scratch.write(connected_components(links, scratch), "star-components")
+    tried, buckets = tried.unionAll(more), near.unionAll(buckets)
     # what the stars left apart: buckets of more than one component
     buckets = buckets.select("key", "node").join(placed, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     sizes = buckets.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
     buckets = scratch.write(buckets.join(sizes.filter("low < high").select("key", "size"), "key"), "apart")
     few = buckets.filter(F.col("size") <= SMALL)
     x, y = (few.select("key", F.col("node").alias(n), F.col("component").alias(f"of_{n}")) for n in "ab")
-    rest = x.join(y, "key").filter("a < b and of_a <> of_b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    rest = x.join(y, "key").filter("a < b and of_a <> of_b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     rest = scratch.write(rest, "rest")
     more = scratch.write(verified(rest, own, similarity).unionAll(found_by_stragglers(buckets.filter(F.col("size") > SMALL), own, similarity, scratch)), "more-links")
     if more.limit(1).count():

@@ -51,9 +51,26 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         digests = [hashed(joined[a : b - 1], 42) for a, b in zip(starts, starts[shingle:], strict=False)]
     ones = np.zeros(64, np.int64)
     for at in range(0, len(digests), 1 << 15):
-        some = digests[at : at + (1 << 15)]
-        ones += np.unpackbits(np.frombuffer(b"".join(some), np.uint8).reshape(len(some), 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(digests)).tobytes(), "big", signed=True)
+        ones += bit_counts(b"".join(digests[at : at + (1 << 15)]))
+    return majority(ones, len(digests))
+
+
+def bit_counts(digests: bytes) -> np.ndarray:
+    """How many of the digests, of 8 bytes each, have each bit."""
+    return np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The fingerprint, as a signed integer, of n digests with these counts of bits."""
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+
+
+def fingerprint_of(elements: np.ndarray) -> int:
+    """The fingerprint of hashed shingles (near_copies.shingles)."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(elements), 1 << 15):
+        ones += bit_counts(elements[at : at + (1 << 15)].astype(">u8").tobytes())
+    return majority(ones, len(elements))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -188,17 +205,28 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY) -> DataFrame:
+def fingerprint_classes(marks: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """node, key of every node (near_copies.marked) with words: nodes of one key have fingerprints linked at ``radius`` or fewer bits."""
+    nodes = scratch.write(marks.filter("size(keys) > 0").select("node", "fp").distinct(), "nodes")
+    points = scratch.write(nodes.select("fp").distinct(), "points")
+    found = links(points.select("fp", F.col("fp").alias("node")), radius, scratch)
+    found = scratch.write(connected_components(found, scratch).withColumnRenamed("node", "fp"), "linked")
+    return join_checked(nodes, found, ["fp"], found.count(), "left").select("node", F.coalesce("component", "fp").alias("key"))
+
+
+def keep_first(docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest doc_id stays.
 
-    Near copies are pairs whose shingles reach the similarity (near_copies), not fingerprints within RADIUS:
-    that contract of operator 7 loses nearly all copies with more than a handful of edited words.
+    Near copies are pairs whose shingles reach the similarity.  Documents whose fingerprints are linked within the radius,
+    by the trees of operator 7, are compared first; those links alone would lose nearly all copies with more than a
+    handful of edited words, so near_copies goes on to the pairs beyond the radius.
     Rows are told apart by doc_id and text: of a component's rows with its smallest doc_id the least by
     text, then by all columns as JSON, stays. Other documents of the same id, or without one, stay too.
     Columns of any name and type pass through in a struct.
     """
     scratch = Scratch(docs.sparkSession)
-    found = near_copies.components(docs, scratch, shingle, similarity)
+    marks = scratch.write(near_copies.marked(docs, shingle, fingerprint_of), "marks")
+    found = near_copies.components(docs, marks, fingerprint_classes(marks, radius, Scratch(docs.sparkSession)), scratch, shingle, similarity)
     low = found.groupBy("component").agg(F.min("id").alias("id"))
     firsts = scratch.write(found.join(low, ["component", "id"]).groupBy("component", "id", "h", "g").agg(F.count("*").alias("rows")), "firsts")
     tied = scratch.write(firsts.groupBy("component").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("component"), "tied")

@@ -109,6 +109,26 @@ def test_near_copies_go_up_to_the_similarity(spark, monkeypatch, small):
     assert all(i % 100 == 0 or i % 100 > 5 for i in expected) and any(i % 100 > 6 for i in expected)
 
 
+def test_fingerprints_link_before_bands(spark):
+    """Without any min-hash key, copies whose fingerprints op7's trees link are still found, and only if they are alike."""
+    rows = [(i, t) for i, t in planted_copies(bases=30) if i % 100 < 4] + [(9001, "a"), (9002, None), (9003, ""), (9004, "A")]
+    df, scratch = spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)
+    marks = scratch.write(near_copies.marked(df, 5, simhash.fingerprint_of), "marks")
+    classes = scratch.write(simhash.fingerprint_classes(marks, 2, Scratch(spark)), "classes")
+    fps = {r.node: r.fp for r in marks.collect() if r["keys"]}
+    links = [(a, b) for a in fps for b in fps if a < b and ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 2]
+    root = components(sorted(fps), links)
+    keys = {r.node: r.key for r in classes.collect()}
+    assert len(keys) == len(fps) and len(links) > 10
+    assert all((keys[a] == keys[b]) == (root[a] == root[b]) for a in fps for b in fps)
+    bare = marks.withColumn("keys", F.array().cast("array<bigint>"))
+    found = {r.id: r.component for r in near_copies.components(df, bare, classes, scratch).collect()}
+    node = {r.id: r.node for r in marks.collect()}
+    alike = {(a, b) for a, b in links}
+    assert all(found[x] == found[y] for x in node for y in node if (node[x], node[y]) in alike and x // 100 == y // 100)
+    assert all(x // 100 == y // 100 or {x, y} in ({9001, 9004}, {9002, 9003}) for x in node for y in node if found[x] == found[y])
+
+
 def test_band_keys_find_pairs_at_the_similarity():
     rng = np.random.default_rng(6)
     found = 0
