@@ -9,6 +9,8 @@ from dossier.functions.text import SEXES, blank_to_null, clean, gender, letters,
 
 MONEY = "decimal(18,2)"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+#: Three words in single spaces that read as day, month, year or as year, month, day.
+DATE = rf" ([0-9]{{1,2}} (?:[0-9]{{1,2}}|(?:{'|'.join(MONTHS)})[a-z]{{0,6}}) [0-9]{{4}}|[0-9]{{4}} [0-9]{{2}} [0-9]{{2}})(?= )"
 #: Words around an amount that say nothing of it (our own choice).
 CURRENCY = ("inr", "only", "rs", "rupee", "rupees")
 
@@ -19,15 +21,13 @@ def date_of(value: Column) -> Column:
     Words are runs of letters or digits, so any separator will do; a month is a number or begins with its
     three letters.  Three words that look like a date and are none give null.
     """
-    words = F.filter(F.split(F.lower(clean(value)), "[^a-z0-9]+"), lambda w: w != "")
-    three = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.struct(F.get(words, i).alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c")))
-    digits = lambda w, least, most: w.rlike(f"^[0-9]{{{least},{most}}}$")
-    named = lambda w: w.rlike("^[a-z]{3,9}$") & F.substring(w, 1, 3).isin(*MONTHS)
-    day_first = lambda t: digits(t.a, 1, 2) & (digits(t.b, 1, 2) | named(t.b)) & digits(t.c, 4, 4)
-    year_first = lambda t: digits(t.a, 4, 4) & digits(t.b, 2, 2) & digits(t.c, 2, 2)
-    found = F.get(F.filter(three, lambda t: day_first(t) | year_first(t)), F.lit(0))
-    month = F.when(digits(found.b, 1, 2), found.b).otherwise(F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(found.b, 1, 3)).cast("string"))
-    year, day = F.when(digits(found.a, 4, 4), found.a).otherwise(found.c), F.when(digits(found.a, 4, 4), found.c).otherwise(found.a)
+    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(clean(value)), "[^a-z0-9]+", " "), F.lit(" "))
+    # one pattern for the three words: functions over arrays of words are interpreted, and their result was worked out for each of its uses
+    found = F.split(F.nullif(F.regexp_extract(words, DATE, 1), F.lit("")), " ")
+    first, second, third = (F.get(found, F.lit(k)) for k in range(3))
+    month = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(second, 1, 3)), F.lit(0)).cast("string"), second)
+    year_first = F.length(first) == 4
+    year, day = F.when(year_first, first).otherwise(third), F.when(year_first, third).otherwise(first)
     return F.try_to_timestamp(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
 
 

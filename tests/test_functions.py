@@ -56,3 +56,12 @@ def test_function(spark, name):
     function, cases = CASES[name]
     rows = spark.createDataFrame([(k, v) for k, (v, _) in enumerate(cases)], "k bigint, v string")
     assert [r[0] for r in rows.orderBy("k").select(function(F.col("v"))).collect()] == [e for _, e in cases]
+
+
+def test_a_date_is_read_by_one_pattern(spark, capsys):
+    """No function over arrays of words, which Spark interprets and worked out again for each use of its result."""
+    rows = [("on 3, 14 2020 and 5/jan_2021", None), ("x 5/jan_2021", "2021-01-05"), ("14 2020 12 05 x", "2020-12-05"), ("7 marchmadn 1999", "1999-03-07"), ("7 marchmadness 1999", None), ("1.2.20201", None), ("31/02/2020", None), ("", None), (None, None)]
+    read = spark.createDataFrame(rows, "v string, day string").select("v", "day", V.date_of(F.col("v")).cast("string").alias("got"))
+    assert all(r.got == r.day for r in read.collect())
+    read.explain(True)
+    assert "lambda" not in capsys.readouterr().out
