@@ -18,6 +18,10 @@ ANNOUNCED = {
     "report number": (("report", "lab", "sample", "specimen", "accession", "barcode"), ("no", "id", "number", "num", "#")),
 }
 NUMBER, DATE = r"\s*[:.\-]?\s*([A-Za-z0-9][A-Za-z0-9/\-]{2,31})", r"^\d{1,4}[/\-.]\d{1,2}([/\-.]\d{1,4})?$"
+#: Lower-case pieces of which a text holds one wherever it announces such a number.
+GUARDS = {"bill number": ("bill", "invoice", "receipt"), "claim number": ("claim", "auth"), "report number": ("report", "lab", "sample", "specimen", "accession", "barcode")}
+#: The lines up to the last of TITLE_LINES that are not blank; possessive, so that no text makes it go back.
+FIRST_LINES = rf"\A(?:[ \n]*+[^\n]++\n?){{0,{TITLE_LINES}}}"
 COUNTER = r"(?i)page\s*(\d{1,3})\s*(?:of|/)\s*(\d{1,3})"
 OTHER = "other"
 
@@ -39,11 +43,21 @@ def says(body: Column, phrase: str) -> Column:
     return F.contains(body, F.lit(phrase)) & body.rlike(bounded(phrase))
 
 
+def extracted(text: Column, body: Column, pieces: tuple[str, ...], pattern: str, i: int) -> Column:
+    """A group of a pattern, empty if it is not there; sought only where the lower-case body holds one of the pieces that any match holds."""
+    held = F.contains(body, F.lit(pieces[0]))
+    for piece in pieces[1:]:
+        held |= F.contains(body, F.lit(piece))
+    return F.when(held, F.regexp_extract(text, pattern, i)).otherwise("")
+
+
 def headings(text: Column) -> Column:
     """Cells of the first lines that are not blank, cut at bars and at gaps of two spaces; none is blank."""
-    lines = F.slice(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), 1, TITLE_LINES)
+    # only the first lines are cut: a text may have very many
+    lines = F.filter(F.split(F.regexp_extract(text, FIRST_LINES, 0), "\n"), lambda x: F.trim(x) != "")
     cells = F.flatten(F.transform(lines, lambda x: F.split(x, r" \| |\s{2,}")))
-    return F.filter(F.transform(cells, F.trim), lambda c: c != "")
+    # trim takes a second argument, which transform would fill with the place
+    return F.filter(F.transform(cells, lambda c: F.trim(c)), lambda c: c != "")
 
 
 def is_title(cell: Column, phrase: str) -> Column:
@@ -98,9 +112,9 @@ def read(pages: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     known = titled | worded
     pairs = []
     for label in ANNOUNCED:
-        value = F.upper(F.regexp_extract("text", announced(label), 1))
+        value = F.upper(extracted(F.col("text"), F.col("__body"), GUARDS[label], announced(label), 1))
         pairs.append(F.when((value != "") & ~value.rlike(DATE), F.struct(F.lit(label), value)))
-    place = lambda i: F.nullif(F.regexp_extract("text", COUNTER, i), F.lit("")).cast("int")
+    place = lambda i: F.nullif(extracted(F.col("text"), F.col("__body"), ("page",), COUNTER, i), F.lit("")).cast("int")
     others = [c for c in pages.columns if c != "text"]
     return rows.select(
         *others,

@@ -1,5 +1,9 @@
 """What single pages say of themselves, by hand."""
 
+import re
+
+from pyspark.sql import functions as F
+
 from dossier.operators import pages
 
 VOCABULARY = {"bill": (("tax invoice",), ("amount", "payable", "rate"), ("consent",)), "note": (("operative note", "note"), ("surgeon", "incision"), ())}
@@ -44,5 +48,21 @@ def test_titles_stand_in_the_first_lines_that_are_not_blank(spark):
     assert late.method == "none" and blank.method == "title"
 
 
+def test_only_the_first_lines_of_a_text_are_cut(spark, capsys):
+    texts = ["", " \n  \n", "\n" * 9000 + "a  b\r\n \n\t\n  c | d", "x\n \n" * 40 + "y", "one line " * 9000, " a", "a\n" * 12 + "b", "\n\n".join(map(str, range(14))) + "\n"]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", pages.headings(F.col("text")).alias("cells"))
+    for r in got.collect():
+        lines = [x for x in r.text.split("\n") if x.strip(" ")][:12]
+        assert r.cells == [c for x in lines for c in (y.strip(" ") for y in re.split(r" \| |\s{2,}", x)) if c]
+    got.explain(True)
+    assert "split(text" not in capsys.readouterr().out
+
+
+def test_guards_lose_no_number(spark):
+    for label, (words, between) in pages.ANNOUNCED.items():
+        said = [f"{w.replace('?', '')} {b}: a12".upper() for w in words for b in between] + ["PREAUTH no A12", "Pre-Auth # a12"] * (label == "claim number")
+        assert [dict(r.identifiers).get(label) for r in reads(spark, *said)] == ["A12"] * len(said)
+
+
 def test_no_pages(spark):
     assert pages.read(spark.createDataFrame([], "k long, text string"), VOCABULARY).count() == 0
