@@ -1,8 +1,9 @@
-"""Overlap of intervals against all pairs, and its plan."""
+"""Overlap of intervals against all pairs, and its plan; words of spans against all words."""
 
 import random
 
 from dossier.operators import intervals
+from dossier.plans import paper
 
 
 def test_equals_all_pairs(spark, capsys):
@@ -16,3 +17,27 @@ def test_equals_all_pairs(spark, capsys):
     pairs.explain("formatted")
     plan = capsys.readouterr().out
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_words_of_spans_equal_all_words(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = ["", " ", "  ä\u20ac  b", None, "x" * 300] + ["".join(rng.choice("ab\u00fc \n\U0001f600 ") for _ in range(rng.randint(0, 400))) for _ in range(80)]
+    spans = [[(s := rng.randint(-5, 420), s + rng.choice((0, 1, 9, 500))) for _ in range(rng.randint(0, 12))] for _ in texts[1:]] + [None]
+    monkeypatch.setattr(intervals, "AT_ONCE", 700)
+    frame = spark.createDataFrame(list(zip(range(len(texts)), texts, spans, strict=True)), "k long, text string, spans array<struct<start: int, end: int>>")
+    found = sorted((r.k, r.start, r.end, [tuple(w) for w in r.words]) for r in intervals.words_touched(frame.repartition(2), ["k"]).collect())
+    expected = []
+    for k, (text, some) in enumerate(zip(texts, spans, strict=True)):
+        at, words = 0, []
+        for word in (text or "").split(" "):
+            words.append((at, at + len(word), word))
+            at += len(word) + 1
+        for start, end in some or ():
+            if end > start and (hit := [w for w in words if w[2] and w[0] < end and w[1] > start]):
+                expected.append((k, start, end, hit))
+    assert found == sorted(expected) and len(expected) > 100
+
+
+def test_only_documents_are_shuffled(spark, sf):
+    plan = paper.span_words(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and not any(step in plan for step in ("Join", "Window", "Generate", "Sort "))
