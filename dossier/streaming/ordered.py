@@ -2,10 +2,11 @@
 
 An event waits in its key's state until the watermark has passed it; then all that are due are applied in order of time
 and id.  So a shuffled arrival gives the result of the sorted log, as long as nothing comes later than the lateness
-allowed; what does is dropped by the watermark.  A key has one timer at a time, for its earliest waiting event.
+allowed; what does is dropped by the watermark.  A key has one timeout at a time, for its earliest waiting event.
 
-A key's due events are sorted in its task: memory follows what one key receives within a batch and the allowed lateness
-(bound the files of a batch when a long backlog is read).
+A key's waiting events are one value, which is read and written once for each batch that concerns the key: a call to
+the state for each event costs far more than the event.  Memory follows what one key receives within a batch and the
+allowed lateness (bound the files of a batch when a long backlog is read).
 """
 
 from __future__ import annotations
@@ -17,68 +18,66 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: The state store that such operators need.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: What is kept of a key: its waiting events, a JSON array of [at, id, event] to a line, and its state.
+KEPT = "waiting string, state string"
 
 Step = Callable[[dict, dict], dict]
 Rows = Callable[[dict], list[dict]]
 
 
-class InOrder(StatefulProcessor):
+def in_order(step: Step, rows: Rows, key: str, columns: list[str]) -> Callable[..., Iterator[pd.DataFrame]]:
     """Applies ``step`` (state, event -> state) to a key's events in event time; ``rows`` says what a state shows."""
 
-    def __init__(self, step: Step, rows: Rows, key: str, columns: list[str]):
-        self.step, self.rows, self.key, self.columns = step, rows, key, columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "at bigint, id bigint, event string")
-        self.state = handle.getValueState("state", "json string")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            new = list(zip(frame["at"].astype(int).tolist(), frame["id"].astype(int).tolist(), frame["event"].tolist(), strict=True))
-            if new:
-                self.waiting.appendList(new)
-                self._wake(min(at for at, _, _ in new))
-        yield pd.DataFrame(columns=self.columns)
-
-    def _wake(self, at: int) -> None:
-        timers = [t if isinstance(t, int) else t[0] for t in self.handle.listTimers()]
-        if not timers or at < min(timers):
-            self.handle.registerTimer(at)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now, events = timerValues.getCurrentWatermarkInMs(), [tuple(e) for e in self.waiting.get()]
-        due = sorted(e for e in events if e[0] <= now)
-        rest = [e for e in events if e[0] > now]
-        if due:
-            state = json.loads(self.state.get()[0]) if self.state.exists() else {}
-            for _, _, event in due:
-                state = self.step(state, json.loads(event))
-            self.state.update((json.dumps(state),))
-            self.waiting.clear()
-            if rest:
-                self.waiting.put(rest)
-                self.handle.registerTimer(min(at for at, _, _ in rest))  # the one that has expired is still listed here
-            yield pd.DataFrame([{self.key: key[0], **r} for r in self.rows(state)], columns=self.columns)
+    def follow(of: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        now = kept.getCurrentWatermarkMs()
+        waiting, state = kept.get if kept.exists else ("", "{}")
+        lines = waiting.split("\n") if waiting else []
+        if kept.hasTimedOut:
+            next_at = now
         else:
-            yield pd.DataFrame(columns=self.columns)
-
-    def close(self) -> None:
-        pass
+            next_at = kept_at(lines)
+            for frame in frames:
+                lines += frame["event"].tolist()
+                next_at = min(int(frame["at"].min()), next_at)
+        if next_at <= now:
+            # the text settles what time and id leave open
+            events = sorted(zip(json.loads(f"[{','.join(sorted(lines))}]"), sorted(lines), strict=True), key=lambda e: e[0][:2])
+            n_due = sum(e[0] <= now for e, _ in events)
+            if n_due:
+                shown: Any = json.loads(state)
+                for (_, _, event), _ in events[:n_due]:
+                    shown = step(shown, event)
+                state = json.dumps(shown)
+                if found := rows(shown):
+                    yield pd.DataFrame([{key: of[0], **r} for r in found], columns=columns)
+            lines = [line for _, line in events[n_due:]]
+            next_at = events[n_due][0][0] if lines else now
+        kept.update(("\n".join(lines), state))
+        if lines:
+            kept.setTimeoutTimestamp(max(next_at - 1, now, 1))  # it ends when the watermark is beyond it
+
+    return follow
+
+
+def kept_at(lines: list[str]) -> float:
+    """Time of the earliest of the events that wait."""
+    return min((int(line[1 : line.index(",")]) for line in lines), default=float("inf"))
 
 
 def in_event_order(events: DataFrame, key: str, id_: str, step: Step, rows: Rows, schema: str, late: str = "10 minutes") -> DataFrame:
     """The rows of each key's state, whenever it changes.
 
-    events: a stream with ``ts``, the key, an id that settles equal times, and whatever else ``step`` reads.
+    events: a stream with ``ts``, the key, an id that settles equal times, and whatever else ``step`` reads; those without a
+    time have no place and are left out.
     """
     spark: SparkSession = events.sparkSession
     spark.conf.set(*STORE)
     columns = [c.strip().split(" ")[0] for c in schema.split(",")]
     body = F.to_json(F.struct(*(c for c in events.columns if c not in ("ts", key))))
-    stream = events.withWatermark("ts", late).select(key, "ts", F.unix_millis("ts").alias("at"), F.col(id_).cast("bigint").alias("id"), body.alias("event"))
-    return stream.groupBy(key).transformWithStateInPandas(InOrder(step, rows, key, columns), schema, "Update", "eventTime")
+    line = F.format_string("[%d,%d,%s]", F.unix_millis("ts"), F.col(id_).cast("bigint"), body)
+    stream = events.filter("ts is not null").withWatermark("ts", late).select(key, "ts", F.unix_millis("ts").alias("at"), line.alias("event"))
+    return stream.groupBy(key).applyInPandasWithState(in_order(step, rows, key, columns), schema, KEPT, "Update", GroupStateTimeout.EventTimeTimeout)
