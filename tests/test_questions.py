@@ -1,12 +1,15 @@
 """The life of questions: rules on single events, and a stream of shuffled files against the sorted log."""
 
 import datetime
+import json
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from dossier.streaming import questions
 from dossier.streaming.events import event_stream, run
+from dossier.streaming.ordered import InOrder
 
 SCHEMA = "claim long, event_id long, ts timestamp, action string, requirement string, expected string, response string, reason string, document string, doc_type string"
 
@@ -55,3 +58,47 @@ def test_shuffled_arrival_gives_the_sorted_result(spark, tmp_path):
         states[e[0]] = questions.step(states.get(e[0], {}), dict(zip(SCHEMA.replace(" long", "").replace(" string", "").replace(" timestamp", "").split(", "), e, strict=True)))
     expected = {(c, r["requirement"]): (r["status"], r["n_refused"], r["n_mismatched"], r["document"]) for c, s in states.items() for r in questions.rows(s)}
     assert {(r.claim, r.requirement): tuple(r.r) for r in last} == expected
+
+
+class Handle:
+    """A key's state and timers, which counts the calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls, self.now = None, [], 0, 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now
+
+
+def test_a_key_asks_its_state_as_often_whatever_its_events(spark):
+    handle = Handle()
+    keyed = InOrder(lambda state, e: {"seen": [*state.get("seen", []), e["n"]]}, lambda state: [{"seen": state["seen"]}], "k", ["k", "seen"])
+    keyed.init(handle)
+    arrive = lambda *at: list(keyed.handleInputRows((1,), iter([Row(event=json.dumps([t, n, {"n": n}])) for n, t in enumerate(at)]), handle))
+    assert arrive(*range(1000, 0, -1)) == [] and handle.timers == [1] and handle.calls == 3
+    handle.now = 600
+    handle.timers.remove(1)
+    assert [r.seen for r in keyed.handleExpiredTimer((1,), handle, None)] == [list(range(999, 399, -1))]
+    assert handle.timers == [601] and handle.calls == 6
+    assert arrive(2000) == [] and handle.timers == [601] and arrive(600, 650) == [] and handle.timers == [600]
+    handle.now = 5000
+    handle.timers.clear()
+    assert [len(r.seen) for r in keyed.handleExpiredTimer((1,), handle, None)] == [1003] and handle.timers == [] and handle.value[:2] == (None, "")
