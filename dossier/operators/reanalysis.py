@@ -1,7 +1,9 @@
 """Incremental re-analysis: only keys whose inputs changed are computed again, and merged into the published result.
 
 A key's inputs are known by a fingerprint that does not depend on their order: the number of rows and the sum of their
-hashes, pre-aggregated.  The fingerprint is published with the result, in one version, so that both always fit.
+hashes.  The fingerprint is published with the result, in one version, so that both always fit.  Inputs are dealt out by
+key once: fingerprints, what has changed and an analysis that groups by the key need no other shuffle of them.  The
+inputs of one key are one task's rows, read as a stream.
 """
 
 from __future__ import annotations
@@ -15,18 +17,21 @@ from dossier.sources.publish import Published
 
 
 def fingerprints(inputs: DataFrame, key: str) -> DataFrame:
-    """key (as string), fingerprint."""
+    """key, fingerprint."""
     row = F.xxhash64(*(c for c in inputs.columns if c != key), *(F.col(c).isNull() for c in inputs.columns if c != key))
     other = F.hash(*(c for c in inputs.columns if c != key))
-    sums = inputs.groupBy(F.col(key).cast("string").alias(key)).agg(F.count("*").alias("n"), F.sum(row.cast("decimal(38,0)")).alias("s"), F.sum(other.cast("bigint")).alias("t"))
+    sums = inputs.groupBy(key).agg(F.count("*").alias("n"), F.sum(row.cast("decimal(38,0)")).alias("s"), F.sum(other.cast("bigint")).alias("t"))
     return sums.select(key, F.concat_ws(":", "n", "s", "t").alias("fingerprint"))
 
 
-def changed(inputs: DataFrame, store: Published) -> DataFrame:
-    """Keys whose inputs differ from those of the published result: key, fingerprint (null for keys without inputs now)."""
-    seen = store.current().select(store.key, F.get_json_object(store.payload, "$.fingerprint").alias("seen"))
-    both = fingerprints(inputs, store.key).join(seen, store.key, "full")
-    return both.filter(~F.col("fingerprint").eqNullSafe(F.col("seen"))).select(store.key, "fingerprint")
+def changed(inputs: DataFrame, store: Published, version: int) -> tuple[DataFrame, DataFrame]:
+    """Keys whose inputs differ from those of a published version, with their fingerprint; keys that have no inputs any more."""
+    now = fingerprints(inputs, store.key)
+    if not version:
+        return now, now.limit(0).select(store.key)
+    seen = store.current(version, [F.get_json_object(store.payload, "$.fingerprint").alias("seen")], inputs.schema[store.key].dataType).drop("version")
+    differs = now.join(seen, store.key, "left").filter(~F.col("fingerprint").eqNullSafe(F.col("seen"))).select(store.key, "fingerprint")
+    return differs, seen.join(now, store.key, "left_anti").select(store.key)
 
 
 def refresh(inputs: DataFrame, store: Published, analyse: Callable[[DataFrame], DataFrame]) -> int | None:
@@ -34,16 +39,20 @@ def refresh(inputs: DataFrame, store: Published, analyse: Callable[[DataFrame],
 
     ``analyse`` is given the inputs of changed keys only.  Keys that have no inputs any more are taken away.
     """
-    todo = changed(inputs, store)
-    some = inputs.join(todo.filter("fingerprint is not null").select(store.key), inputs[store.key].cast("string") == todo[store.key], "left_semi")
-    found = analyse(some)
+    base = max((v for v, _ in store.commits()), default=0)
+    dealt = inputs.repartition(store.key)
+    todo, gone = changed(dealt, store, base)
+    # nothing is published yet: all keys are new
+    found = analyse(dealt.join(todo.select(store.key), store.key, "left_semi") if base else dealt)
     result = F.struct(*(c for c in found.columns if c != store.key)).alias("result")
-    found = found.select(F.col(store.key).cast("string").alias(store.key), result)
-    payload = F.when(F.col("fingerprint").isNotNull(), F.to_json(F.struct("fingerprint", "result"), {"ignoreNullFields": "false"}))
-    return store.publish(todo.join(found, store.key, "left").select(store.key, payload.alias(store.payload)))
+    both = todo.join(found.select(store.key, result), store.key, "left")
+    payload = F.to_json(F.struct("fingerprint", "result"), {"ignoreNullFields": "false"})
+    now = both.select(store.key, payload.alias(store.payload)).unionByName(gone.withColumn(store.payload, F.lit(None).cast("string")))
+    # another fingerprint is another payload
+    return store.publish(now, differs_from=base)
 
 
 def result(store: Published, schema: str) -> DataFrame:
     """key and the fields of the published result."""
-    parsed = F.from_json(store.payload, f"fingerprint string, result struct<{schema}>")
-    return store.current().select(store.key, parsed.alias("p")).select(store.key, "p.result.*")
+    parsed = F.from_json(store.payload, f"fingerprint string, result struct<{schema}>")["result"]
+    return store.current(show=[parsed.alias("result")]).select(store.key, "result.*")

@@ -13,8 +13,9 @@ from __future__ import annotations
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from dossier.sources.files import problems
 
@@ -89,24 +90,34 @@ class Published:
         rows = self.spark.read.parquet(*(f"{self.path}/data/{b}" for _, b in known))
         return rows.join(F.broadcast(self.spark.createDataFrame([(b, v) for v, b in known], "batch string, version bigint")), "batch")
 
-    def current(self, upto: int | None = None) -> DataFrame:
-        """Of each key the row published last: key, payload, content_hash, version; keys that were taken away are left out."""
-        last = F.max_by(F.struct(self.payload, "content_hash", "version"), "version").alias("r")
-        return self.versions(upto).groupBy(self.key).agg(last).select(self.key, "r.*").filter(F.col(self.payload).isNotNull())
+    def current(self, upto: int | None = None, show: list[Column] | None = None, key_as: DataType | None = None) -> DataFrame:
+        """Of each key the row published last: key, payload, content_hash, version; keys that were taken away are left out.
 
-    def publish(self, now: DataFrame, attempts: int = ATTEMPTS, before_commit=None) -> int | None:
+        ``show``: columns instead of payload and content_hash, made before rows are dealt out by key; ``key_as``: type of the key.
+        """
+        rows = self.versions(upto)
+        if key_as is not None:
+            rows = rows.withColumn(self.key, F.col(self.key).cast(key_as))
+        shown = [F.col(self.payload), F.col("content_hash")] if show is None else show
+        last = F.max_by(F.struct(*shown, "version", F.col(self.payload).isNotNull().alias("held")), "version").alias("r")
+        return rows.groupBy(self.key).agg(last).select(self.key, "r.*").filter("held").drop("held")
+
+    def publish(self, now: DataFrame, attempts: int = ATTEMPTS, before_commit=None, differs_from: int | None = None) -> int | None:
         """Publishes the rows (key, payload) that differ from the last version; the version, or None if nothing differs.
 
+        ``differs_from``: a version from which all rows are known to differ; while it is the last, they are not compared.
         ``before_commit`` is called between writing and committing (for tests of writers that meet).
         """
         hashed = now.select(F.col(self.key).cast("string").alias(self.key), F.col(self.payload), F.sha2(F.coalesce(self.payload, F.lit("")).cast("binary"), 256).alias("content_hash"))
         for _ in range(attempts):
             base = max((v for v, _ in self.commits()), default=0)
-            old = self.current(base).select(self.key, F.col("content_hash").alias("old_hash"))
-            changed = hashed.join(old, self.key, "left").filter("old_hash is null or old_hash <> content_hash").filter(F.col(self.payload).isNotNull() | F.col("old_hash").isNotNull())
+            changed = hashed
+            if base != differs_from:
+                old = self.current(base, [F.col("content_hash").alias("old_hash")]).drop("version")
+                changed = hashed.join(old, self.key, "left").filter("old_hash is null or old_hash <> content_hash").filter(F.col(self.payload).isNotNull() | F.col("old_hash").isNotNull()).drop("old_hash")
             batch = uuid.uuid4().hex
             folder = f"data/{batch}"
-            changed.drop("old_hash").withColumn("batch", F.lit(batch)).write.parquet(f"{self.path}/{folder}")
+            changed.withColumn("batch", F.lit(batch)).write.parquet(f"{self.path}/{folder}")
             if self.spark.read.parquet(f"{self.path}/{folder}").isEmpty():
                 self.fs.delete(self._place(folder), True)
                 return None

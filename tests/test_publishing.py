@@ -97,3 +97,32 @@ def test_only_changed_keys_are_computed(spark, tmp_path):
     assert run([(1, 1, "a"), (1, 2, "z"), (2, 5, "b"), (4, 1, None)]) == (2, {1: (3, "z"), 2: (5, "b"), 4: (1, None)})
     assert given == [{1, 2, 3}, set(), {1, 4}]
     assert run([]) == (3, {})
+
+
+def test_inputs_are_dealt_out_by_key_once(spark, tmp_path):
+    store, plans = Published(spark, str(tmp_path / "t"), "k", "v"), []
+
+    def analyse(inputs):
+        found = inputs.groupBy("k").agg(F.sum("n").alias("s"))
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    spark.range(100).selectExpr("id % 9 AS k", "id AS n").write.parquet(str(tmp_path / "in"))
+    inputs = spark.read.parquet(str(tmp_path / "in"))
+    with_broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert reanalysis.refresh(inputs.filter("n < 90"), store, analyse) == 1 and reanalysis.refresh(inputs, store, analyse) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_broadcast)
+    # the inputs for their fingerprints and for the analysis, and what was seen: nothing is dealt out again to meet or to be grouped
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1, 3]
+    assert {int(r.k): r.s for r in reanalysis.result(store, "s bigint").collect()} == {k: sum(range(k, 100, 9)) for k in range(9)}
+
+
+def test_rows_known_to_differ_are_compared_again_after_another_writer(spark, tmp_path):
+    store, other = (Published(spark, str(tmp_path / "t"), "k", "v") for _ in range(2))
+    assert store.publish(rows(spark, a="1", b="2"), differs_from=0) == 1
+    first = iter([True])
+    version = store.publish(rows(spark, a="3", b="4"), before_commit=lambda: next(first, False) and other.publish(rows(spark, a="3")), differs_from=1)
+    assert version == 3 and seen(store) == {"a": ("3", 2), "b": ("4", 3)}
