@@ -65,10 +65,8 @@ def is_amount(value: Column) -> Column:
 
 def indian(value: Column) -> Column:
     """1,14,360.00."""
-    whole = F.split_part(value.cast(MONEY).cast("string"), F.lit("."), F.lit(1))
-    fraction = F.split_part(value.cast(MONEY).cast("string"), F.lit("."), F.lit(2))
-    grouped = F.regexp_replace(whole, r"(?<=\d)(?=(\d\d)*\d{3}$)", ",")
-    return F.concat(grouped, F.lit("."), fraction)
+    # money has two decimals: a comma goes before three digits and a point, and before each two digits to the left of it
+    return F.regexp_replace(value.cast(MONEY).cast("string"), r"(?<=\d)(?=(\d\d)*\d{3}\.)", ",")
 
 
 def cents(value: Column) -> Column:

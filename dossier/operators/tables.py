@@ -5,18 +5,20 @@ whose cells name a serial number, a description and an amount is a header, and e
 it is printed over.  Below it, a cell belongs to the column that it shares most width with, else to the nearest; numbers
 go to columns of numbers and text to columns of text, so a description may be wider than its header.
 
-Words are sorted by page and line once; their cells are cut as a stream in Arrow batches (numpy), a line is then a row with its
-cells, and only the header in force is looked up, over the lines of a page.  Totals are reduced by partial aggregates per document.
+Only the words are ever dealt out, by document.  The words of a page are then read as a stream in Arrow batches (numpy): sorted by
+line and place, cut into cells, put under the header in force.  A line leaves it as a row of its values, and lines stay in the order
+of their documents, so nothing is shuffled or sorted again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.values import MONEY, amount, indian
@@ -47,6 +49,12 @@ WIDER, USUAL, NEAR, LEAST = 2.5, 2.5, 20.0, 5.0
 SLACK = 6.0
 AMOUNTS = "|".join(BEGINS["amount"])
 SERIAL_NUMBER = r"^[0-9]{1,3}\.?$"
+#: Columns of a table; a header has each at most once.
+COLUMNS = ("serial", *WITHIN, *BEGINS)
+OF_NUMBERS, OF_TEXT = (np.array([c in NUMBERS for c in COLUMNS]), np.array([c not in (*NUMBERS, "serial") for c in COLUMNS]))
+KINDS = ("header", "row", "total", "note", "other")
+#: Words that are read at once, at least (whole pages).
+AT_ONCE = 50_000
 
 
 def number_pattern(leading: int, places: int) -> str:
@@ -69,21 +77,34 @@ def _joined(texts: pa.Array, starts: np.ndarray, by: str) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, len(texts)), pa.int32()), texts), by)
 
 
-def _cells(texts: pa.Array, left: np.ndarray, right: np.ndarray, begins: np.ndarray, line: np.ndarray, n: int) -> pa.Array:
-    """Cells of each of n lines, from the words that begin one."""
+class Cells(NamedTuple):
+    """Cells in order of line and place; line counts from 0, right is the last word's, reach the furthest."""
+
+    line: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    reach: np.ndarray
+    text: pa.Array
+
+    def some(self, keep: np.ndarray) -> Cells:
+        return Cells(*(c[keep] for c in self[:4]), self.text.filter(pa.array(keep)))
+
+
+def _cells(texts: pa.Array, left: np.ndarray, right: np.ndarray, begins: np.ndarray, line: np.ndarray) -> Cells:
+    """Cells from the words that begin one."""
     starts = np.flatnonzero(begins)
     ends = np.append(starts, len(left))[1:] - 1
     reach = np.maximum.reduceat(right, starts) if len(starts) else right[:0]
-    said = _joined(texts, starts, " ")
-    # a header says one of the words for its amounts; cells of other lines are not named
-    may = np.zeros(n, bool)
-    may[line[starts][pc.match_substring_regex(said, AMOUNTS, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)]] = True
-    asked = np.flatnonzero(may[line[starts]])
-    given = np.full(len(starts), -1)
-    given[asked] = np.arange(len(asked))
-    names = column_names(said.take(pa.array(asked))).take(pa.array(given, mask=given < 0))
-    cells = pa.StructArray.from_arrays([pa.array(left[starts]), pa.array(right[ends]), pa.array(reach), said, names], ["left", "right", "reach", "text", "name"])
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(line[starts], minlength=n))), pa.int32()), cells)
+    return Cells(line[starts], left[starts], right[ends], reach, _joined(texts, starts, " "))
+
+
+class Headers(NamedTuple):
+    """Headers of tables: their line, the right edge of the serial's cell, and columns of numbers and of text (header x place: name, left, right; name -1 for none)."""
+
+    line: np.ndarray
+    serial: np.ndarray
+    numbers: tuple[np.ndarray, np.ndarray, np.ndarray]
+    texts: tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def column_names(texts: pa.Array) -> pa.Array:
@@ -99,125 +120,214 @@ def column_names(texts: pa.Array) -> pa.Array:
     return found
 
 
-def lines_of(words: DataFrame) -> DataFrame:
-    """Lines with their words grouped into cells: doc, page, line, n_words, text, label (all but the last word), first,
-    first_right, last, raw, cells, and rest, the cells without the first word of a line that begins with a serial number.
-
-    Words partitioned by doc, or by doc and page, are not shuffled.  They are sorted once and read as a stream.
-    """
-    order = Window.partitionBy("doc", "page").orderBy("line", "left", "right", "text")
-    placed = words.select("doc", "page", "line", F.col("left").cast("double").alias("left"), F.col("right").cast("double").alias("right"), "text").withColumn("before", F.lag("right").over(order))
-    types = {f.name: f.dataType.simpleString() for f in placed.schema}
-
-    def read(rows: pa.Table, begins_line: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(begins_line)
-        n, line = len(starts), np.cumsum(begins_line) - 1
-        left, right, before = (rows[c].to_numpy(zero_copy_only=False).astype(float) for c in ("left", "right", "before"))
-        texts = rows["text"].combine_chunks()
-        gap = np.where(begins_line, np.nan, left - before)
-        near = (gap > 0) & (gap < NEAR)
-        cells = _cells(texts, left, right, ~(gap <= _widest(line, gap, near, n)[line]), line, n)
-        first, ends = texts.take(pa.array(starts)), np.append(starts, len(left))[1:] - 1
-        numbered = pc.match_substring_regex(first, SERIAL_NUMBER).fill_null(False).to_numpy(zero_copy_only=False)
-        second = np.append(False, begins_line[:-1]) & ~begins_line
-        rest = np.flatnonzero(numbered[line] & ~begins_line)
-        wide = _widest(line[rest], gap[rest], (near & ~second)[rest], n)[line[rest]]
-        rest_cells = _cells(texts.take(pa.array(rest)), left[rest], right[rest], second[rest] | ~(gap[rest] <= wide), line[rest], n)
-        kept = np.ones(len(left), bool)
-        kept[ends] = False
-        label = _joined(texts.filter(pa.array(kept)), starts - np.arange(n), " ")
-        said = cells.flatten().field("text")
-        named = pc.match_substring_regex(_joined(texts, starts, " "), AMOUNTS, ignore_case=True).fill_null(False)
-        raw = pc.binary_join(pa.ListArray.from_arrays(cells.offsets, said), " · ")
-        keys = [rows[c].combine_chunks().take(pa.array(starts)) for c in ("doc", "page", "line")]
-        columns = [*keys, pa.array(ends - starts + 1, pa.int32()), _joined(texts, starts, " "), label, first, pa.array(right[starts]), texts.take(pa.array(ends)), raw, named, cells, rest_cells]
-        return pa.RecordBatch.from_arrays(columns, names=["doc", "page", "line", "n_words", "text", "label", "first", "first_right", "last", "raw", "named", "cells", "rest"])
-
-    def differs(column: pa.Array) -> np.ndarray:
+def headers(cells: Cells, said: pa.Array) -> Headers:
+    """The lines (with what they say) that are headers: three cells at least, their names begin with a serial number, hold a description and an amount and none twice."""
+    # a header says one of the words for its amounts; cells of other lines are not named
+    may = pc.match_substring_regex(said, AMOUNTS, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False) & (np.bincount(cells.line, minlength=len(said)) >= 3)
+    asked = cells.some(may[cells.line])
+    name = pc.index_in(column_names(asked.text), pa.array(COLUMNS)).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    lines, at = np.unique(asked.line, return_inverse=True)
+    known = np.flatnonzero(name >= 0)
+    times = np.bincount(at[known] * len(COLUMNS) + name[known], minlength=len(lines) * len(COLUMNS)).reshape(-1, len(COLUMNS))
+    first = np.full(len(lines), -1)
+    first[at[known][::-1]] = name[known][::-1]
+    serial, description, amounts = (COLUMNS.index(c) for c in ("serial", "description", "amount"))
+    whole = (first == serial) & (times[:, description] == 1) & (times[:, amounts] == 1) & (times.max(axis=1, initial=0) == 1)
+    kept = np.flatnonzero(whole)
+    header = np.full(len(lines), -1)
+    header[kept] = np.arange(len(kept))
+    of = header[at]
+
+    def columns(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        here = np.flatnonzero((of >= 0) & (name >= 0) & kind[name])
+        place = np.arange(len(here)) - np.searchsorted(of[here], of[here])
+        found = np.full((len(kept), kind.sum()), -1), *(np.full((len(kept), kind.sum()), np.nan) for _ in range(2))
+        for into, values in zip(found, (name, asked.left, asked.reach), strict=True):
+            into[of[here], place] = values[here]
+        return found
+
+    edge = np.zeros(len(kept))
+    here = np.flatnonzero((of >= 0) & (name == serial))
+    edge[of[here]] = asked.reach[here]
+    return Headers(lines[kept], edge, columns(OF_NUMBERS), columns(OF_TEXT))
+
+
+def columns_of(cells: Cells, header: np.ndarray, known: Headers) -> np.ndarray:
+    """The column (of COLUMNS) that each cell belongs to under its header: the one it shares most width with, else the nearest; the first of equals."""
+
+    def best(some: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+        name, left, right = (c[header] for c in some)
+        shared = np.maximum(np.minimum(cells.right[:, None], right) - np.maximum(cells.left[:, None], left), 0.0)
+        away = np.where(shared > 0, 0.0, np.maximum(np.maximum(left - x[:, None], x[:, None] - right), 0.0))
+        shared, away = np.where(name >= 0, shared, -1.0), np.where(name >= 0, away, np.inf)
+        found, most, least = name[:, 0], shared[:, 0], away[:, 0]
+        for k in range(1, name.shape[1]):
+            better = (shared[:, k] > most) | ((shared[:, k] == most) & (away[:, k] < least))
+            found, most, least = np.where(better, name[:, k], found), np.where(better, shared[:, k], most), np.where(better, away[:, k], least)
+        return found
+
+    numeric = pc.match_substring_regex(cells.text, number_pattern(4, 3)).fill_null(False).to_numpy(zero_copy_only=False)
+    return np.where(numeric, best(known.numbers, (cells.left + cells.right) / 2), best(known.texts, cells.left))
+
+
+def _differs(rows: pa.Table, *names: str) -> np.ndarray:
+    """For each row after the first: whether it differs from the one before; nulls are equal."""
+
+    def one(column: pa.Array) -> np.ndarray:
         a, b = column.slice(1), column.slice(0, len(column) - 1)
-        other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        other = pc.not_equal(a, b)
+        if column.null_count:
+            other = pc.or_(pc.fill_null(other, False), pc.xor(pc.is_null(a), pc.is_null(b)))
         return other.to_numpy(zero_copy_only=False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # words of lines that may go on
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
-            begins = np.ones(len(rows), bool)
-            if len(rows) > 1:
-                begins[1:] = np.logical_or.reduce([differs(rows[c].combine_chunks()) for c in ("doc", "page", "line")])
-            last = int(np.flatnonzero(begins)[-1])
-            held = rows.slice(last)
-            if last:
-                yield read(rows.slice(0, last), begins[:last])
-        if held is not None:
-            yield read(held, np.arange(len(held)) == 0)
-
-    cell = "array<struct<left:double,right:double,reach:double,text:string,name:string>>"
-    return placed.mapInArrow(
-        run, f"doc {types['doc']}, page {types['page']}, line {types['line']}, n_words int, text string, label string, first string, first_right double, last string, raw string, named boolean, cells {cell}, rest {cell}"
-    )
-
+    return np.logical_or.reduce([one(rows[c].combine_chunks()) for c in names])
+
+
+def _in_order(rows: pa.Table, page: np.ndarray) -> pa.Table:
+    """Words of pages (numbered) by line, left, right and text."""
+    if not rows["line"].null_count and pa.types.is_integer(rows["line"].type):
+        sorts = np.zeros(max(len(rows) - 1, 0), bool)
+        for column in (rows["text"], *(rows[c].to_numpy() for c in ("right", "left", "line")), page)[1:]:
+            sorts = (column[1:] > column[:-1]) | ((column[1:] == column[:-1]) & sorts)
+        if sorts.all():
+            return rows
+    keys = [(c, "ascending") for c in ("_page", "line", "left", "right", "text")]
+    return rows.take(pc.sort_indices(rows.append_column("_page", pa.array(page)), keys, null_placement="at_start"))
+
+
+def _read(rows: pa.Table, kinds: tuple[str, ...] = KINDS) -> pa.RecordBatch:
+    """The lines of whole pages, whose words stand together; those that can be of no kind asked for may be left out."""
+    page = np.cumsum(np.r_[True, _differs(rows, "doc", "page")]) - 1
+    rows = _in_order(rows, page).combine_chunks()
+    begins_page = np.r_[True, np.diff(page) > 0]
+    begins_line = begins_page | np.r_[True, _differs(rows, "line")]
+    starts = np.flatnonzero(begins_line)
+    n, line = len(starts), np.cumsum(begins_line) - 1
+    left, right = (rows[c].to_numpy(zero_copy_only=False).astype(float) for c in ("left", "right"))
+    texts = rows["text"].combine_chunks()
+    gap = left - np.r_[np.nan, right[:-1]]
+    gap[starts] = np.nan
+    near = (gap > 0) & (gap < NEAR)
+    cells = _cells(texts, left, right, ~(gap <= _widest(line, gap, near, n)[line]), line)
+    first, ends = texts.take(pa.array(starts)), np.append(starts, len(left))[1:] - 1
+
+    # the header in force: the last one of the page, up to the line itself
+    said_lines = _joined(texts, starts, " ")
+    known = headers(cells, said_lines)
+    own = np.full(n, -1)
+    own[known.line] = np.arange(len(known.line))
+    since = np.maximum.accumulate(np.where(own >= 0, np.arange(n), -1))
+    begun = np.maximum.accumulate(np.where(begins_page[starts], np.arange(n), 0))
+    header = np.where(since >= begun, own[since], -1)
+    under = header >= 0
+
+    numbered = pc.match_substring_regex(first, SERIAL_NUMBER).fill_null(False).to_numpy(zero_copy_only=False)
+    apart = numbered & under
+    apart[apart] = right[starts][apart] <= known.serial[header[apart]] + SLACK
+    below = numbered & under & (own < 0)
+    # a line whose serial number stands apart is cut into cells without it
+    second = np.append(False, begins_line[:-1]) & ~begins_line
+    rest = np.flatnonzero((below & apart)[line] & ~begins_line)
+    wide = _widest(line[rest], gap[rest], (near & ~second)[rest], n)[line[rest]]
+    rest_cells = _cells(texts.take(pa.array(rest)), left[rest], right[rest], second[rest] | ~(gap[rest] <= wide), line[rest])
+    values = {}
+    placed = [(c, columns_of(c, header[c.line], known)) for c in (rest_cells, cells.some((below & ~apart)[cells.line]))]
+    of = np.concatenate([c.line * len(COLUMNS) + name for c, name in placed])
+    order = np.argsort(of, kind="stable")
+    of = of[order]
+    groups = np.flatnonzero(np.r_[True, np.diff(of) > 0]) if len(of) else of
+    said = _joined(pa.concat_arrays([c.text for c, _ in placed]).take(pa.array(order)), groups, " ")
+    full = pc.not_equal(said, "").fill_null(False).to_numpy(zero_copy_only=False)  # a column with nothing in it has no value
+    for k, name in enumerate(COLUMNS[1:], 1):
+        at = np.full(n, -1)
+        here = np.flatnonzero((of[groups] % len(COLUMNS) == k) & full)
+        at[of[groups][here] // len(COLUMNS)] = here
+        values[name] = said.take(pa.array(at, mask=at < 0))
+
+    kept = np.ones(len(left), bool)
+    kept[ends] = False
+    counts = np.bincount(cells.line, minlength=n)
+    label = _joined(texts.filter(pa.array(kept)), starts - np.arange(n), " ")
+    labelled = (own < 0) & (ends > starts) & (counts >= 2)
+    raw = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), cells.text), " · ")
+    serial = pc.utf8_rtrim(first.filter(pa.array(apart)), ".").cast(pa.int64())
+    number = np.full(n, -1)
+    number[apart] = np.arange(apart.sum())
+    none = pa.scalar(None, pa.string())
+    found = {
+        **{c: rows[c].combine_chunks().take(pa.array(starts)) for c in ("doc", "page", "line")}, "text": said_lines, "raw": raw, "header": pa.array(own >= 0),
+        "label": pc.if_else(pa.array(labelled), label, none), "last": texts.take(pa.array(ends)), "line_no": serial.take(pa.array(number, mask=number < 0)), **values,
+    }
+    lines = pa.RecordBatch.from_arrays(list(found.values()), names=list(found))
+    if "header" in kinds or "other" in kinds:
+        return lines
+    may = np.zeros(n, bool)
+    if "row" in kinds:
+        may |= pc.and_(pc.is_valid(found["description"]), pc.is_valid(found["amount"])).to_numpy(zero_copy_only=False)
+    if "total" in kinds or "note" in kinds:
+        begins_total = f"^({'|'.join(said for some in TOTALS.values() for said in some)})"
+        may |= pc.match_substring_regex(pc.utf8_lower(found["label"]), begins_total).fill_null(False).to_numpy(zero_copy_only=False)
+    return lines.filter(pa.array(may))
 
-def header(named: Column, line_cells: Column) -> Column:
-    """Columns of a header line, if its cells are ``named`` at all: serial's right edge, those of numbers and of text (name, left, right); null for other lines."""
-    names = line_cells["name"]
-    some = lambda keep: F.transform(F.filter(line_cells, keep), lambda c: F.struct(c["name"].alias("name"), c["left"].alias("left"), c["reach"].alias("right")))
-    known = F.array_compact(names)
-    whole = (F.get(known, F.lit(0)) == "serial") & F.array_contains(known, "description") & (F.size(F.array_distinct(known)) == F.size(known))
-    found = F.struct(
-        F.get(F.filter(line_cells, lambda c: c["name"] == "serial"), F.lit(0))["reach"].alias("right"),
-        some(lambda c: c["name"].isin(*NUMBERS)).alias("numbers"), some(lambda c: c["name"].isNotNull() & ~c["name"].isin(*NUMBERS, "serial")).alias("texts"),
-    )
-    return F.when(named & (F.size(line_cells) >= 3) & F.array_contains(known, "amount") & whole, found)
 
+def lines_of(words: DataFrame, laid_out: Callable[[pa.Table], pa.Table] | None = None, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Lines read by place: doc, page, line, text, raw, whether it is a header, label (all but the last word of a line of two cells), last word, line_no,
+    and of a line under a header that begins with a serial number the texts of its columns.
 
-def column_of(cell: Column, columns: Column) -> Column:
-    """The name of the column that a cell belongs to: the one it shares most width with, else the nearest; null if the header has none of its kind."""
-    numeric = (F.size(columns["numbers"]) > 0) & cell["text"].rlike(number_pattern(4, 3))
+    Words of a page stand together in their partition; one page is held by one task.  ``laid_out`` makes words (with a line
+    of type bigint) of whatever rows of doc and page are given, in Arrow; a line that can be of none of ``kinds`` may be left out.
+    """
+    if laid_out is None:
+        words = words.select("doc", "page", "line", F.col("left").cast("double").alias("left"), F.col("right").cast("double").alias("right"), "text")
+    types, at_once = {"line": "bigint", **{f.name: f.dataType.simpleString() for f in words.schema}}, AT_ONCE
 
-    def best(some: Column, x: Column) -> Column:
-        shared = lambda c: F.greatest(F.least(cell["right"], c["right"]) - F.greatest(cell["left"], c["left"]), F.lit(0.0))
-        away = lambda c: F.greatest(c["left"] - x, x - c["right"], F.lit(0.0))
-        key = lambda c, i: F.struct(shared(c).alias("shared"), F.when(shared(c) > 0, 0.0).otherwise(-away(c)).alias("near"), (-i).alias("first"), c["name"].alias("name"))
-        return F.array_max(F.transform(some, key))["name"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pa.Table.from_batches([batch])
+            if laid_out is not None and not len(rows := laid_out(rows)):
+                continue
+            cuts = np.flatnonzero(_differs(pa.concat_tables([held[-1].slice(len(held[-1]) - 1), rows]), "doc", "page")) if held else np.flatnonzero(_differs(rows, "doc", "page")) + 1
+            if size + len(rows) >= at_once and len(cuts):
+                if size + cuts[-1]:
+                    yield _read(pa.concat_tables([*held, rows.slice(0, cuts[-1])]).combine_chunks(), kinds)
+                held, size, rows = [], 0, rows.slice(cuts[-1])
+            held, size = [*held, rows], size + len(rows)
+        if held:
+            yield _read(pa.concat_tables(held).combine_chunks(), kinds)
 
-    return F.when(numeric, best(columns["numbers"], (cell["left"] + cell["right"]) / 2)).otherwise(best(columns["texts"], cell["left"]))
+    columns = ", ".join(f"{c} {types[c]}" for c in ("doc", "page", "line"))
+    return words.mapInArrow(run, f"{columns}, text string, raw string, header boolean, label string, last string, line_no bigint, " + ", ".join(f"{c} string" for c in COLUMNS[1:]))
 
 
-def read_lines(words: DataFrame) -> DataFrame:
+def read_lines(words: DataFrame, together: bool = False, laid_out: Callable[[pa.Table], pa.Table] | None = None, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """Every line with what it is: doc, page, line, text, kind (header, row, total, note or other) and its values.
 
-    Words that are partitioned by doc, or by doc and page, are not shuffled; the lines and the header in force use that order.
+    ``together``: the words of a document stand together in one partition, page by page, and are not dealt out again; so do
+    its lines then.  ``laid_out`` and ``kinds`` as of ``lines_of``.
     """
-    lines = lines_of(words).withColumn("own_header", header(F.col("named"), F.col("cells")))
-    before = Window.partitionBy("doc", "page").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("columns", F.last("own_header", ignorenulls=True).over(before))
-    numbered = F.col("first").rlike(SERIAL_NUMBER)
-    lines = lines.withColumn("apart", numbered & (F.col("first_right") <= F.col("columns.right") + SLACK))
-    below = F.col("own_header").isNull() & F.col("columns").isNotNull() & numbered
-    row_cells = F.when(below, F.when(F.col("apart"), F.col("rest")).otherwise(F.col("cells")))
-    placed = F.transform("row_cells", lambda c: F.struct(column_of(c, F.col("columns")).alias("name"), c["text"].alias("text")))
-    lines = lines.withColumn("row_cells", row_cells).withColumn("placed", placed)
-    part = lambda name: F.nullif(F.array_join(F.filter("placed", lambda c: c["name"] == name)["text"], " "), F.lit(""))
-    lines = lines.withColumns({c: part(c) for c in ("description", "quantity", "batch", "expiry", "rate", "amount")})
-    read = lines.withColumns({f"{c}_value": amount(F.col(c)).cast(MONEY) for c in ("rate", "amount")})
+    if not together:
+        words = words.repartition("doc").sortWithinPartitions("doc", "page")
+    # most lines lack these: what is null is not read at all
+    money = lambda c: F.when(F.col(c).isNotNull(), amount(F.col(c)).cast(MONEY))
+    read = lines_of(words, laid_out, kinds)
+    read = read.withColumns({f"{c}_value": money(c) for c in ("rate", "amount")})
     row = F.col("description").isNotNull() & F.col("amount_value").isNotNull()
-    labelled = (F.col("n_words") >= 2) & (F.size("cells") >= 2) & F.col("own_header").isNull() & ~row
-    read = read.withColumn("label", F.when(labelled, F.lower("label")))
+    read = read.withColumn("label", F.when(~row, F.lower("label")))
     total = None
     for name, some in TOTALS.items():
         hit = F.col("label").rlike(f"^({'|'.join(some)})")
         total = F.when(hit, name) if total is None else total.when(hit, name)
     read = read.withColumn("total", total)
     read = read.withColumn("total_text", F.when(F.col("total").isNotNull() & F.col("last").rlike(number_pattern(3, 2)), F.col("last")))
-    read = read.withColumn("total_amount", amount(F.col("total_text")).cast(MONEY))
-    kind = F.when(F.col("own_header").isNotNull(), "header").when(row, "row").when(F.col("total").isNull(), "other").when(F.col("total_amount").isNull(), "note").otherwise("total")
+    read = read.withColumn("total_amount", money("total_text"))
+    kind = F.when(F.col("header"), "header").when(row, "row").when(F.col("total").isNull(), "other").when(F.col("total_amount").isNull(), "note").otherwise("total")
     # kind is generated, so that a filter on it does not reckon all of this again below
     read = read.withColumn("kind", F.explode(F.array(kind)))
     return read.select(
-        "doc", "page", "line", "text", "raw", F.when(F.col("apart"), F.regexp_extract("first", "^[0-9]+", 0).cast("long")).alias("line_no"), "description", "quantity", "batch", "expiry",
+        "doc", "page", "line", "text", "raw", "line_no", "description", "quantity", "batch", "expiry",
         F.col("rate_value").alias("rate"), F.col("amount_value").alias("amount"), "total", "total_amount", "kind",
     )
 

@@ -121,3 +121,58 @@ def test_items_are_printed_once_and_words_shuffled_once(spark, sf):
 
     plan = paper.bill_table_rows(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Union" not in plan and plan.count("Exchange hashpartitioning(") <= 2
+
+
+@pytest.mark.parametrize("name, dealt", [("bill_table_notes", 2)])
+def test_lines_of_bills_are_not_dealt_out_or_sorted(spark, sf, name, dealt):
+    from dossier.plans import registry
+
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    # items by order; the few notes once more, to be distinct
+    assert plan.count("Exchange hashpartitioning(") == dealt and sum("Sort [" in line for line in plan.splitlines()) == 1 and "SortAggregate" not in plan
+
+
+def test_words_laid_out_are_the_words_printed(spark, sf):
+    from dossier.plans import paper
+
+    found = paper.laid_out(paper.printed_phrases(spark, sf).toArrow())
+    assert sorted(map(str, found.to_pylist())) == sorted(str(r.asDict()) for r in paper.printed_bills(spark, sf).collect())
+
+
+def test_many_items_are_dealt_out_more_widely(spark, sf, monkeypatch):
+    from dossier.plans import paper
+
+    before = sorted(map(str, paper.bill_table_fields(spark, sf).collect()))
+    monkeypatch.setattr(paper, "AT_ONCE", 500)
+    found = paper.bill_table_fields(spark, sf)
+    assert "Exchange hashpartitioning(l_orderkey" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "REPARTITION_BY_NUM" in plan
+    assert sorted(map(str, found.collect())) == before
+
+
+def test_lines_and_fields_do_not_depend_on_pieces(spark, monkeypatch):
+    rng, rows = random.Random(3), []
+    for doc in (*range(40), None):
+        for page in (1, 2):
+            rows += words(doc, page, 0, *HEAD)
+            for line in range(1, rng.randint(2, 5)):
+                rows += words(doc, page, line, (20, f"{line}"), (60, rng.choice(("Gauze", "clips of titanium", ""))), (rng.choice((200, 300)), "7"), (425, rng.choice(("5.00", "no"))))
+            rows += words(doc, page, 7, (60, rng.choice(("Sub Total", "Grand Total", "GST", "thanks"))), (425, rng.choice(("8.00", "nil"))))
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc long, page long, line long, left double, right double, text string")
+    together = frame.repartition(3, "doc").sortWithinPartitions("doc", "page")
+
+    def found(given, **how):
+        read = tables.read_lines(given, **how)
+        return [sorted(map(str, f.collect())) for f in (read, tables.bill_rows(read), tables.bill_notes(read), tables.bill_fields(read))]
+
+    whole = found(frame)
+    assert len(whole[1]) > 40 and len(whole[2]) > 5 and any("billing.total" in f and "Sub Total" in f for f in whole[3])
+    monkeypatch.setattr(tables, "AT_ONCE", 1)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert found(frame) == whole and found(together, together=True) == whole
+        for of, kinds in ((1, ("row",)), (2, ("note",)), (3, ("row", "total"))):
+            assert found(together, together=True, kinds=kinds)[of] == whole[of]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
