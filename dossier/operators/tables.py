@@ -7,7 +7,7 @@ go to columns of numbers and text to columns of text, so a description may be wi
 
 Only the words are ever dealt out, by document.  The words of a page are then read as a stream in Arrow batches (numpy): sorted by
 line and place, cut into cells, put under the header in force.  A line leaves it as a row of its values, and lines stay in the order
-of their documents, so nothing is shuffled or sorted again.
+of their documents, so the fields of a document are reduced as a stream too; nothing is shuffled or sorted again.
 """
 
 from __future__ import annotations
@@ -351,21 +351,61 @@ def bill_notes(read: DataFrame) -> DataFrame:
     return read.filter("kind = 'note'").select("doc", F.substring("text", 1, 120).alias("note")).distinct()
 
 
-def bill_fields(read: DataFrame) -> DataFrame:
+def _firsts(lines: pa.Table) -> pa.Table:
+    """Of each run of one document's lines, the first of each name by page and line, with the sum of their n."""
+    run = pa.array(np.cumsum(np.r_[True, _differs(lines, "doc")]) - 1)
+    order = pc.sort_indices(lines.append_column("_run", run), [(c, "ascending") for c in ("_run", "name", "page", "line")], null_placement="at_start")
+    lines, run = lines.take(order), run.take(order)
+    starts = np.flatnonzero(np.r_[True, _differs(pa.table({"run": run, "name": lines["name"]}), "run", "name")])
+    n = np.add.reduceat(lines["n"].to_numpy(), starts)
+    found = lines.take(pa.array(starts))
+    return found.set_column(found.schema.get_field_index("n"), "n", pa.array(n))
+
+
+def _with_total(firsts: pa.Table) -> pa.Table:
+    """Whole documents without a total take their subtotal."""
+    run = np.cumsum(np.r_[True, _differs(firsts, "doc")]) - 1
+    name = firsts["name"].to_numpy(zero_copy_only=False)
+    lacks = ~np.isin(run, run[name == "total"]) & (name == "subtotal")
+    taken = firsts.filter(pa.array(lacks))
+    return pa.concat_tables([firsts, taken.set_column(taken.schema.get_field_index("name"), "name", pa.array(["total"] * len(taken), pa.string()))])
+
+
+def bill_fields(read: DataFrame, together: bool = False) -> DataFrame:
     """Totals and the number of rows as extracted fields: doc, key, label, kind, value, display, page, line, snippet.
 
-    The lines are read once: every field of a document is a partial aggregate over them.
+    The lines are read once, as a stream in which a task holds one line for each field of a document.  ``together``: the lines
+    of a document stand together in one partition and are not dealt out again.
     """
-    first = lambda hit, cut: F.min_by(F.when(hit, F.struct(F.col("total_amount").alias("amount"), "page", "line", F.substring("raw", 1, cut).alias("snippet"))), F.when(hit, F.struct("page", "line")))
     is_row = F.col("kind") == "row"
-    found = read.filter("kind in ('row', 'total')").groupBy("doc").agg(
-        F.count(F.when(is_row, 1)).cast("string").alias("n"), first(is_row, 200).alias("row"), *(first((F.col("kind") == "total") & (F.col("total") == name), 120).alias(name) for name in LABELS)
-    ).withColumn("total", F.coalesce("total", "subtotal"))
-
-    def field(at: str, key: str, label: str, kind: str, value: Column, display: Column) -> Column:
-        named = {"key": F.lit(key), "label": F.lit(label), "kind": F.lit(kind), "value": value, "display": display, **{c: F.col(f"{at}.{c}") for c in ("page", "line", "snippet")}}
-        return F.when(F.col(at).isNotNull(), F.struct(*(c.alias(name) for name, c in named.items())))
+    lines = read.filter("kind in ('row', 'total')").select(
+        "doc", F.when(is_row, "row").otherwise(F.col("total")).alias("name"), F.when(~is_row, F.col("total_amount")).alias("amount"), "page", "line",
+        F.when(is_row, F.substring("raw", 1, 200)).otherwise(F.substring("raw", 1, 120)).alias("snippet"), F.lit(1).cast("long").alias("n"),
+    )
+    if not together:
+        lines = lines.repartition("doc").sortWithinPartitions("doc")
 
-    totals = [field(name, f"billing.{name}", label, "amount", F.col(f"{name}.amount").cast("string"), indian(F.col(f"{name}.amount"))) for name, label in LABELS.items()]
-    counted = field("row", "billing.line_item_count", "Billed line items", "integer", F.col("n"), F.col("n"))
-    return found.select("doc", F.explode(F.array_compact(F.array(*totals, counted))).alias("f")).select("doc", "f.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # of a document that may go on
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pa.Table.from_batches([batch])
+            found = _firsts(rows if held is None else pa.concat_tables([held, rows.cast(held.schema)])).combine_chunks()
+            last = int(np.append(0, np.flatnonzero(_differs(found, "doc")) + 1)[-1])
+            held = found.slice(last)
+            if last:
+                yield from _with_total(found.slice(0, last)).to_batches()
+        if held is not None:
+            yield from _with_total(held).to_batches()
+
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema)
+    found, is_row = lines.mapInArrow(run, columns), F.col("name") == "row"
+    label = F.lit("Billed line items")
+    for name, shown in LABELS.items():
+        label = F.when(F.col("name") == name, shown).otherwise(label)
+    return found.select(
+        "doc", F.when(is_row, "billing.line_item_count").otherwise(F.concat(F.lit("billing."), "name")).alias("key"), label.alias("label"), F.when(is_row, "integer").otherwise("amount").alias("kind"),
+        F.when(is_row, F.col("n").cast("string")).otherwise(F.col("amount").cast("string")).alias("value"), F.when(is_row, F.col("n").cast("string")).otherwise(indian(F.col("amount"))).alias("display"),
+        "page", "line", "snippet",
+    )

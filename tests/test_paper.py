@@ -123,7 +123,7 @@ def test_items_are_printed_once_and_words_shuffled_once(spark, sf):
     assert "Union" not in plan and plan.count("Exchange hashpartitioning(") <= 2
 
 
-@pytest.mark.parametrize("name, dealt", [("bill_table_notes", 2), ("bill_table_rows", 1)])
+@pytest.mark.parametrize("name, dealt", [("bill_table_notes", 2), ("bill_table_rows", 1), ("bill_table_fields", 1)])
 def test_lines_of_bills_are_not_dealt_out_or_sorted(spark, sf, name, dealt):
     from dossier.plans import registry
 
@@ -163,7 +163,7 @@ def test_lines_and_fields_do_not_depend_on_pieces(spark, monkeypatch):
 
     def found(given, **how):
         read = tables.read_lines(given, **how)
-        return [sorted(map(str, f.collect())) for f in (read, tables.bill_rows(read), tables.bill_notes(read), tables.bill_fields(read))]
+        return [sorted(map(str, f.collect())) for f in (read, tables.bill_rows(read), tables.bill_notes(read), tables.bill_fields(read, how.get("together", False)))]
 
     whole = found(frame)
     assert len(whole[1]) > 40 and len(whole[2]) > 5 and any("billing.total" in f and "Sub Total" in f for f in whole[3])
